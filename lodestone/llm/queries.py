@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, chat, html_extract, langid, mixing, quality, secret_scan, simhash, toxicity
+from lodestone.llm import ann, chat, decontam, html_extract, langid, mixing, quality, secret_scan, simhash, toxicity
 from lodestone.llm.common import table
 
 
@@ -16,6 +16,10 @@ def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
+def op2_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -52,6 +56,7 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
+    "op2_decontam": op2_decontam,
     "op3_simhash": op3_simhash,
     "op4_ann": op4_ann,
     "op5_toxicity": op5_toxicity,
