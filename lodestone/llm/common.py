@@ -36,11 +36,11 @@ def fold(doc_id: str | Column, n: int) -> Column:
     return F.crc32(col.cast("string").cast("binary")) % n
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: int, seed: int = 17) -> DataFrame:
-    """(doc_id, text, y): of each class, the per_class labelled rows first in a seeded hash order.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column, per_class: tuple[int, int], seed: int = 17) -> DataFrame:
+    """(doc_id, text, y): of class y, the per_class[y] labelled rows first in a seeded hash order.
 
     Only rows for which ``keep`` holds are eligible. A doc_id with several labels takes the largest, one
-    with several texts the smallest. At most 2 * per_class rows, so the id side is small by construction
+    with several texts the smallest. At most sum(per_class) rows, so the id side is small by construction
     and may be broadcast.
     """
     ids = (
@@ -52,7 +52,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, keep: Column
     )
     picked = None
     for y in (0, 1):
-        part = ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class).select("doc_id", "y")
+        part = ids.where(F.col("y") == y).orderBy("h", "doc_id").limit(per_class[y]).select("doc_id", "y")
         picked = part if picked is None else picked.unionByName(part)
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
     return texts.join(F.broadcast(picked), "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.first("y").alias("y"))

@@ -151,8 +151,8 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, dim: int =
     return Model(weights, float(np.log(prior / (1 - prior)) - np.log(share / (1 - share))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, per_class: int = 2000) -> Model:
-    """Fit on at most 2 * per_class labelled rows outside the held-out fold."""
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, per_class: tuple[int, int] = (2000, 2000)) -> Model:
+    """Fit on at most sum(per_class) labelled rows outside the held-out fold."""
     keep = F.coalesce(fold("doc_id", folds) != held, F.lit(False))
     rows = labelled_sample(docs, labels, label, keep, per_class).orderBy("doc_id").collect()
     share = labels.where(F.col(label).isin(0, 1) & keep).agg(F.avg(F.col(label).cast("double"))).first()[0]
