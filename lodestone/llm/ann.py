@@ -131,7 +131,8 @@ def search(rows: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dim
     distinct = cut(distinct, "vectors")
     n = distinct.count()
     sample = np.array([r["v"] for r in distinct.orderBy("h1", "h2").limit(min(sample_rows, n)).select("v").collect()], np.float64)
-    blocks = int(min(4096, max(8, round(2 / window), n // part_rows)))
+    # A block holds no fewer than 4 (k + 1) rows, so small tables are searched whole.
+    blocks = int(max(1, min(4096, max(8, round(2 / window), n // part_rows), n // (4 * (k + 1)))))
     reach = max(1, math.ceil((blocks * window - 1) / 2))
     salts = max(1, math.ceil(n / blocks / part_rows))
     query_parts = max(1, math.ceil(n * window / part_queries / 20))
