@@ -64,12 +64,14 @@ def valid_vector(v: Column, dims: int) -> Column:
     return (F.size(v) == dims) & ok & F.exists(v, lambda x: x != 0)
 
 
-def vector_search(items: DataFrame, queries: list[tuple[int, list[float]]], ref: str, vector: str, k: int, query: str = "query_id", skip_self: bool = True) -> DataFrame:
+def vector_search(items: DataFrame, queries: list[tuple[int, list[float]]], ref: str, vector: str, k: int, query: str = "query_id", skip_self: bool = True, group: int = 0) -> DataFrame:
     """(query, ref, score) of the k nearest by inner product, exact, for a stated set of query vectors.
 
     The queries are broadcast in blocks of bounded size; each block is one scan that multiplies batches of vectors
-    and keeps each partition's k best, so a final window sees k rows per query and partition.
+    and keeps each partition's k best, so a final window sees k rows per query and partition. With ``group`` the k
+    best are those of each (query, ref % group): the chunks of a node.
     """
+    keys = [query, "node"] if group else [query]
     out = None
     for at in range(0, len(queries), 1024):
         block = queries[at : at + 1024]
@@ -90,13 +92,17 @@ def vector_search(items: DataFrame, queries: list[tuple[int, list[float]]], ref:
                 s = np.round(s, 6)
                 q, j = np.nonzero(s > -np.inf)
                 part = pd.DataFrame({query: own_ids[q], ref: refs[j], "score": s[q, j]})
-                kept.append(part.sort_values([query, "score", ref], ascending=[True, False, True]).groupby(query).head(k))
+                if group:
+                    part["node"] = part[ref] % group
+                kept.append(part.sort_values([query, "score", ref], ascending=[True, False, True]).groupby(keys).head(k))
+                if len(kept) > 20:
+                    kept = [pd.concat(kept).sort_values([query, "score", ref], ascending=[True, False, True]).groupby(keys).head(k)]
             if kept:
-                yield pd.concat(kept).sort_values([query, "score", ref], ascending=[True, False, True]).groupby(query).head(k)
+                yield pd.concat(kept).sort_values([query, "score", ref], ascending=[True, False, True]).groupby(keys).head(k)
 
-        part = items.select(ref, vector).mapInPandas(scan, f"{query} long, {ref} long, score double")
+        part = items.select(ref, vector).mapInPandas(scan, f"{query} long, {ref} long, score double" + (", node long" if group else ""))
         out = part if out is None else out.unionByName(part)
-    return top_k(out, [query], [F.desc("score"), F.col(ref)], k)
+    return top_k(out, keys, [F.desc("score"), F.col(ref)], k)
 
 
 def rrf(channels: list[DataFrame], query: str, ref: str, depth: int = fixed.CHANNEL_DEPTH, k: int = fixed.RRF_K) -> DataFrame:

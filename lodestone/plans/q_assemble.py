@@ -97,10 +97,10 @@ def pack_prefix_budget(spark, d):
 WITH t AS (SELECT conv_id, turn, list_distinct({duck.tokens('text')}) AS ts FROM conversations),
 f AS (SELECT conv_id, turn, len(ts) AS n, unnest(ts) AS w FROM t)
 SELECT a.conv_id, a.turn AS turn_a, b.turn AS turn_b, round(count(*) / least(a.n, b.n), 6) AS similarity
-FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.3""")
+FROM f a JOIN f b ON a.conv_id = b.conv_id AND a.w = b.w AND a.turn < b.turn GROUP BY a.conv_id, a.turn, b.turn, a.n, b.n HAVING count(*) / least(a.n, b.n) >= 0.8""")
 def near_duplicate_notes(spark, d):
     c = table(spark, d, "conversations").select("conv_id", "turn", T.tokens(F.col("text")).alias("terms"))
-    out = A.near_duplicate_notes(c, "conv_id", "turn", "terms", threshold=0.3)
+    out = A.near_duplicate_notes(c, "conv_id", "turn", "terms")
     return out.withColumnsRenamed({"a": "turn_a", "b": "turn_b"})
 
 

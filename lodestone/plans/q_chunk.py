@@ -137,15 +137,15 @@ def remap_ranges(spark, d):
 
 
 @query("preview_unit", f"""
-WITH q AS (SELECT item_id, list_distinct({duck.tokens('text')}) AS toks FROM benchmark WHERE item_id < 5),
+WITH q AS (SELECT item_id, list_distinct({duck.tokens('text')}) AS toks FROM benchmark),
 u AS (SELECT conv_id, turn, text, {duck.tokens('text')} AS ts FROM conversations WHERE role <> 'system'),
-o AS (SELECT item_id, conv_id, turn, text, len(list_filter(toks, lambda t: list_contains(ts, t))) AS overlap FROM u, q WHERE conv_id % 5 = item_id)
+o AS (SELECT item_id, conv_id, turn, text, len(list_filter(toks, lambda t: list_contains(ts, t))) AS overlap FROM u JOIN q ON conv_id % (SELECT count(*) FROM benchmark) = item_id)
 SELECT item_id, conv_id, turn AS "start", CAST(overlap AS BIGINT) AS overlap, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 299) || '…' END AS preview
 FROM o QUALIFY row_number() OVER (PARTITION BY item_id, conv_id ORDER BY overlap DESC, turn) = 1""")
 def preview_unit(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 5").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("toks"))
+    q = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("toks"))
     u = table(spark, d, "conversations").where("role <> 'system'").select("conv_id", F.col("turn").alias("start"), F.col("text").alias("piece"))
-    return chunk.preview(u.join(q, u["conv_id"] % 5 == q["item_id"]), "item_id", "conv_id", terms="toks")
+    return chunk.preview(u.join(q, u["conv_id"] % q.count() == q["item_id"]), "item_id", "conv_id", terms="toks")
 
 
 @query("request_episodes", f"""WITH {duck.SOURCES}, h AS (SELECT *, lag(session_id || role) OVER (PARTITION BY user_id, request_id ORDER BY sequence) AS earlier FROM src)

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from lodestone.operators import graph as G
 from lodestone.plans.registry import query, table
 
-# Event nodes up to 1500, edges to the same user's next event; relation and kind follow from the id.
-_EDGES = """ev AS (SELECT event_id, user_id, event_type, value FROM events WHERE event_id < 1500),
+# Events are nodes, edges go to the same user's next event; relation and kind follow from the id.
+_EDGES = """ev AS (SELECT event_id, user_id, event_type, value, CAST(ts AS DATE) AS day FROM events),
 nx AS (SELECT event_id AS src, lead(event_id) OVER (PARTITION BY user_id ORDER BY event_id) AS dst FROM ev),
 ed AS (SELECT src, dst, CASE src % 5 WHEN 0 THEN 'about' WHEN 1 THEN 'contains' WHEN 2 THEN 'supersedes' WHEN 3 THEN 'contradicts' ELSE 'same_event_as' END AS relation FROM nx WHERE dst IS NOT NULL),
 bi AS (SELECT src, dst, relation FROM ed UNION ALL SELECT dst, src, relation FROM ed)"""
@@ -17,7 +17,7 @@ RELATIONS = ["about", "contains", "supersedes", "contradicts", "same_event_as"]
 
 
 def nodes(spark, d):
-    return table(spark, d, "events").where("event_id < 1500").select(F.col("event_id").alias("node"), "user_id", "event_type", "value")
+    return table(spark, d, "events").select(F.col("event_id").alias("node"), "user_id", "event_type", "value", F.to_date("ts").alias("day"))
 
 
 def edges(spark, d):
@@ -26,35 +26,35 @@ def edges(spark, d):
     return e.withColumn("relation", F.element_at(F.array(*[F.lit(r) for r in RELATIONS]), (F.col("src") % 5).cast("int") + 1))
 
 
-@query("graph_one_hop", f"""WITH {_EDGES}, c AS (SELECT bi.src AS seed, e.event_id AS node, relation, e.event_id AS updated, e.value AS relevance FROM bi JOIN ev e ON e.event_id = bi.dst WHERE bi.src < 300 AND e.event_type <> 'error'),
+@query("graph_one_hop", f"""WITH {_EDGES}, c AS (SELECT bi.src AS seed, e.event_id AS node, relation, e.event_id AS updated, e.value AS relevance FROM bi JOIN ev e ON e.event_id = bi.dst WHERE e.event_type <> 'error'),
 n AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY seed ORDER BY updated DESC, node, relation) <= 8)
 SELECT seed, node, relation, CAST(row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, updated DESC, node, relation) AS BIGINT) AS rn FROM n QUALIFY row_number() OVER (PARTITION BY seed ORDER BY relevance DESC, updated DESC, node, relation) <= 2""")
 def graph_one_hop(spark, d):
     n = nodes(spark, d)
     info = n.select("node", F.when(F.col("event_type") == "error", "tombstoned").otherwise("active").alias("status"), F.col("node").alias("updated"), F.col("value").alias("relevance"))
-    return G.one_hop(edges(spark, d), info, n.where("node < 300"), 2)
+    return G.one_hop(edges(spark, d), info, n, 2)
 
 
-_BFS = """w AS (SELECT event_id AS seed, event_id AS node, 0 AS hop FROM ev WHERE event_id < 40 UNION ALL SELECT w.seed, bi.dst, w.hop + 1 FROM w JOIN bi ON bi.src = w.node WHERE w.hop < 3),
+_BFS = """w AS (SELECT event_id AS seed, event_id AS node, 0 AS hop FROM ev WHERE event_id % 50 = 0 UNION ALL SELECT w.seed, bi.dst, w.hop + 1 FROM w JOIN bi ON bi.src = w.node WHERE w.hop < 3),
 v AS (SELECT seed, node, min(hop) AS hop FROM w GROUP BY ALL)"""
 
 
 @query("graph_bfs", f"WITH RECURSIVE {_EDGES}, {_BFS} SELECT seed, node, CAST(hop AS BIGINT) AS hop FROM v")
 def graph_bfs(spark, d):
-    out = G.bfs(edges(spark, d), nodes(spark, d).where("node < 40"), 3)
+    out = G.bfs(edges(spark, d), nodes(spark, d).where("node % 50 = 0"), 3)
     return out.select("seed", "node", F.col("hop").cast("long").alias("hop"))
 
 
 @query("graph_bfs_scored", f"""WITH RECURSIVE {_EDGES}, we AS (SELECT src, dst, relation, CAST(src % 40 AS DOUBLE) AS weight FROM ed),
 nb AS (SELECT src, dst, relation, weight FROM we UNION ALL SELECT dst, src, relation, weight FROM we),
 k AS (SELECT * FROM nb QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, relation) <= 8),
-h1 AS (SELECT e.event_id AS seed, k.dst AS node, max(greatest(0.8, weight / 60)) AS score FROM ev e JOIN k ON k.src = e.event_id WHERE e.event_id < 40 AND k.dst <> e.event_id GROUP BY ALL),
+h1 AS (SELECT e.event_id AS seed, k.dst AS node, max(greatest(0.8, weight / 60)) AS score FROM ev e JOIN k ON k.src = e.event_id WHERE e.event_id % 50 = 0 AND k.dst <> e.event_id GROUP BY ALL),
 h2 AS (SELECT h1.seed, k.dst AS node, max(greatest(h1.score * 0.8, weight / 60)) AS score FROM h1 JOIN k ON k.src = h1.node
   WHERE k.dst <> h1.seed AND NOT EXISTS (SELECT 1 FROM h1 o WHERE o.seed = h1.seed AND o.node = k.dst) GROUP BY ALL)
-SELECT event_id AS seed, event_id AS node, 0 AS hop, 1.0 AS score FROM ev WHERE event_id < 40 UNION ALL SELECT seed, node, 1, round(score, 6) FROM h1 UNION ALL SELECT seed, node, 2, round(score, 6) FROM h2""")
+SELECT event_id AS seed, event_id AS node, 0 AS hop, 1.0 AS score FROM ev WHERE event_id % 50 = 0 UNION ALL SELECT seed, node, 1, round(score, 6) FROM h1 UNION ALL SELECT seed, node, 2, round(score, 6) FROM h2""")
 def graph_bfs_scored(spark, d):
     e = edges(spark, d).withColumn("weight", (F.col("src") % 40).cast("double"))
-    out = G.bfs_scored(e, nodes(spark, d).where("node < 40"), 2)
+    out = G.bfs_scored(e, nodes(spark, d).where("node % 50 = 0"), 2)
     return out.withColumn("score", F.round("score", 6))
 
 
@@ -110,15 +110,15 @@ def edge_canonicalize(spark, d):
     return G.canonical(G.both_ways(e).unionByName(e.select("src", F.col("src").alias("dst"), "relation")))
 
 
-@query("connection_menu", f"""WITH {_EDGES}, n AS (SELECT event_id, user_id, {_KINDS.format(c='event_id')} AS kind FROM ev),
+@query("connection_menu", f"""WITH {_EDGES}, n AS (SELECT event_id, user_id, day, {_KINDS.format(c='event_id')} AS kind FROM ev),
 rel AS (SELECT unnest(['about', 'contains', 'supersedes', 'contradicts', 'same_event_as']) AS relation),
-p AS (SELECT a.event_id AS src, b.event_id AS dst, relation, a.kind AS l, b.kind AS r FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_id <> b.event_id, rel)
+p AS (SELECT a.event_id AS src, b.event_id AS dst, relation, a.kind AS l, b.kind AS r FROM n a JOIN n b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id <> b.event_id, rel)
 SELECT src, dst, relation FROM p WHERE {_ALLOWED} AND (relation NOT IN ('contradicts', 'same_event_as') OR src < dst)""")
 def connection_menu(spark, d):
-    """Allowed connections between nodes of one user: pairs meet on the user, relations by their kinds."""
-    n = nodes(spark, d).select("node", "user_id", kind("node").alias("k"))
-    a, b = n.toDF("src", "user_id", "lk"), n.toDF("dst", "user_id", "rk")
-    p = a.join(b, "user_id").where("src <> dst").withColumn("relation", F.explode(F.array(*[F.lit(r) for r in RELATIONS])))
+    """Allowed connections between nodes of one user and day, the menu's context; relations by their kinds."""
+    n = nodes(spark, d).select("node", "user_id", "day", kind("node").alias("k"))
+    a, b = n.toDF("src", "user_id", "day", "lk"), n.toDF("dst", "user_id", "day", "rk")
+    p = a.join(b, ["user_id", "day"]).where("src <> dst").withColumn("relation", F.explode(F.array(*[F.lit(r) for r in RELATIONS])))
     symmetric = F.col("relation").isin(*G.SYMMETRIC)
     return p.where(G.kinds_allowed("lk", "rk", "relation") & (~symmetric | (F.col("src") < F.col("dst")))).select("src", "dst", "relation")
 

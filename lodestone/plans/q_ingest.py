@@ -157,10 +157,10 @@ def apply_supersede(spark, d):
     return M.supersede(table(spark, d, "events"), "user_id", "event_type", order=["event_id"], at="event_id").select("event_id", "status", "valid_to")
 
 
-_OLD = "SELECT user_id AS id, max(event_id) AS event_time, max(value) AS confidence, count(*) AS activity, 1 AS version, list_sort(list(DISTINCT event_type)) AS sources FROM events WHERE event_id {} AND user_id % 4 <> {} GROUP BY user_id"
+_OLD = "SELECT user_id AS id, max(event_id) AS event_time, max(value) AS confidence, count(*) AS activity, 1 AS version, list_sort(list(DISTINCT event_type)) AS sources FROM events WHERE ts {} AND user_id % 4 <> {} GROUP BY user_id"
 
 
-@query("node_upsert", f"""WITH o AS ({_OLD.format('< 5000', 0)}), n AS ({_OLD.format('>= 5000', 1)})
+@query("node_upsert", f"""WITH o AS ({_OLD.format("< TIMESTAMP '2024-01-16'", 0)}), n AS ({_OLD.format(">= TIMESTAMP '2024-01-16'", 1)})
 SELECT coalesce(o.id, n.id) AS id, coalesce(n.event_time, o.event_time) AS event_time, round(greatest(o.confidence, n.confidence), 6) AS confidence, CAST(coalesce(o.activity, 0) + CASE WHEN n.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS activity,
 CAST(1 + CASE WHEN n.id IS NULL OR o.id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS version, CAST(len(list_distinct(list_concat(coalesce(o.sources, []), coalesce(n.sources, [])))) AS BIGINT) AS n_sources FROM o FULL JOIN n ON o.id = n.id""")
 def node_upsert(spark, d):
@@ -169,7 +169,7 @@ def node_upsert(spark, d):
     def part(df):
         return df.groupBy(F.col("user_id").alias("id")).agg(F.max("event_id").alias("event_time"), F.max("value").alias("confidence"), F.count("*").alias("activity"), F.lit(1).alias("version"), F.array_sort(F.collect_set("event_type")).alias("sources"))
 
-    out = M.node_upsert(part(e.where("event_id < 5000 and user_id % 4 <> 0")), part(e.where("event_id >= 5000 and user_id % 4 <> 1")))
+    out = M.node_upsert(part(e.where("ts < timestamp_ntz '2024-01-16 00:00:00' and user_id % 4 <> 0")), part(e.where("ts >= timestamp_ntz '2024-01-16 00:00:00' and user_id % 4 <> 1")))
     return out.select("id", "event_time", F.round("confidence", 6).alias("confidence"), "activity", "version", F.size("sources").cast("long").alias("n_sources"))
 
 
@@ -182,12 +182,12 @@ def purge_before(spark, d):
     return out.groupBy("kind").agg(F.count("*").alias("n"))
 
 
-@query("plan_prefix", f"""WITH {duck.SOURCES}, n AS (SELECT *, lead(session_id) OVER (PARTITION BY user_id ORDER BY sequence) AS nx FROM src WHERE conv_id >= 20),
+@query("plan_prefix", f"""WITH {duck.SOURCES}, n AS (SELECT *, lead(session_id) OVER (PARTITION BY user_id ORDER BY sequence) AS nx FROM src),
 a AS (SELECT user_id, max(CASE WHEN nx <> session_id THEN sequence END) AS ses, max(sequence) AS fin, count(DISTINCT request_id) >= 2 AND (count(*) >= 45 OR sum(length(text)) >= 40000) AS acc,
 count(*) >= 90 OR sum(length(text)) >= 80000 AS cap, bool_or(role = 'user' AND {duck.matches('text', fixed.EXPLICIT_CHANGE)}) AS sd FROM n GROUP BY user_id)
 SELECT user_id, CASE WHEN acc OR cap OR sd THEN fin ELSE coalesce(ses, 0) END AS target, concat_ws(',', CASE WHEN ses IS NOT NULL THEN 'session_prefix' END, CASE WHEN acc THEN 'accumulation' END, CASE WHEN cap THEN 'capacity' END, CASE WHEN sd THEN 'explicit_change' END) AS reasons FROM a""")
 def plan_prefix(spark, d):
-    return M.plan_prefix(sources(spark, d).where("conv_id >= 20"), "user_id", items=45, chars=40_000, requests=2)
+    return M.plan_prefix(sources(spark, d), "user_id", items=45, chars=40_000, requests=2)
 
 
 @query("reply_background", f"""WITH {duck.SOURCES}, r AS (SELECT *, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END) OVER (PARTITION BY session_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM src)
@@ -207,13 +207,13 @@ def advance_watermark(spark, d):
     return M.advance_watermark(table(spark, d, "events"), "user_id", order="event_id", done=F.col("value") > 5)
 
 
-@query("apply_conflicts", """WITH e AS (SELECT event_id AS src, event_id + 10 AS dst, CASE event_id % 6 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'contradicts' ELSE 'about' END AS relation FROM events WHERE event_id < 5000)
+@query("apply_conflicts", """WITH e AS (SELECT event_id AS src, event_id + 10 AS dst, CASE event_id % 6 WHEN 0 THEN 'supersedes' WHEN 1 THEN 'contradicts' ELSE 'about' END AS relation FROM events)
 SELECT n.event_id, CASE WHEN EXISTS (SELECT 1 FROM e WHERE relation = 'supersedes' AND dst = n.event_id) THEN 'superseded' WHEN EXISTS (SELECT 1 FROM e WHERE relation = 'contradicts' AND (dst = n.event_id OR src = n.event_id)) THEN 'conflict' ELSE 'active' END AS status FROM events n""")
 def apply_conflicts(spark, d):
     e = table(spark, d, "events")
     i = F.col("event_id")
     rel = F.when(i % 6 == 0, "supersedes").when(i % 6 == 1, "contradicts").otherwise("about")
-    edges = e.where("event_id < 5000").select(i.alias("src"), (i + 10).alias("dst"), rel.alias("relation"))
+    edges = e.select(i.alias("src"), (i + 10).alias("dst"), rel.alias("relation"))
     hits = edges.where("relation = 'supersedes'").select(F.col("dst").alias("event_id"), F.lit(2).alias("s"))
     both = edges.where("relation = 'contradicts'").select(F.explode(F.array("src", "dst")).alias("event_id"), F.lit(1).alias("s"))
     level = hits.unionByName(both).groupBy("event_id").agg(F.max("s").alias("s"))
@@ -225,13 +225,13 @@ def store_stats(spark, d):
     return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count("*").alias("n"))
 
 
-@query("retained_projection", """WITH r AS (SELECT event_id AS id, unnest([event_id, event_id + 4, event_id + 8]) AS source, unnest([0, 1, 2]) AS p FROM events WHERE event_id < 4000),
+@query("retained_projection", """WITH r AS (SELECT event_id AS id, unnest([event_id, event_id + 4, event_id + 8]) AS source, unnest([0, 1, 2]) AS p FROM events),
 b AS (SELECT event_id AS source FROM events WHERE event_type IN ('error', 'view')), f AS (SELECT r.*, b.source IS NOT NULL AS bl FROM r LEFT JOIN b ON b.source = r.source)
 SELECT id, string_agg(CAST(source AS VARCHAR), ',' ORDER BY p) FILTER (WHERE NOT bl) AS kept, bool_or(bl) AS rebuilt FROM f GROUP BY id HAVING count(*) FILTER (WHERE NOT bl) > 0""")
 def retained_projection(spark, d):
     e = table(spark, d, "events")
     i = F.col("event_id")
-    rows = e.where("event_id < 4000").select(i.alias("id"), F.array(i, i + 4, i + 8).alias("sources"))
+    rows = e.select(i.alias("id"), F.array(i, i + 4, i + 8).alias("sources"))
     out = M.retained(rows, e.where("event_type in ('error', 'view')").select(i.alias("source")))
     return out.select("id", F.array_join(F.transform("kept", lambda x: x.cast("string")), ",").alias("kept"), "rebuilt")
 
@@ -243,7 +243,7 @@ def unplanned_sources(spark, d):
     return s.join(planned, "sequence", "left_anti")
 
 
-@query("changed_groups", """WITH a AS (SELECT user_id, event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS g FROM events WHERE event_id < 9900 GROUP BY ALL),
+@query("changed_groups", """WITH a AS (SELECT user_id, event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS g FROM events WHERE ts < TIMESTAMP '2024-01-29' GROUP BY ALL),
 b AS (SELECT user_id, event_type, sha256(string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY event_id)) AS g FROM events GROUP BY ALL)
 SELECT b.user_id, bool_and(coalesce(a.g = b.g, FALSE)) AS unchanged FROM b LEFT JOIN a USING (user_id, event_type) GROUP BY b.user_id""")
 def changed_groups(spark, d):
@@ -253,7 +253,7 @@ def changed_groups(spark, d):
         ids = F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string"))
         return df.groupBy("user_id", "event_type").agg(F.sha2(F.array_join(ids, ","), 256).alias(name))
 
-    both = digests(e, "new").join(digests(e.where("event_id < 9900"), "old"), ["user_id", "event_type"], "left")
+    both = digests(e, "new").join(digests(e.where("ts < timestamp_ntz '2024-01-29 00:00:00'"), "old"), ["user_id", "event_type"], "left")
     return both.groupBy("user_id").agg(F.bool_and(F.coalesce(F.col("old") == F.col("new"), F.lit(False))).alias("unchanged"))
 
 

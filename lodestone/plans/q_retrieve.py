@@ -11,14 +11,14 @@ from lodestone.operators import retrieve as R
 from lodestone.plans import duck
 from lodestone.plans.registry import query, table
 
-# Search corpus: documents; queries: the first 12 distinct tokens of benchmark texts; one corpus (user).
+# Search corpus: documents; queries: the distinct tokens of benchmark texts; one corpus (user).
 _DISTINCT = "list_filter({t}, lambda x, i: list_position({t}, x) = i)"
 
 
-def _bm25_sql(docs: str = "documents", tok=duck.tokens, n_terms: int = 12, where: str = "TRUE") -> str:
+def _bm25_sql(docs: str = "documents", tok=duck.tokens, where: str = "TRUE") -> str:
     return f"""d AS (SELECT doc_id, {tok('text')} AS ts FROM {docs} WHERE {where}),
 q0 AS (SELECT item_id, {tok('text')} AS ts FROM benchmark),
-q AS (SELECT item_id, unnest({_DISTINCT.format(t='ts')}[1:{n_terms}]) AS term FROM q0),
+q AS (SELECT item_id, unnest({_DISTINCT.format(t='ts')}) AS term FROM q0),
 st AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1.0) AS av FROM d),
 tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -27,9 +27,9 @@ sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (
 bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sc)"""
 
 
-def bm25_scores(spark, d, tokens=T.tokens, n_terms=12, where="true"):
+def bm25_scores(spark, d, tokens=T.tokens, where="true"):
     docs = table(spark, d, "documents").where(where).select(F.lit("all").alias("corpus"), "doc_id", tokens(F.col("text")).alias("terms"))
-    q = table(spark, d, "benchmark").select(F.lit("all").alias("corpus"), "item_id", F.slice(F.array_distinct(tokens(F.col("text"))), 1, n_terms).alias("terms"))
+    q = table(spark, d, "benchmark").select(F.lit("all").alias("corpus"), "item_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     return R.bm25(docs, q, "corpus", "doc_id", "item_id")
 
 
@@ -53,12 +53,14 @@ def bm25_lexical_baseline(spark, d):
 
 
 _DOT = "list_dot_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
-_VEC = f"""vs AS (SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id < 20 AND e.vec_id <> q.vec_id),
+_VEC = f"""vs AS (SELECT q.vec_id AS query_id, e.vec_id, round({_DOT.format(a='q.embedding', b='e.embedding')}, 6) AS score FROM embeddings q, embeddings e WHERE q.vec_id IN (SELECT item_id FROM benchmark) AND e.vec_id <> q.vec_id),
 vr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rn FROM vs)"""
 
 
-def asked_vectors(spark, d, n=20):
-    rows = table(spark, d, "embeddings").where(F.col("vec_id") < n).select("vec_id", "embedding").collect()  # a stated query set
+def asked_vectors(spark, d):
+    """The query set: the vectors that stand for benchmark items, as many as there are items."""
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("vec_id"))
+    rows = table(spark, d, "embeddings").join(items, "vec_id", "left_semi").select("vec_id", "embedding").collect()
     return [(r["vec_id"], r["embedding"]) for r in rows]
 
 
@@ -76,7 +78,7 @@ def normalize_vectors(spark, d):
 
 
 # Hybrid search: item i asks with its text and with vector i, and vector j stands for document j.
-_HYBRID = f"""lex AS (SELECT item_id AS query_id, doc_id, rn FROM bm WHERE item_id < 20 AND rn <= 48),
+_HYBRID = f"""lex AS (SELECT item_id AS query_id, doc_id, rn FROM bm WHERE rn <= 48),
 sem AS (SELECT query_id, vec_id AS doc_id, rn FROM vr WHERE rn <= 48),
 ch AS (SELECT * FROM lex UNION ALL SELECT * FROM sem),
 fused AS (SELECT query_id, doc_id, round(sum(1.0 / (60 + rn)), 6) AS score FROM ch GROUP BY ALL),
@@ -84,7 +86,7 @@ rrf AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC,
 
 
 def channels(spark, d):
-    lex = R.ranked(bm25_scores(spark, d), "item_id", "doc_id", fixed.CHANNEL_DEPTH).where("item_id < 20").withColumnRenamed("item_id", "query_id")
+    lex = R.ranked(bm25_scores(spark, d), "item_id", "doc_id", fixed.CHANNEL_DEPTH).withColumnRenamed("item_id", "query_id")
     sem = R.vector_search(table(spark, d, "embeddings"), asked_vectors(spark, d), "vec_id", "embedding", fixed.CHANNEL_DEPTH).withColumnRenamed("vec_id", "doc_id")
     return lex, sem
 
@@ -122,11 +124,11 @@ def rrf_multi_branch(spark, d):
 
 
 @query("query_centroid", """
-WITH s AS (SELECT label AS slice_of, vec_id, CAST(vec_id % 7 + 1 AS DOUBLE) AS w, embedding FROM embeddings WHERE vec_id < 60),
+WITH s AS (SELECT label AS slice_of, vec_id, CAST(vec_id % 7 + 1 AS DOUBLE) AS w, embedding FROM embeddings),
 f AS (SELECT slice_of, CAST(i - 1 AS BIGINT) AS pos, sum(CAST(embedding[i] AS DOUBLE) * w) AS s FROM s, range(1, 65) r(i) GROUP BY ALL)
 SELECT slice_of, pos, round(s / sqrt(sum(s * s) OVER (PARTITION BY slice_of)), 6) AS value FROM f""")
 def query_centroid(spark, d):
-    s = table(spark, d, "embeddings").where("vec_id < 60").select(F.col("label").alias("slice_of"), (F.col("vec_id") % 7 + 1).cast("double").alias("w"), "embedding")
+    s = table(spark, d, "embeddings").select(F.col("label").alias("slice_of"), (F.col("vec_id") % 7 + 1).cast("double").alias("w"), "embedding")
     return R.centroid(s, "slice_of", "embedding", "w").withColumn("pos", F.col("pos").cast("long"))
 
 
@@ -135,10 +137,8 @@ def query_centroid(spark, d):
 SELECT query_id, node, round(greatest(0.0, least(1.0, (sim + 1) / 2)) + 1e-9, 5) AS score, CAST(row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node DESC) AS BIGINT) AS rn FROM b
 QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY sim DESC, node DESC) <= 10""")
 def semantic_best_chunk(spark, d):
-    # Every chunk's score is needed, so depth is the table's; it is exact at any size.
-    e = table(spark, d, "embeddings")
-    hits = R.vector_search(e, asked_vectors(spark, d), "vec_id", "embedding", e.count())
-    best = hits.groupBy("query_id", (F.col("vec_id") % 100).alias("node")).agg(F.max("score").alias("sim"))
+    hits = R.vector_search(table(spark, d, "embeddings"), asked_vectors(spark, d), "vec_id", "embedding", 1, group=100)
+    best = hits.select("query_id", "node", F.col("score").alias("sim"))
     out = R.top_k(best, ["query_id"], [F.desc("sim"), F.desc("node")], 10)
     return out.select("query_id", "node", F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), (F.col("sim") + 1) / 2)) + 1e-9, 5).alias("score"), "rn")
 
@@ -147,9 +147,7 @@ def semantic_best_chunk(spark, d):
 n AS (SELECT query_id, node, max(score) AS best, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY i) AS passages FROM p WHERE i <= 3 GROUP BY ALL)
 SELECT query_id, node, passages, round(1.0 / (60 + row_number() OVER (PARTITION BY query_id ORDER BY best DESC, node)), 6) AS score FROM n""")
 def vector_best_passage(spark, d):
-    e = table(spark, d, "embeddings")
-    hits = R.vector_search(e, asked_vectors(spark, d), "vec_id", "embedding", e.count()).where("score > 0").drop("rn")
-    top = R.top_k(hits.withColumn("node", F.col("vec_id") % 50), ["query_id", "node"], [F.desc("score"), F.col("vec_id")], 3, "i")
+    top = R.vector_search(table(spark, d, "embeddings"), asked_vectors(spark, d), "vec_id", "embedding", 3, group=50).where("score > 0").withColumnRenamed("rn", "i")
     ids = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "vec_id"))), lambda x: x["vec_id"].cast("string")), ",")
     nodes = top.groupBy("query_id", "node").agg(F.max("score").alias("best"), ids.alias("passages"))
     rn = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("best"), "node"))
@@ -225,7 +223,7 @@ def rank_graph_paths(spark, d):
     return R.rank_paths(p, "query_id")
 
 
-_LIKE = f"""q AS (SELECT item_id, ({duck.query_tokens('text')})[1:5] AS toks FROM benchmark WHERE item_id < 10),
+_LIKE = f"""q AS (SELECT item_id, ({duck.query_tokens('text')})[1:5] AS toks FROM benchmark),
 h AS (SELECT item_id, doc_id FROM q, documents WHERE len(list_filter(toks, lambda t: contains(lower(text), t))) > 0)"""
 
 
@@ -233,11 +231,10 @@ h AS (SELECT item_id, doc_id FROM q, documents WHERE len(list_filter(toks, lambd
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) <= 20""")
 def like_fallback_search(spark, d):
     """Newest documents that hold any of the first five query tokens as a substring."""
-    q = table(spark, d, "benchmark").where("item_id < 10").select("item_id", F.slice(T.query_tokens(F.col("text")), 1, 5).alias("toks"))
-    asked = [(r["item_id"], r["toks"]) for r in q.collect()]  # a stated query set
-    low = F.lower("text")
-    held = F.array_compact(F.array(*[F.when(F.exists(T.words_in(toks), lambda t: F.contains(low, t)), F.lit(i)) for i, toks in asked if toks]))
-    hits = table(spark, d, "documents").select("doc_id", F.explode(held).alias("item_id"))
+    q = table(spark, d, "benchmark").select("item_id", F.slice(T.query_tokens(F.col("text")), 1, 5).alias("toks"))
+    asked = F.array(*[F.struct(F.lit(r["item_id"]).alias("i"), T.words_in(r["toks"]).alias("t")) for r in q.where(F.size("toks") > 0).collect()])  # the query set
+    held = F.transform(F.filter(asked, lambda a: F.exists(a["t"], lambda t: F.contains(F.col("low"), t))), lambda a: a["i"])
+    hits = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(held).alias("item_id"))
     return R.top_k(hits, ["item_id"], [F.desc("doc_id")], 20).withColumn("item_id", F.col("item_id").cast("long"))
 
 

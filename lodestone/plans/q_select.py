@@ -122,9 +122,9 @@ def question_is_last_user_turn(spark, d):
     return M.last_write(c, "conv_id", order=[F.desc("turn")]).select("conv_id", F.col("turn").alias("question_turn"))
 
 
-@query("single_link_per_group", "SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS links, count(DISTINCT event_type) = 1 AS single FROM events WHERE event_id % 60 < 2 GROUP BY user_id")
+@query("single_link_per_group", "SELECT user_id, CAST(count(DISTINCT event_type) AS BIGINT) AS links, count(DISTINCT event_type) = 1 AS single FROM events GROUP BY user_id")
 def single_link_per_group(spark, d):
-    g = table(spark, d, "events").where("event_id % 60 < 2").groupBy("user_id").agg(F.countDistinct("event_type").alias("links"))
+    g = table(spark, d, "events").groupBy("user_id").agg(F.countDistinct("event_type").alias("links"))
     return g.withColumn("single", F.col("links") == 1)
 
 

@@ -15,14 +15,14 @@ PHRASES = [
     "What else besides tea", "Compare both plans", "Who is her friend", "Actually, I changed my plan", "Do not forget this",
     "how many in total", "update my phone", "现在哪里", "忘记全部记录", "Is it 3.5 or 42", "yes, they did",
 ]
-SAID = f"{duck.listed(PHRASES)}[CAST(doc_id % {len(PHRASES)} AS INTEGER) + 1] || ' ' || left(text, 80)"
+SAID = f"{duck.listed(PHRASES)}[CAST(doc_id % {len(PHRASES)} AS INTEGER) + 1] || ' ' || text"
 
 
 def said(spark, d):
-    """documents with ``q``, a phrase and the text's beginning."""
+    """documents with ``q``, a phrase and the whole text."""
     docs = table(spark, d, "documents")
     phrase = F.element_at(T.words_in(PHRASES), (F.col("doc_id") % len(PHRASES)).cast("int") + 1)
-    return docs.withColumn("q", F.concat(phrase, F.lit(" "), F.left("text", F.lit(80))))
+    return docs.withColumn("q", F.concat(phrase, F.lit(" "), "text"))
 
 
 @query("tokenize_documents", f"""
@@ -34,19 +34,19 @@ def tokenize_documents(spark, d):
 
 
 @query("terms_ascii", f"""
-SELECT doc_id, array_to_string(t[1:20], ' ') AS first_terms, CAST(len(t) AS BIGINT) AS n_terms FROM (
+SELECT doc_id, sha256(array_to_string(t, ' ')) AS terms_sha, CAST(len(t) AS BIGINT) AS n_terms FROM (
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: NOT list_contains({duck.listed(fixed.TERM_STOP)}, t)) AS t FROM documents)""")
 def terms_ascii(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.terms_ascii(F.col("text")).alias("t"))
-    return t.select("doc_id", F.array_join(F.slice("t", 1, 20), " ").alias("first_terms"), F.size("t").cast("long").alias("n_terms"))
+    return t.select("doc_id", F.sha2(F.array_join("t", " "), 256).alias("terms_sha"), F.size("t").cast("long").alias("n_terms"))
 
 
 @query("tokens_lexical_study", f"""
-SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, array_to_string(t[1:10], ' ') AS first_tokens FROM (
+SELECT doc_id, CAST(len(t) AS BIGINT) AS n_tokens, sha256(array_to_string(t, ' ')) AS tokens_sha FROM (
   SELECT doc_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda t: NOT list_contains({duck.listed(fixed.STUDY_STOP)}, t)) AS t FROM documents)""")
 def tokens_lexical_study(spark, d):
     t = table(spark, d, "documents").select("doc_id", T.study_tokens(F.col("text")).alias("t"))
-    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.array_join(F.slice("t", 1, 10), " ").alias("first_tokens"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n_tokens"), F.sha2(F.array_join("t", " "), 256).alias("tokens_sha"))
 
 
 @query("query_tokens_gen1", f"""
@@ -73,10 +73,10 @@ def excerpt_head_tail(spark, d):
 
 
 @query("label_slug", """
-SELECT doc_id, CASE WHEN l = '' THEN 'record' ELSE l END AS label, left(regexp_replace(regexp_replace(lower(left(text, 80)), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 36) AS slug
+SELECT doc_id, CASE WHEN l = '' THEN 'record' ELSE l END AS label, left(regexp_replace(regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '-', 'g'), '^-+|-+$', '', 'g'), 36) AS slug
 FROM (SELECT doc_id, text, left(array_to_string(regexp_extract_all(lower(text), '[\\p{L}\\p{N}]+')[1:9], '-'), 64) AS l FROM documents)""")
 def label_slug(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.label(F.col("text")).alias("label"), T.slug(F.left("text", F.lit(80))).alias("slug"))
+    return table(spark, d, "documents").select("doc_id", T.label(F.col("text")).alias("label"), T.slug(F.col("text")).alias("slug"))
 
 
 @query("source_time_label", """
@@ -95,9 +95,9 @@ def payload_digest(spark, d):
 
 
 @query("stable_ids", f"""
-SELECT doc_id, 'ent_' || left(sha256({duck.signature('source')} || chr(31) || {duck.signature('left(text, 60)')}), 32) AS entity_id FROM documents""")
+SELECT doc_id, 'ent_' || left(sha256({duck.signature('source')} || chr(31) || {duck.signature('text')}), 32) AS entity_id FROM documents""")
 def stable_ids(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.stable_id("ent", F.col("source"), F.left("text", F.lit(60))).alias("entity_id"))
+    return table(spark, d, "documents").select("doc_id", T.stable_id("ent", F.col("source"), F.col("text")).alias("entity_id"))
 
 
 @query("content_signature_dups", f"""
@@ -108,16 +108,17 @@ def content_signature_dups(spark, d):
 
 
 _SCORED = f"""
-WITH q AS (SELECT item_id, text AS question, {duck.query_tokens('text')} AS toks FROM benchmark WHERE item_id < 8),
+WITH q AS (SELECT item_id, text AS question, {duck.query_tokens('text')} AS toks FROM benchmark),
 p AS (SELECT item_id, doc_id, question, toks, lower(text) AS low, doc_id % 80 AS idx,
-  len(list_filter(toks, lambda t: contains(lower(text), t))) AS hits FROM q, documents WHERE doc_id % 10 = item_id)
+  len(list_filter(toks, lambda t: contains(lower(text), t))) AS hits FROM q JOIN documents ON doc_id % (SELECT count(*) FROM benchmark) = item_id)
 """
 
 
 def scored(spark, d):
-    q = table(spark, d, "benchmark").where("item_id < 8").select("item_id", F.col("text").alias("question"))
+    """Every document with the one benchmark item it is scored for."""
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
     docs = table(spark, d, "documents")
-    return docs.join(q, docs["doc_id"] % 10 == q["item_id"])
+    return docs.join(q, docs["doc_id"] % q.count() == q["item_id"])
 
 
 @query("lexical_score_gen1", _SCORED + """
