@@ -121,7 +121,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, dim: int =
         own, at = np.unique(flat, return_inverse=True)
         weight = np.bincount(at, weight, len(own)) / max(1.0, float(weight.sum()))
         doc = np.array([bucket(s) for s in shape])
-        rows.append((np.concatenate((own, doc)), np.concatenate((weight, np.full(len(doc), 1 / len(doc)))).astype(np.float32)))
+        rows.append((np.concatenate((own, doc)).astype(np.int32), np.concatenate((weight, np.full(len(doc), 1 / len(doc)))).astype(np.float32)))
     vectors = (rng.normal(size=(BUCKETS, dim)) / dim).astype(np.float32)
     out = np.zeros((dim, 2), np.float32)
     steps, step = epochs * (len(rows) // batch + 1), 0
@@ -151,7 +151,7 @@ def fit(texts: list[str], y: np.ndarray, prior: float | None = None, dim: int =
     return Model(weights, float(np.log(prior / (1 - prior)) - np.log(share / (1 - share))))
 
 
-def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, per_class: tuple[int, int] = (2000, 2000)) -> Model:
+def train(docs: DataFrame, labels: DataFrame, label: str = "quality", folds: int = 4, held: int = 2, per_class: tuple[int, int] = (1200, 1200)) -> Model:
     """Fit on at most sum(per_class) labelled rows outside the held-out fold."""
     keep = F.coalesce(fold("doc_id", folds) != held, F.lit(False))
     rows = labelled_sample(docs, labels, label, keep, per_class).orderBy("doc_id").collect()
