@@ -58,8 +58,8 @@ def bfs_scored(edges: DataFrame, seeds: DataFrame, max_hops: int, fan_out: int =
 
 def components(edges: DataFrame, max_rounds: int = 50) -> DataFrame:
     """(node, component): connected components by minimum labels with pointer jumping; component is the smallest
-    node. Lineage is cut each round in spark.checkpoint.dir where that is set, as on a cluster."""
-    checkpoint = bool(edges.sparkSession.conf.get("spark.checkpoint.dir", ""))
+    node. Lineage is cut each round by a checkpoint where a checkpoint folder is set, as on a cluster."""
+    checkpoint = edges.sparkSession.sparkContext.getCheckpointDir() is not None
     near = both_ways(edges.withColumn("relation", F.lit("")) if "relation" not in edges.columns else edges).select("src", "dst").distinct()
     label = near.groupBy("src").agg(F.min("dst").alias("m")).select(F.col("src").alias("node"), F.least("src", "m").alias("component"))
     for _ in range(max_rounds):
