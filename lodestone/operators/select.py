@@ -55,3 +55,33 @@ def as_of_counts(queries: DataFrame, events: DataFrame, key: str, time: str, ord
     every = Window.partitionBy(key)
     out = both.withColumn("visible", F.sum("e").over(so_far) - F.sum("e").over(same)).withColumn("excluded", F.sum("e").over(every) - F.col("visible"))
     return out.where("e = 0").select(order, "visible", "excluded")
+
+
+def select_pack(turns: DataFrame, tasks: DataFrame, *, records: list[str] | None = None, task_ids: list[str] | None = None, anchors: list[str] | None = None, radius: int | None = None, before_ms: int | None = None, allow_partial: bool = False) -> dict[str, DataFrame]:
+    """A cut of a pack: its turns and tasks, what evidence it lost, and counts before and after.
+
+    turns: record_id, session_id, position, turn_id, timestamp, session_timestamp; tasks: record_id, task_id, evidence.
+    Without anchors all history of the chosen records stays; with anchors those turns, or all within ``radius``
+    positions of one in its session. A cutoff is exclusive and fails on undated turns. Tasks that lost evidence are
+    no longer graded; unless partial cuts are allowed, one is an error.
+    """
+    base_turns, base_tasks = turns, tasks
+    if records is not None:
+        turns, tasks = turns.where(F.col("record_id").isin(records)), tasks.where(F.col("record_id").isin(records))
+    if task_ids is not None:
+        tasks = tasks.where(F.col("task_id").isin(task_ids))
+    if anchors is not None:
+        turns = window_turns(turns, F.col("turn_id").isin(anchors), "record_id", "session_id", order="position", radius=radius or 0)
+    if before_ms is not None:
+        turns = before(turns, F.lit(before_ms), F.coalesce("timestamp", "session_timestamp"))
+    held = turns.select("record_id", F.col("turn_id").alias("e")).distinct().withColumn("_kept", F.lit(True))
+    flat = tasks.select("record_id", "task_id", F.explode("evidence").alias("e")).join(held, ["record_id", "e"], "left")
+    missing = flat.where("_kept is null").groupBy("record_id", "task_id").agg(F.array_sort(F.collect_set("e")).alias("missing"))
+    if not allow_partial:
+        missing = missing.withColumn("missing", F.when(F.size("missing") > 0, F.raise_error(F.concat(F.lit("the cut leaves out evidence of "), F.col("task_id"))).cast("array<string>")))
+    graded = tasks.join(missing, ["record_id", "task_id"], "left").withColumn("graded", F.col("missing").isNull())
+    counts = None
+    for name, before_df, after_df in (("turns", base_turns, turns), ("tasks", base_tasks, tasks)):
+        row = before_df.agg(F.count("*").alias("base")).crossJoin(after_df.agg(F.count("*").alias("kept"))).select(F.lit(name).alias("what"), "base", "kept")
+        counts = row if counts is None else counts.unionByName(row)
+    return {"turns": turns, "tasks": graded, "missing": missing, "counts": counts}
