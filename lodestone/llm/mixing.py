@@ -117,7 +117,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, s
     met = F.when(F.col("start") < F.col("end"), F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))))
     spread = passes.withColumn("turn", F.explode_outer(met))
     inside = F.least(F.col("end"), (F.col("turn") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("turn") * F.col("block"))
-    inside = F.when(F.col("turn").isNotNull(), inside)
+    # A block is taken by its slot; a source too small for a slot has one block, taken by none.
+    inside = F.when(F.col("turn").isNotNull() & (F.col("slot").isNotNull() | F.col("turns").isNull()), inside)
     rows = spread.join(dealt, ["i", "turn"], "left").groupBy("doc_id", "size", "copy", "source", "source_size", "target")
     out = rows.agg(F.sum(inside).alias("taken"), F.min("slot").alias("first_slot"))
     return out.select("doc_id", "size", "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")
