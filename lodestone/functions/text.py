@@ -33,7 +33,11 @@ def tokens(text: Column) -> Column:
     runs = findall(F.lower(text), "[一-鿿]+|[\\p{L}\\p{N}]+")
     stop = words_in(fixed.TOKEN_STOP)
     kept = F.filter(runs, lambda t: cjk(t) | ~F.array_contains(stop, t))
-    return F.flatten(F.transform(kept, lambda t: F.when(cjk(t), F.concat(ngrams(t, 1), ngrams(t, 2))).otherwise(F.array(t))))
+    general = F.flatten(F.transform(kept, lambda t: F.when(cjk(t), F.concat(ngrams(t, 1), ngrams(t, 2))).otherwise(F.array(t))))
+    # Texts without CJK need one regex pass: words that are not, as a whole, stop words.
+    word = "[\\p{L}\\p{N}]"
+    plain = findall(F.lower(text), f"(?<!{word})(?!(?:{'|'.join(fixed.TOKEN_STOP)})(?!{word})){word}+")
+    return F.when(F.regexp_like(text, F.lit("[一-鿿]")), general).otherwise(plain)
 
 
 def tokens_python(text: str | None) -> list[str]:
