@@ -1,20 +1,23 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: word pairs as seeds, then Smith-Waterman alignment.
 
 Texts are sequences of lower-cased words. Test items are taken in blocks of bounded size, and a block's word
-vocabulary and n-grams are broadcast. A first pass over the training texts counts in how many of them each of the
-block's n-grams stands; of every few neighbouring n-grams of an item the rarest becomes a seed, so each stretch of
-an item has one however common its words are. A second pass looks the seeds up in each text, and every region
-around an item's seeds is aligned with the item word by word (match +1, mismatch -1, gap -1), whole batches of
-regions at a time. The score is the best local alignment over the item's length: 1 for an exact copy; copies with
-replaced, added or missing words fall off by what was edited.
-
-No training text is shuffled: both passes are Arrow maps, and only n-gram counts are aggregated.
+vocabulary and word pairs are broadcast. Every region of a text that holds enough of an item's pairs is aligned with
+the item word by word (match +1, mismatch -1, gap -1), whole batches of regions at a time. The score is the best
+local alignment over the item's length: 1 for an exact copy; copies with replaced, added or missing words fall off
+by what was edited.
+
+No alignment that reaches the threshold t is missed. Let it match M words in B + 1 runs: each break costs 1 or more,
+so M - B >= t * m for an item of m words, and the runs hold M - B - 1 >= t * m - 1 neighbouring pairs. It adds at most
+M - t * m words, so it spans (2 - t) * m words of the text at most. Regions without so many pairs in such a span are
+left out, all others are aligned.
+
+No training text is shuffled or counted: the search is one Arrow map.
 """
 
 from __future__ import annotations
 
+import math
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -24,8 +27,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WORD = re.compile(r"\w+")
-N = 3
-STRIDE = 3
+N = 3  # words an item has at least
+PAIR = 2
 THRESHOLD = 0.4
 BLOCK_CHARS = 32_000_000
 
@@ -34,13 +37,13 @@ def words_of(text: str | None) -> list[str]:
     return WORD.findall((text or "").lower())
 
 
-def gram_codes(ids: np.ndarray) -> np.ndarray:
-    """Codes of the N-grams of word numbers; grams with an unknown word (-1) are 0."""
-    n = len(ids) - N + 1
+def pair_codes(ids: np.ndarray) -> np.ndarray:
+    """Codes of the pairs of neighbouring word numbers; pairs with an unknown word (-1) are 0."""
+    n = len(ids) - PAIR + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     code, known = np.zeros(n, np.uint64), np.ones(n, bool)
-    for k in range(N):
+    for k in range(PAIR):
         part = ids[k : k + n]
         code = code * np.uint64(0x9E3779B97F4A7C15) + part.astype(np.uint64) + np.uint64(1)
         code ^= code >> np.uint64(29)
@@ -50,14 +53,15 @@ def gram_codes(ids: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Items:
-    """A block of test items as word numbers, with their n-grams and, once chosen, their seeds."""
+    """A block of test items as word numbers, with the pairs of each and the items that hold each pair."""
 
     item_ids: list[int]
     words: list[np.ndarray]
     vocabulary: dict[str, int]
-    grams: np.ndarray  # sorted codes of all n-grams
-    seeds: np.ndarray | None = None  # sorted codes
-    at: dict[int, list[tuple[int, int]]] | None = None  # seed code -> (item, place)
+    pairs: np.ndarray  # sorted codes of all pairs
+    own: list[np.ndarray]  # of each item the places of its pairs in pairs
+    holders: np.ndarray  # items by pair
+    first: np.ndarray  # where the holders of each pair begin
 
     @staticmethod
     def of(rows: list[tuple[int, str]]) -> Items:
@@ -68,28 +72,55 @@ class Items:
             if len(w) >= N:
                 ids.append(item_id)
                 words.append(np.array([vocabulary.setdefault(x, len(vocabulary)) for x in w], np.int64))
-        codes = [gram_codes(w) for w in words]
-        return Items(ids, words, vocabulary, np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64))
+        codes = [np.unique(pair_codes(w)) for w in words]
+        pairs = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.uint64)
+        own = [np.searchsorted(pairs, c) for c in codes]
+        pair = np.concatenate(own) if own else np.zeros(0, np.int64)
+        item = np.repeat(np.arange(len(own)), [len(o) for o in own])
+        first = np.concatenate(([0], np.cumsum(np.bincount(pair, minlength=len(pairs))))).astype(np.int64)
+        return Items(ids, words, vocabulary, pairs, own, item[np.argsort(pair, kind="stable")], first)
 
     def numbers(self, words: list[str]) -> np.ndarray:
         get = self.vocabulary.get
         return np.fromiter((get(w, -1) for w in words), np.int64, len(words))
 
-    def choose_seeds(self, found_in: dict[int, int]) -> None:
-        """Of every STRIDE neighbouring n-grams the rarest over training texts and items; the first on ties."""
-        codes = [gram_codes(w) for w in self.words]
-        in_items: dict[int, int] = defaultdict(int)
-        for c in codes:
-            for x in np.unique(c).tolist():
-                in_items[x] += 1
-        self.at = defaultdict(list)
-        for i, c in enumerate(codes):
-            rarity = [found_in.get(x, 0) + in_items[x] for x in c.tolist()]
-            for a in range(0, len(c), STRIDE):
-                p = min(range(a, min(a + STRIDE, len(c))), key=lambda j: (rarity[j], j))
-                self.at[int(c[p])].append((i, p))
-        self.at = dict(self.at)
-        self.seeds = np.array(sorted(self.at), np.uint64)
+    def needs(self, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+        """Of each item the pairs that an alignment of the threshold holds at least, and the words it spans at most."""
+        m = [len(w) for w in self.words]
+        least = [max(1, math.ceil(threshold * x - 1e-9) - 1) for x in m]
+        return np.array(least, np.int64), np.array([math.floor((2 - threshold) * x + 1e-9) for x in m], np.int64)
+
+    def regions(self, ids: np.ndarray, least: np.ndarray, span: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(item, low, high) of the word ranges that hold every stretch of span words with least pairs of an item.
+
+        Longer ranges come in overlapping parts of 4 spans, so that each such stretch is whole in one part.
+        """
+        codes = pair_codes(ids)
+        at = places(self.pairs, codes)
+        if not len(at):
+            return
+        pair = np.searchsorted(self.pairs, codes[at])
+        order = np.argsort(pair, kind="stable")
+        at, (pair, start, n) = at[order], np.unique(pair[order], return_index=True, return_counts=True)
+        held = self.first[pair + 1] - self.first[pair]
+        ends = np.cumsum(held)
+        item = self.holders[np.repeat(self.first[pair] - ends + held, held) + np.arange(ends[-1])]
+        count = np.bincount(item, weights=np.repeat(n, held), minlength=len(self.words))
+        for i in np.flatnonzero(count >= least).tolist():
+            _, mine, _ = np.intersect1d(pair, self.own[i], assume_unique=True, return_indices=True)
+            p = np.sort(np.concatenate([at[a : a + k] for a, k in zip(start[mine].tolist(), n[mine].tolist())]))
+            last = p[least[i] - 1 :]
+            p = p[: len(last)]
+            near = last - p <= span[i] - PAIR
+            lows, highs = np.maximum(last[near] + PAIR - span[i], 0).tolist(), np.minimum(p[near] + span[i], len(ids)).tolist()
+            while lows:
+                k = next((k for k in range(1, len(lows)) if lows[k] > highs[k - 1]), len(lows))
+                low, high, long = lows[0], highs[k - 1], int(span[i])
+                while high - low > 4 * long:
+                    yield i, low, low + 4 * long
+                    low += 3 * long
+                yield i, low, high
+                lows, highs = lows[k:], highs[k:]
 
 
 def places(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
@@ -140,25 +171,13 @@ def align(regions: list[np.ndarray], items: list[np.ndarray], part: int = 256) -
 def hits(items: Items, texts: list[str | None], threshold: float = THRESHOLD) -> list[list[tuple[int, float, int, int]]]:
     """Of each text the items found: (item, score, first word, last word), the best region of each."""
     regions, wanted, owner = [], [], []
+    least, span = items.needs(threshold)
     for d, text in enumerate(texts):
         ids = items.numbers(words_of(text))
-        codes = gram_codes(ids)
-        by_item: dict[int, list[int]] = defaultdict(list)
-        for p in places(items.seeds, codes).tolist():
-            for i, at in items.at[int(codes[p])]:
-                by_item[i].append(p - at)
-        for i, starts in by_item.items():
-            m = len(items.words[i])
-            starts.sort()
-            a = starts[0]
-            for s, following in zip(starts, [*starts[1:], None]):
-                if following is None or following - s > m:
-                    low, high = max(0, a - m // 2), min(len(ids), s + m + m // 2)
-                    if high > low:
-                        regions.append(ids[low:high])
-                        wanted.append(items.words[i])
-                        owner.append((d, i, low))
-                    a = following
+        for i, low, high in items.regions(ids, least, span):
+            regions.append(ids[low:high])
+            wanted.append(items.words[i])
+            owner.append((d, i, low))
     best: list[dict[int, tuple[float, int, int]]] = [{} for _ in texts]
     for (d, i, low), (score, first, last) in zip(owner, align(regions, wanted)):
         share = score / len(items.words[i])
@@ -176,26 +195,6 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
         yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
 
 
-def prepare(docs: DataFrame, rows: list[tuple[int, str]]) -> Items:
-    """A block's items with seeds chosen by how many of docs' texts have each n-gram."""
-    items = Items.of(rows)
-    shared = docs.sparkSession.sparkContext.broadcast(items)
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own, found = shared.value, np.zeros(len(shared.value.grams), np.int64)
-        for b in batches:
-            for t in b.column(0):
-                codes = gram_codes(own.numbers(words_of(t.as_py())))
-                here = np.unique(codes[places(own.grams, codes)])
-                found[np.searchsorted(own.grams, here)] += 1
-        some = np.flatnonzero(found)
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int64()), pa.array(found[some], pa.int64())], names=["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(count, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).collect()
-    items.choose_seeds({int(items.grams[r["gram"]]): r["n"] for r in counted})
-    return items
-
-
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, passage) for every text and item that it holds a copy of.
 
@@ -205,7 +204,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     """
     out = None
     for rows in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(prepare(docs, rows))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             own = shared.value
@@ -234,7 +233,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRE
     """The rows of docs, with all their columns, whose text holds no copy of any item."""
     at = docs.columns.index("text")
     for rows in blocks_of(benchmark):
-        shared = docs.sparkSession.sparkContext.broadcast(prepare(docs, rows))
+        shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             for b in batches:

@@ -97,6 +97,27 @@ def test_contamination_against_brute_force(spark, docs_of):
     assert {r["doc_id"] for r in kept.collect()} == {d for d, *_ in docs} - {d for d, _ in want}
 
 
+def test_heavily_edited_copies_against_brute_force(spark, docs_of):
+    rng = random.Random(11)
+    items = [(i, " ".join(f"w{rng.randrange(400)}" for _ in range(rng.randrange(15, 40)))) for i in range(30)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        for share in (0.2, 0.25, 0.3):
+            copy = list(w)
+            for at in rng.sample(range(len(w)), round(share * len(w))):
+                copy[at] = f"x{rng.randrange(50)}"
+            docs.append((len(docs), " ".join(["before"] * 5 + copy + ["after"] * 5), "en", "s"))
+        added = [x for k, y in enumerate(w) for x in ([y, f"y{k}"] if k % 2 else [y])]  # no three words in a row are left
+        docs.append((len(docs), " ".join(added), "en", "s"))
+        docs.append((len(docs), " ".join(added * 9), "en", "s"))
+    got = decontam.contaminated(docs_of(docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    want = brute_contaminated([(d, t) for d, t, _, _ in docs], items, decontam.THRESHOLD)
+    assert {(r["doc_id"], r["item_id"]) for r in got} == want and len(want) >= 110
+    best = {(d, i): smith_waterman(decontam.words_of(docs[d][1]), decontam.words_of(items[i][1])) / len(items[i][1].split()) for d, i in want}
+    assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == best
+
+
 def test_blocks_of_items_agree(spark, docs_of):
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(20)], "item_id long, text string")
     whole = [sorted(x) for x in decontam.blocks_of(items)]
