@@ -5,7 +5,9 @@ outside links; lines inside boilerplate elements (menus, headers, footers, sideb
 reader comments) weigh nothing. Weights are summed over sliding windows of WINDOW lines: where the sum surges from
 nothing above SURGE the main text begins, where it dives back to nothing it ends, and the text between is kept.
 If the page marks its article (article, main, role=main), only lines inside carry weight, and each of them enough
-for a surge, so that short paragraphs at its edges stay; otherwise the region of the largest weight is kept.
+for a surge, so that short paragraphs at its edges stay. Otherwise any text outside links is a surge and all regions
+are kept; boilerplate lines are taken out first, so they part nothing, and only runs of WINDOW or more lines that are all links
+go besides, and such lines at the edges.
 """
 
 from __future__ import annotations
@@ -139,8 +141,8 @@ def lines_of(page: str) -> list[Line]:
     return out
 
 
-def regions(weights: list[int]) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: maximal runs without a whole window of weight 0, with a window above SURGE."""
+def regions(weights: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
+    """[surge, dive) line ranges: maximal runs without a whole window of weight 0, with a window of surge or more."""
     n = len(weights)
     sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
     out, i = [], 0
@@ -151,7 +153,7 @@ def regions(weights: list[int]) -> list[tuple[int, int]]:
                 if weights[j]:
                     end = j + 1
                 j += 1
-            if max(sums[i:end]) >= SURGE:
+            if max(sums[i:end]) >= surge:
                 out.append((i, end))
             i = max(j, end)
         else:
@@ -167,9 +169,8 @@ def main_text(page: str | None) -> str:
         weights = [0 if x.boilerplate or not x.article else SURGE + x.plain for x in lines]
         kept = regions(weights)
     else:
-        weights = [0 if x.boilerplate else x.plain for x in lines]
-        kept = regions(weights)
-        kept = [max(kept, key=lambda r: (sum(weights[r[0] : r[1]]), -r[0]))] if kept else []
+        lines = [x for x in lines if not x.boilerplate]
+        kept = regions([x.plain for x in lines], 1)
     return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.boilerplate and (x.article or not marked))
 
 

@@ -23,6 +23,18 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "gap", ["<aside><p>a</p><p>b</p><p>c</p></aside>", f"<div class='ad'>{'<p>' + P + '</p>'}<p>b</p><p>c</p><p>d</p></div>", "<ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>"]
+)
+def test_unmarked_article_goes_on_after_a_gap(gap):
+    page = f"<div class=nav><a>Home</a></div><div><p>{P * 4}</p>{gap}<p>Short.</p>{gap}<p>{P * 3}</p></div><div class=footer>(c)</div>"
+    assert H.main_text(page) == f"{(P * 4).strip()}\nShort.\n{(P * 3).strip()}"
+
+
+def test_short_unmarked_article():
+    assert H.main_text("<div class=nav><a>Home</a></div><div><p>All there is.</p></div>") == "All there is."
+
+
 def test_regions_surge_and_dive():
     w = [0, 30, 60, 0, 10, 0, 0, 0, 5, 0, 0, 0, 90]
     assert H.regions(w) == [(1, 5), (12, 13)]
