@@ -33,20 +33,28 @@ WIDTH = 64
 SEED = 42
 
 
-def text_fingerprint(text: str | None, words: int = 4) -> int:
-    """Signed 64-bit SimHash of one whole text (0 for a text without words)."""
+def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
+    """XXH64 of every run of ``words`` words of a text, of the whole text if it has fewer; none without words."""
     import xxhash
 
     w = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not w:
-        return 0
+        return np.zeros(0, "<u8")
     n = max(1, len(w) - words + 1)
     joined = b" ".join(w)
     ends = np.cumsum([len(x) + 1 for x in w]) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))[:n].tolist()
     stops = ends[min(words, len(w)) - 1 :].tolist()
     digest = xxhash.xxh64_intdigest
-    h = np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+    return np.array([digest(joined[a:b], SEED) for a, b in zip(starts, stops)], dtype="<u8")
+
+
+def text_fingerprint(text: str | None, words: int = 4) -> int:
+    """Signed 64-bit SimHash of one whole text (0 for a text without words)."""
+    h = shingle_hashes(text, words)
+    n = len(h)
+    if not n:
+        return 0
     set_bits = np.zeros(WIDTH, np.int64)
     for at in range(0, n, 65_536):
         set_bits += np.unpackbits(h[at : at + 65_536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -269,7 +277,11 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
 def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """docs without near copies: of each class the row with the smallest doc_id stays (rows without doc_id all
     stay; of rows that repeat a doc_id, one)."""
-    classes = cut(near_duplicates(docs, words, max_bits), "classes")
+    return keep_first(docs, cut(near_duplicates(docs, words, max_bits), "classes"))
+
+
+def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The rows of docs whose doc_id is its class's component_id, one per doc_id, and all rows without doc_id."""
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti")
     named = classes.where("doc_id is not null")
