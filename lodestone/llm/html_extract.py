@@ -1,21 +1,26 @@
 """HTML extraction by line-block distribution.
 
-Markup is stripped to lines, one per block element, in page order. A line's weight is the length of its text
-outside links; lines inside boilerplate elements (menus, headers, footers, sidebars, notices, adverts, forms,
-reader comments) weigh nothing. Weights are summed over sliding windows of WINDOW lines: where the sum surges from
-nothing above SURGE the main text begins, where it dives back to nothing it ends, and the text between is kept.
-If the page marks its article (article, main, role=main), only lines inside carry weight, and each of them enough
-for a surge, so that short paragraphs at its edges stay. Otherwise any text outside links is a surge and all regions
-are kept; boilerplate lines are taken out first, so they part nothing, and only runs of WINDOW or more lines that are all links
-go besides, and such lines at the edges.
+Markup is stripped to lines, one per block element, in page order. Lines inside boilerplate elements (menus, headers,
+footers, sidebars, notices, adverts, forms, reader comments) are taken out. A line's weight is the length of its text
+outside links, and weights are summed over sliding windows of WINDOW lines. Where the sums rise from nothing the text
+surges, where they fall back to nothing it dives; a stretch between the two is kept if one of its windows reaches
+SURGE, or the page's largest window where that is smaller. All such stretches are kept, so menus of links part the
+text but do not end it, and short leftovers beyond them (a copyright line, "share this") go.
+
+If the page marks its article (article, main, role=main), lines outside the mark are no part of the distribution, and
+inside it only list items count as menus: other lines weigh their links too. The windows decide there as elsewhere.
+
+Class words that are also used for articles (story related, social history) count as boilerplate only while text is
+left without them.
 """
 
 from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,9 +29,10 @@ from pyspark.sql import functions as F
 WINDOW = 3
 SURGE = 80
 
-TAG = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-RAW = re.compile(r"</(script|style|noscript|template|textarea|title|iframe|xmp)\s*[^>]*>", re.I)
-HINT = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+NAME = re.compile(r"(/?)([a-zA-Z][^\s/>]*)")
+IN_TAG = re.compile(r"[>\"']")
+HINT = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+WORD = re.compile(r"[a-z0-9]+")
 SPACE = re.compile(r"\s+")
 
 BLOCKS = frozenset(
@@ -37,11 +43,15 @@ BLOCKS = frozenset(
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 DROPPED = frozenset("script style noscript template textarea title iframe xmp".split())
 BOILERPLATE = frozenset("nav footer aside form menu dialog button select object canvas svg head".split())
+ENDED_BY_NEXT = frozenset("p li dt dd tr td th option".split())
 HINTS = frozenset(
-    "ad ads advert adverts advertisement advertisements adsense sponsor sponsored promo promotion banner sidebar comment comments "
-    "commentlist disqus cookie cookies consent notice notices alert newsletter subscribe subscription share sharing social related "
-    "recommended breadcrumb breadcrumbs menu nav navbar navigation footer popup modal overlay widget masthead toolbar pagination "
-    "pager login signup search complementary contentinfo".split()
+    "ad ads advert adverts advertisement advertisements adsense sponsored sidebar comment comments commentlist disqus cookie cookies "
+    "consent newsletter subscribe breadcrumb breadcrumbs menu nav navbar navigation footer popup modal masthead toolbar pagination "
+    "pager login signup".split()
+)
+DOUBTFUL = frozenset(
+    "sponsor promo promotion banner notice notices alert subscription share sharing social related recommended overlay widget search "
+    "complementary contentinfo".split()
 )
 
 
@@ -49,136 +59,227 @@ HINTS = frozenset(
 class Line:
     text: str
     plain: int  # code points outside links
+    item: bool  # of a list
+    boilerplate: bool
+    doubtful: bool  # boilerplate by a class word that articles have too
+    article: bool
+
+
+@dataclass
+class Element:
+    tag: str
     boilerplate: bool
+    doubtful: bool
     article: bool
+    inline: Counter = field(default_factory=Counter)  # open inline elements directly within this block
 
 
-def is_boilerplate(tag: str, attributes: str, in_article: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it marks the article, by its tag and its class, id, role."""
+def element(tag: str, attributes: str, in_article: bool) -> Element:
+    """What an element says about its text, by its tag and the words of its class, id and role."""
     hints: set[str] = set()
     role = ""
     for m in HINT.finditer(attributes):
         value = (m[2] or m[3] or m[4] or "").lower()
-        hints.update(re.split(r"[^a-z0-9]+", value))
+        hints.update(WORD.findall(value))
         if m[1].lower() == "role":
             role = value
-    if tag in BOILERPLATE or (tag == "header" and not in_article) or hints & HINTS or ("header" in hints and not in_article) or role in ("banner", "search"):
-        return (tag not in ("html", "body", "main")), False
-    return False, tag in ("article", "main") or role in ("main", "article")
+    article = tag in ("article", "main") or role in ("main", "article")
+    if tag in ("html", "body", "main"):
+        return Element(tag, False, False, article)
+    head = tag == "header" or "header" in hints or role == "banner"
+    sure = tag in BOILERPLATE or bool(hints & HINTS) or (head and not in_article and not article)
+    return Element(tag, sure, bool(hints & DOUBTFUL) and not article, article and not sure)
 
 
-def lines_of(page: str) -> list[Line]:
-    """The page's block texts in order, white space folded, references decoded; empty blocks are left out."""
-    out: list[Line] = []
-    parts: list[str] = []
-    linked = 0
-    stack: list[tuple[str, bool, bool]] = []  # open elements that matter: tag, boilerplate, article
-    depth = {"boilerplate": 0, "article": 0, "a": 0}
-
-    def add(raw: str) -> None:
-        nonlocal linked
+def tag_end(page: str, at: int) -> int:
+    """The position of the > that ends a tag, quoted values skipped; -1 if none. A quote that is never closed ends
+    nothing: there is no further one of its kind, so each page meets that at most twice."""
+    m = IN_TAG.search(page, at)
+    while m and m[0] != ">":
+        close = page.find(m[0], m.end())
+        m = IN_TAG.search(page, close + 1 if close >= 0 else m.end())
+    return m.start() if m else -1
+
+
+def raw_end(page: str, tag: str, at: int) -> int:
+    """The position behind the closing tag of an element whose content is no markup; the page's end if none."""
+    m = re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I).search(page, at)
+    return m.end() if m else len(page)
+
+
+class Reader:
+    """Turns one page into lines, in one pass from its first character to its last."""
+
+    def __init__(self) -> None:
+        self.lines: list[Line] = []
+        self.parts: list[str] = []
+        self.linked = 0
+        self.stack = [Element("", False, False, False)]
+        self.blocks = [self.stack[0]]
+        self.open: Counter = Counter()
+        self.boilerplate = self.doubtful = self.article = self.items = 0
+        self.skipped = 0  # open inline elements of boilerplate, whose text is left out of its line
+        self.link_at = 0  # stack height at which a link is open; 0 if none
+
+    def add(self, raw: str) -> None:
+        if self.skipped:
+            return
         text = html_lib.unescape(raw)
-        parts.append(text)
-        if depth["a"]:
-            linked += len(SPACE.sub(" ", text).strip())
+        self.parts.append(text)
+        if self.link_at:
+            self.linked += len(SPACE.sub(" ", text).strip())
 
-    def flush() -> None:
-        nonlocal linked
-        text = SPACE.sub(" ", "".join(parts)).strip()
+    def flush(self) -> None:
+        text = SPACE.sub(" ", "".join(self.parts)).strip()
         if text:
-            out.append(Line(text, max(0, len(text) - linked), depth["boilerplate"] > 0, depth["article"] > 0))
-        parts.clear()
-        linked = 0
-
-    def close(tag: str) -> None:
-        if any(x[0] == tag for x in stack):
-            while True:
-                name, bad, art = stack.pop()
-                depth["boilerplate"] -= bad
-                depth["article"] -= art
-                if name == tag:
-                    break
-
-    at = 0
-    while m := TAG.search(page, at):
-        if m.start() > at:
-            add(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
-            continue
-        closing, tag = bool(m[1]), m[2].lower()
-        if tag in BLOCKS or tag in BOILERPLATE:
-            flush()
-        if closing:
-            depth["a"] = 0 if tag == "a" else depth["a"]
-            if tag in BLOCKS or tag in BOILERPLATE:
-                depth["a"] = 0
-                close(tag)
-        elif tag == "br":
-            parts.append(" ")
-        elif tag in DROPPED:
-            if not m[3].endswith("/"):
-                end = next((x for x in RAW.finditer(page, at) if x[1].lower() == tag), None)
-                at = end.end() if end else len(page)
-        elif tag == "a":
-            depth["a"] = 1
-        elif tag not in VOID:
-            bad, art = is_boilerplate(tag, m[3], depth["article"] > 0)
+            self.lines.append(Line(text, max(0, len(text) - self.linked), self.items > 0, self.boilerplate > 0, self.doubtful > 0, self.article > 0))
+        self.parts.clear()
+        self.linked = 0
+
+    def push(self, e: Element) -> None:
+        self.stack.append(e)
+        self.open[e.tag] += 1
+        self.count(e, 1)
+        if e.tag in BLOCKS or e.tag in BOILERPLATE:
+            self.blocks.append(e)
+        else:
+            self.blocks[-1].inline[e.tag] += 1
+
+    def count(self, e: Element, by: int) -> None:
+        if e.tag not in BLOCKS and e.tag not in BOILERPLATE:
+            self.skipped += by * (e.boilerplate or e.doubtful)
+            return
+        self.boilerplate += by * e.boilerplate
+        self.doubtful += by * e.doubtful
+        self.article += by * e.article
+        self.items += by * (e.tag == "li")
+
+    def pop(self) -> Element:
+        e = self.stack.pop()
+        self.open[e.tag] -= 1
+        self.count(e, -1)
+        if e is self.blocks[-1]:
+            self.blocks.pop()
+        else:
+            self.blocks[-1].inline[e.tag] -= 1
+        if len(self.stack) < self.link_at:
+            self.link_at = 0
+        return e
+
+    def start(self, tag: str, attributes: str) -> None:
+        if tag == "br":
+            self.parts.append(" ")
+        if tag == "a":
+            self.link_at = len(self.stack)
+        if tag == "a" or tag in VOID:
+            return
+        block = tag in BLOCKS or tag in BOILERPLATE
+        if tag in ENDED_BY_NEXT and self.blocks[-1].tag == tag:
+            while self.pop().tag != tag:
+                pass
+        # An inline element matters only if it says something: bold text and such need no entry.
+        e = element(tag, attributes, self.article > 0)
+        if not attributes.endswith("/") and (block or e.boilerplate or e.doubtful or self.blocks[-1].inline[tag]):
+            self.push(e)
+
+    def end(self, tag: str) -> None:
+        block = tag in BLOCKS or tag in BOILERPLATE
+        if tag == "a":
+            self.link_at = 0
+        if self.open[tag] if block else self.blocks[-1].inline[tag]:
+            while self.pop().tag != tag:
+                pass
+
+    def read(self, page: str) -> list[Line]:
+        at, n = 0, len(page)
+        while at < n:
+            lt = page.find("<", at)
+            if lt < 0:
+                self.add(page[at:])
+                break
+            m = NAME.match(page, lt + 1)
+            if not m and page[lt + 1 : lt + 2] not in ("!", "?"):  # a lone < is text
+                self.add(page[at : lt + 1])
+                at = lt + 1
+                continue
+            if lt > at:
+                self.add(page[at:lt])
+            if not m:
+                comment = page.startswith("<!--", lt)
+                end = page.find("-->" if comment else ">", lt + 2)
+                at = n if end < 0 else end + (3 if comment else 1)
+                continue
+            end = tag_end(page, m.end())
+            if end < 0:  # cut off inside a tag
+                break
+            at = end + 1
+            tag = m[2].lower()
             if tag in BLOCKS or tag in BOILERPLATE:
-                if tag in ("p", "li", "dt", "dd", "tr", "td", "th", "option") and stack and stack[-1][0] == tag:
-                    close(tag)
-                if not m[3].endswith("/"):
-                    stack.append((tag, bad, art))
-                    depth["boilerplate"] += bad
-                    depth["article"] += art
-            elif bad:  # an inline element marked as boilerplate, such as a span of class ad: leave its text out
-                close_at = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-                at = close_at.end() if close_at else at
-    if at < len(page):
-        rest = page[at:]
-        add(rest[: rest.rfind("<")] if re.search(r"<[a-zA-Z/!][^<>]*$", rest) else rest)
-    flush()
-    return out
+                self.flush()
+            if m[1]:
+                self.end(tag)
+            elif tag in DROPPED:
+                at = at if page[end - 1] == "/" else raw_end(page, tag, at)
+            else:
+                self.start(tag, page[m.end() : end])
+        self.flush()
+        return self.lines
+
+
+def lines_of(page: str) -> list[Line]:
+    """The page's block texts in order, white space folded, references decoded; empty blocks are left out."""
+    return Reader().read(page)
+
+
+def windows(weights: list[int]) -> list[int]:
+    """The sum of each line's weight and those of the next WINDOW - 1 lines."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
 
 
 def regions(weights: list[int], surge: int = SURGE) -> list[tuple[int, int]]:
-    """[surge, dive) line ranges: maximal runs without a whole window of weight 0, with a window of surge or more."""
-    n = len(weights)
-    sums = [sum(weights[i : i + WINDOW]) for i in range(n)]
-    out, i = [], 0
+    """[surge, dive) line ranges: from the first to the last line with weight of each stretch without a window of
+    weight 0, if a window that starts in it reaches ``surge``, or the largest window of all where that is smaller."""
+    sums = windows(weights)
+    level = min(surge, max(sums, default=0))
+    out, i, n = [], 0, len(weights)
     while i < n:
-        if weights[i] and sums[i]:
-            j, end = i, i + 1
+        if weights[i]:
+            j = end = i
             while j < n and sums[j]:
-                if weights[j]:
-                    end = j + 1
+                end = j + 1 if weights[j] else end
                 j += 1
-            if max(sums[i:end]) >= surge:
+            if max(sums[i:end]) >= level:
                 out.append((i, end))
-            i = max(j, end)
+            i = j
         else:
             i += 1
     return out
 
 
-def main_text(page: str | None) -> str:
+def main_text(page: str | None, surge: int = SURGE) -> str:
     """The page's main text: blocks joined by newlines; empty for a null or empty page or one without main text."""
-    lines = lines_of(page or "")
-    marked = any(x.article and not x.boilerplate for x in lines)
-    if marked:
-        weights = [0 if x.boilerplate or not x.article else SURGE + x.plain for x in lines]
-        kept = regions(weights)
-    else:
-        lines = [x for x in lines if not x.boilerplate]
-        kept = regions([x.plain for x in lines], 1)
-    return "\n".join(x.text for a, b in kept for x in lines[a:b] if not x.boilerplate and (x.article or not marked))
+    lines = [x for x in lines_of(page or "") if not x.boilerplate]
+    if any(x.article for x in lines):
+        lines = [x for x in lines if x.article]
+    if not all(x.doubtful for x in lines):
+        lines = [x for x in lines if not x.doubtful]
+    weights = [len(x.text) if x.article and not x.item else x.plain for x in lines]
+    found = regions(weights, surge)
+    if not found:
+        return ""
+    inside = [False] * len(lines)
+    for a, b in found:
+        inside[a:b] = [True] * (b - a)
+    first, last = found[0][0], found[-1][1]
+    return "\n".join(lines[i].text for i in range(first, last) if inside[i] or weights[i])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars of every row of pages.
 
-    A null or empty html gives an empty text. Repeated rows stay. Other columns are not read; an empty table gives
-    no rows. Each page is read whole, in one Arrow map without any shuffle.
+    A null or empty html gives an empty text; so does a page of boilerplate or of links only. Repeated rows stay.
+    Other columns, whatever their names, are not read; an empty table gives no rows. Each page is read whole, in time
+    linear in its length, in one Arrow map without any shuffle.
     """
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 
 from lodestone.llm import html_extract as H
@@ -38,6 +41,61 @@ def test_short_unmarked_article():
 def test_regions_surge_and_dive():
     w = [0, 30, 60, 0, 10, 0, 0, 0, 5, 0, 0, 0, 90]
     assert H.regions(w) == [(1, 5), (12, 13)]
+    assert H.regions([0, 5, 0, 0, 0, 3]) == [(1, 2)]  # below SURGE everywhere: the page's largest window is the level
+
+
+def brute_regions(w, surge):
+    """Any two lines with weight belong together unless a window between them is empty."""
+    sums = [sum(w[i : i + H.WINDOW]) for i in range(len(w))]
+    heavy, groups = [i for i, x in enumerate(w) if x], []
+    for i in heavy:
+        if groups and all(sums[groups[-1][-1] : i]):
+            groups[-1].append(i)
+        else:
+            groups.append([i])
+    level = min(surge, max(sums, default=0))
+    return [(g[0], g[-1] + 1) for g in groups if max(sums[g[0] : g[-1] + 1]) >= level]
+
+
+def test_regions_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(2000):
+        w = [rng.choice([0, 0, 0, 0, 5, 30, 70]) for _ in range(rng.randrange(20))]
+        assert H.regions(w, 80) == brute_regions(w, 80)
+        assert H.windows(w) == [w[i] + (w[i + 1] if i + 1 < len(w) else 0) + (w[i + 2] if i + 2 < len(w) else 0) for i in range(len(w))]
+
+
+def test_the_windows_decide_on_marked_pages_too():
+    links = "<ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>"
+    page = f"<article><p>{P * 3}</p>{links}<p>Filed by staff</p></article>"
+    assert H.main_text(page) == (P * 3).strip()
+    assert H.main_text(page, surge=1) == (P * 3).strip() + "\nFiled by staff"
+    assert H.main_text(f"<article><p>{P * 3}</p>{links}<p>{P * 2}</p></article>") == (P * 3).strip() + "\n" + (P * 2).strip()
+
+
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<article><p>ok</p><p>fine</p></article>", "ok\nfine"),
+        ("<p>a <span class=ad><span>x</span>BUY NOW</span> b</p>", "a b"),
+        ('<article class="story related"><p>Text.</p></article>', "Text."),
+        ('<div class="social history"><p>Text.</p></div>', "Text."),
+        (f'<div class="social history"><p>Share</p></div><div><p>{P}</p></div>', P.strip()),
+        ('<article class="comment"><p>Text.</p></article>', ""),
+        (f"<div><p>{P * 4}</p><div class=ad><p>{P}</p><p>{P}</p><p>{P}</p></div><p>{P * 3}</p><p>{P * 2}</p></div>", "\n".join((P * i).strip() for i in (4, 3, 2))),
+        (f"<article><h1><a>Title</a></h1><p>By A</p><p>Today</p><p>{P}</p></article>", f"Title\nBy A\nToday\n{P.strip()}"),
+        ('<p title="a > b">x</p><p title=\'it"s\'>y</p>', "x\ny"),
+    ],
+)
+def test_hints_and_depth(page, text):
+    assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '", "<div><b>", "<b><i></b>", "<!-- ", "<script>", "<span class=ad>"])
+def test_time_is_linear_in_the_page(piece):
+    began = time.time()
+    H.main_text(piece * (1_000_000 // len(piece)))
+    assert time.time() - began < 10
 
 
 def test_table(spark):
