@@ -1,18 +1,24 @@
 """Mixing sources to target weights, in DataFrame expressions only.
 
 Every source gets a target of words: its weight's share of all words, at most ``cap`` times its own words, the
-excess shared again by weight. A schedule of ``slots`` equal-token slots is dealt to the sources by a
-low-discrepancy sequence: the k-th point, the fraction of k times the golden ratio, falls into one source's
-stretch of the cumulative targets. A source's slots are ranked and joined with the equal-token blocks of its
-documents in shuffled (hashed) order; a source too small for a slot of its own has one block and no slot.
+excess shared again by weight. A schedule of ``slots`` slots, each of one global block length, is dealt to the sources
+by a low-discrepancy sequence: slot k's van der Corput point (the mirrored bits of k) falls into one source's stretch
+of the cumulative targets, or behind them all, and then the slot is idle. A source's slots are ranked and joined with
+the equal-token blocks of its documents in shuffled (hashed) order: as many blocks are taken as the source has slots.
+Only the last block is corrected: it ends at the target, and where the slots fall short one partial block is added.
+So a source misses its target by what the sequence's count differs from the target beyond one block; the points of
+a power of two of slots are evenly spaced, and their count never does.
 
 Scale: the schedule has a fixed number of slots, so a block grows with the corpus and a document meets few blocks.
-Ranks and running sums are taken in two levels (within hash buckets, then over the buckets' totals), so a source
-with a third of all rows never meets in one task.
+Ranks and running sums are taken in two levels (within hash ranges, then over the ranges' totals), so a source
+with a third of all rows never meets in one task; the number of ranges grows with the rows. The windows over sources run
+over one row per source.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -21,8 +27,9 @@ from lodestone.llm.common import cut
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 SLOTS = 1 << 18
-GOLDEN = 0.6180339887498949
 CELLS = 4096
+RANGE_ROWS = 4096
+COPIES = 100_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -55,33 +62,42 @@ def targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = C
     return s.select("source", "source_size", F.least(F.col("most"), F.col("level") * F.col("w")).alias("target"), "i")
 
 
-def schedule(spark: SparkSession, goals: DataFrame, slots: int = SLOTS) -> DataFrame:
+def van_der_corput(k: Column, slots: int) -> Column:
+    """The k-th point of the base-2 van der Corput sequence: the bits of k mirrored at the binary point."""
+    bits = max(1, (slots - 1).bit_length())
+    mirrored = F.reverse(F.lpad(F.bin(k), bits, "0"))
+    return F.conv(mirrored, 2, 10).cast("double") / (1 << bits)
+
+
+def schedule(spark: SparkSession, goals: DataFrame, slots: int = SLOTS, span: float | None = None, point: Callable[[Column, int], Column] = van_der_corput) -> DataFrame:
     """(slot, i, turn): the source i that takes each slot, and how many earlier slots it has.
 
-    goals has i and target; targets are laid end to end over [0, 1). Both sides are cut into CELLS equal cells, so
-    points meet stretches by an equi-join.
+    goals has i and target; targets are laid end to end over [0, 1), or over their share of ``span`` where that is
+    given: slots behind them are idle and have no row. Both sides are cut into CELLS equal cells, so points meet
+    stretches by an equi-join.
     """
-    total = F.sum("target").over(Window.partitionBy(F.lit(0)))
+    total = F.sum("target").over(Window.partitionBy(F.lit(0))) if span is None else F.lit(float(span))
     upto = F.sum("target").over(Window.orderBy("i").rowsBetween(Window.unboundedPreceding, 0))
     ends = goals.select("i", "target", (upto / total).alias("hi")).withColumn("lo", F.coalesce(F.lag("hi").over(Window.orderBy("i")), F.lit(0.0)))
     ends = ends.where("hi > lo")
     ends = ends.withColumn("cell", F.explode(F.sequence(F.floor(F.col("lo") * CELLS), F.least(F.floor(F.col("hi") * CELLS), F.lit(CELLS - 1)))))
-    points = spark.range(slots).select(F.col("id").alias("slot"), (F.col("id") * F.lit(GOLDEN) - F.floor(F.col("id") * F.lit(GOLDEN))).alias("u"))
+    points = spark.range(slots).select(F.col("id").alias("slot"), point(F.col("id"), slots).alias("u"))
     points = points.withColumn("cell", F.floor(F.col("u") * CELLS))
-    dealt = points.join(ends, "cell").where("u >= lo and (u < hi or hi >= 1)").select("slot", "i", F.floor(F.col("slot") / 1024).alias("run"))
+    dealt = points.join(ends, "cell").where("u >= lo and u < hi").select("slot", "i", F.floor(F.col("slot") / 1024).alias("run"))
     dealt = dealt.withColumn("inside", F.row_number().over(Window.partitionBy("i", "run").orderBy("slot")) - 1)
     runs = dealt.groupBy("i", "run").count()
     runs = runs.withColumn("earlier", F.coalesce(F.sum("count").over(Window.partitionBy("i").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return dealt.join(runs, ["i", "run"]).select("slot", "i", (F.col("earlier") + F.col("inside")).alias("turn"))
 
 
-def shuffled(sized: DataFrame, buckets: int = 1024) -> DataFrame:
+def shuffled(sized: DataFrame, ranges: int = 1024) -> DataFrame:
     """sized (i, doc_id, size, copy) with ``start``: the words before the document in its source's shuffled order.
 
-    The order is md5 of the doc_id (then the doc_id and the copy number), so reruns agree.
+    The order is md5 of the doc_id and the copy number (then these themselves), whatever the number of ranges, so
+    reruns agree.
     """
     s = sized.withColumn("h", F.md5(F.concat_ws("#", F.col("doc_id").cast("string"), F.col("copy").cast("string"))))
-    s = s.withColumn("b", F.conv(F.substring("h", 1, 6), 16, 10).cast("long") % buckets)
+    s = s.withColumn("b", F.floor(F.conv(F.substring("h", 1, 8), 16, 10).cast("long") * F.lit(ranges) / (1 << 32)))
     inside = Window.partitionBy("i", "b").orderBy("h", "doc_id", "copy").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumn("inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     sums = s.groupBy("i", "b").agg(F.sum("size").alias("words"))
@@ -89,36 +105,49 @@ def shuffled(sized: DataFrame, buckets: int = 1024) -> DataFrame:
     return s.join(sums.select("i", "b", "earlier"), ["i", "b"]).withColumn("start", F.col("earlier") + F.col("inside")).drop("h", "b", "inside", "earlier")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, slots: int = SLOTS) -> DataFrame:
+def copies(rows: DataFrame) -> DataFrame:
+    """Each of rows' equal rows with a number of its own, ``copy`` (from 1); no array is longer than COPIES."""
+    counted = rows.groupBy(*rows.columns).count().withColumn("_c", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("count") - 1) / COPIES))))
+    first = F.col("_c") * COPIES
+    return counted.withColumn("copy", F.explode(F.sequence(first + 1, F.least(F.col("count"), first + COPIES)))).drop("count", "_c")
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: int = CAP, slots: int = SLOTS, point: Callable[[Column, int], Column] = van_der_corput) -> DataFrame:
     """doc_id, size, source, source_size, target, taken, first_slot for every row of docs.
 
     ``taken`` counts the words of the row that the mix takes, repeats counted, at most cap times its size.
-    ``first_slot`` is the slot whose block first reaches it (null if none does). Null texts have size 0 and are
+    ``first_slot`` is the earliest slot whose block reaches it (null if none does). Null texts have size 0 and are
     never taken; null sources are one source, last in order. Rows that repeat a doc_id are mixed as rows of their
-    own. Without any words all targets are 0. An empty table gives no rows.
+    own. Without any words all targets are 0. An empty table gives no rows; extra columns are not read.
 
-    A source's blocks lie on its documents' shuffled stream, repeated up to cap times and ended at its target; its
-    block length is its target over the number of its slots, so taken words meet the target but for a fraction.
+    A block is as many words as make ``slots`` blocks of the whole mix, one at least. A source's blocks lie on its
+    documents' shuffled stream, repeated up to cap times; the first ones, one per slot, are taken.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"))
-    rows = rows.groupBy("doc_id", "source", "size").count().withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("count").cast("int")))).drop("count")
-    rows = cut(rows, "sizes")
-    goals = cut(targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, cap), "targets")
-    total = goals.agg(F.sum("source_size")).first()[0] or 0
-    dealt = cut(schedule(spark, goals, min(slots, total)), "schedule")
-    found = dealt.groupBy("i").agg(F.count("*").alias("turns"))
-    goals = goals.join(found, "i", "left").withColumn("upto", F.floor(F.coalesce("target", F.lit(0.0))))
-    goals = cut(goals.withColumn("block", F.greatest(F.lit(1), F.ceil(F.col("upto") / F.coalesce("turns", F.lit(1))))), "blocks")
-    placed = cut(shuffled(rows.join(goals.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")), "placed")
+    rows = cut(copies(docs.select(F.col("doc_id").cast("long"), "source", words(F.col("text")).alias("size"))), "sizes")
+    by_source = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("rows"))
+    by_source = cut(by_source, "sources")
+    goals = cut(targets(by_source.select("source", "source_size"), weights, cap), "targets")
+    total, n = by_source.agg(F.sum("source_size"), F.sum("rows")).first()
+    total, n = total or 0, n or 0
+    block = max(1, -(-total // slots))
+    dealt = cut(schedule(spark, goals, slots, slots * block, point), "schedule")
+    turns = F.coalesce("turns", F.lit(0))
+    goals = goals.join(dealt.groupBy("i").agg(F.count("*").alias("turns")), "i", "left").withColumn("turns", turns)
+    # The last block alone may be cut or, beyond the slots, added in part.
+    upto = F.greatest((F.col("turns") - 1) * block, F.least((F.col("turns") + 1) * block, F.floor(F.coalesce("target", F.lit(0.0)))))
+    goals = goals.withColumn("upto", F.least(F.greatest(upto, F.lit(0)), F.col("source_size") * cap))
+    ranges = 1024 * max(1, -(-n // (1024 * RANGE_ROWS)))
+    placed = rows.join(goals.withColumnRenamed("source", "named"), F.col("source").eqNullSafe(F.col("named"))).drop("named")
+    placed = cut(shuffled(placed, ranges), "placed")
     passes = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(cap - 1))))
     passes = passes.withColumn("start", F.col("start") + F.col("pass") * F.col("source_size"))
     passes = passes.withColumn("end", F.least(F.col("start") + F.col("size"), F.col("upto")))
-    met = F.when(F.col("start") < F.col("end"), F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block"))))
+    met = F.when(F.col("start") < F.col("end"), F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block)))
     spread = passes.withColumn("turn", F.explode_outer(met))
-    inside = F.least(F.col("end"), (F.col("turn") + 1) * F.col("block")) - F.greatest(F.col("start"), F.col("turn") * F.col("block"))
-    # A block is taken by its slot; a source too small for a slot has one block, taken by none.
-    inside = F.when(F.col("turn").isNotNull() & (F.col("slot").isNotNull() | F.col("turns").isNull()), inside)
+    inside = F.least(F.col("end"), (F.col("turn") + 1) * block) - F.greatest(F.col("start"), F.col("turn") * block)
+    # A block is taken by its slot, or is the one partial block beyond a source's slots.
+    inside = F.when(F.col("slot").isNotNull() | (F.col("turn") == F.col("turns")), inside)
     rows = spread.join(dealt, ["i", "turn"], "left").groupBy("doc_id", "size", "copy", "source", "source_size", "target")
     out = rows.agg(F.sum(inside).alias("taken"), F.min("slot").alias("first_slot"))
     return out.select("doc_id", "size", "source", "source_size", F.coalesce("target", F.lit(0.0)).alias("target"), F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "first_slot")

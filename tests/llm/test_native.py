@@ -106,6 +106,62 @@ def test_schedule_has_low_discrepancy(spark):
         assert all(abs(seen.get(i, 0) - n * w) < 6 for i, w in ((0, 0.5), (1, 0.3), (2, 0.2)))
 
 
+def brute_mix(rows, slots, point, cap=3):
+    """taken by (source, doc_id) with every word of every stream laid out; point(k) in [0, 1)."""
+    sizes = {}
+    for d, t, _, s in rows:
+        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+    goal, total = brute_targets(sizes), sum(sizes.values())
+    block = max(1, -(-total // slots))
+    names = sorted((s for s in sizes if s is not None)) + ([None] if None in sizes else [])
+    ends, at, turns = [], 0.0, dict.fromkeys(names, 0)
+    for s in names:
+        ends.append((at, at + goal[s], s))
+        at += goal[s]
+    for k in range(slots):
+        for lo, hi, s in ends:
+            if lo / (slots * block) <= point(k) < hi / (slots * block):
+                turns[s] += 1
+    taken = {}
+    for s in names:
+        own = sorted((hashlib.md5(f"{d}#1".encode()).hexdigest(), d, len((t or "").split())) for d, t, _, x in rows if x == s)
+        stream = [d for _, d, n in own for _ in range(n)] * cap
+        upto = max((turns[s] - 1) * block, min((turns[s] + 1) * block, int(goal[s] + 1e-9)), 0)
+        for d in stream[:upto]:
+            taken[d] = taken.get(d, 0) + 1
+    return taken
+
+
+@pytest.mark.parametrize("slots", [64, 1000, 1 << 18])
+def test_mix_against_brute_force(docs_of, slots):
+    rng = random.Random(slots)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 40)), "en", rng.choice(["a", "a", "a", "b", "c", None])) for i in range(120)]
+    bits = (slots - 1).bit_length()
+    mirrored = lambda k: int(format(k, f"0{bits}b")[::-1], 2) / (1 << bits)
+    got = {r["doc_id"]: r["taken"] for r in mixing.mix(docs_of(rows), slots=slots).collect()}
+    assert {d: n for d, n in got.items() if n} == brute_mix(rows, slots, mirrored)
+
+
+def test_the_schedule_decides_what_is_taken(docs_of):
+    rng = random.Random(1)
+    rows = [(i, " ".join(["w"] * rng.randrange(0, 60)), "en", "abcd"[i % 4]) for i in range(200)]
+    even = {r["doc_id"]: r["taken"] for r in mixing.mix(docs_of(rows)).collect()}
+    clumped = lambda k, n: k.cast("double") / (2 * n)  # noqa: E731  all points in the first half
+    other = mixing.mix(docs_of(rows), point=clumped).collect()
+    assert {r["doc_id"]: r["taken"] for r in other} != even
+    by_source = {}
+    for r in other:
+        by_source[r["source"]] = (by_source.get(r["source"], (0, 0))[0] + r["taken"], r["target"])
+    assert any(abs(taken - target) > 100 for taken, target in by_source.values())
+
+
+def test_equal_rows_are_numbered(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 4)
+    rows = spark.createDataFrame([(None, "a", 1)] * 11 + [(1, None, 0)] * 4, "doc_id long, source string, size long")
+    out = sorted((r["doc_id"] or 0, r["copy"]) for r in mixing.copies(rows).collect())
+    assert out == [(0, i + 1) for i in range(11)] + [(1, i + 1) for i in range(4)]
+
+
 def test_mix_odd_rows(odd, docs_of):
     out = mixing.mix(odd).collect()
     assert len(out) == 9 and sum(r["doc_id"] == 3 for r in out) == 2
