@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lodestone.llm import ann, decontam
@@ -42,6 +43,56 @@ def test_recall_and_ties(spark):
         assert abs(r.score - float(x[r.query_id] @ x[r.vec_id])) < 1e-12
 
 
+def scored_share(index):
+    """Pairs scored per query over the number of rows, for queries spread like the rows."""
+    total = 0.0
+    for s in index.share:
+        for b, p in enumerate(s):
+            first = int(index.first(np.array([b]))[0])
+            total += p * s[first : first + 3].sum()
+    return total
+
+
+def clustered(n, d, clusters, rng):
+    x = rng.normal(size=(clusters, d))[rng.integers(0, clusters, n)] + 0.15 * rng.normal(size=(n, d))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def measured(spark, x, **settings):
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    out = ann.search(df, F.col("vec_id") % 500 == 0, **settings).toPandas()
+    queries = np.arange(0, len(x), 500)
+    s = x[queries] @ x.T
+    s[np.arange(len(queries)), queries] = -np.inf
+    want = np.argsort(-s, axis=1, kind="stable")[:, :20]
+    got = {q: set(g.vec_id) for q, g in out.groupby("query_id")}
+    return np.mean([len(got[q] & set(w)) / 20 for q, w in zip(queries, want)])
+
+
+def test_recall_at_50000_rows_without_searching_all(spark):
+    x = clustered(50_000, 32, 400, np.random.default_rng(5)).astype(np.float32).astype(np.float64)
+    share = scored_share(ann.fit(x[:20_000], 20, 24, 8, 0.93))
+    assert share < 0.3
+    assert measured(spark, x) >= 0.9
+
+
+def test_parts_change_nothing(spark):
+    x = clustered(3000, 16, 20, np.random.default_rng(6))
+    df = spark.createDataFrame(list(enumerate(x.tolist())), "vec_id long, embedding array<double>")
+    whole = ann.search(df, F.col("vec_id") % 20 == 0).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    parts = ann.search(df, F.col("vec_id") % 20 == 0, part_rows=100, part_queries=10).toPandas().sort_values(["query_id", "rank"]).reset_index(drop=True)
+    pd.testing.assert_frame_equal(whole, parts)
+
+
+def test_a_dense_cluster_is_dealt_in_parts():
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=(6000, 16))
+    x[:2000] = x[0] + 1e-3 * rng.normal(size=(2000, 16))
+    index = ann.fit(x, 20, 4, 8, 0.5)
+    # The axes are evened out, so near-equal vectors spread over blocks like any others.
+    assert max(s.max() for s in index.share) < 0.1
+
+
 def test_odd_vectors(spark):
     rows = [(0, None), (20, []), (1, [0.0, 0.0]), (2, [1.0, None]), (3, [float("nan"), 1.0]), (4, [float("inf"), 1.0]), (None, [1.0, 0.0]), (5, [1.0, 2.0, 3.0]), (40, [1.0, 0.0]), (6, [0.5, 0.5]), (6, [0.5, 0.5]), (7, [-1.0, 0.0])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
