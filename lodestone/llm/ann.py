@@ -146,7 +146,7 @@ def bins_of(rows: np.ndarray, most: int) -> np.ndarray:
 
 
 def search(
-    rows: DataFrame, is_query: Column, k: int = 20, curves: int = 24, dims: int = 8, recall: float = 0.93, sample_rows: int = 20_000, part_rows: int = 32_768, part_queries: int = 8192
+    rows: DataFrame, is_query: Column, k: int = 20, curves: int = 16, dims: int = 8, recall: float = 0.93, sample_rows: int = 20_000, part_rows: int = 32_768, part_queries: int = 8192
 ) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each query row, nearest first, ties to smaller ids.
 
