@@ -1,4 +1,5 @@
 import hashlib
+import math
 import random
 import re
 
@@ -41,9 +42,93 @@ def test_random_tokens_are_told_from_words(docs_of):
     assert not any(spans[100 + i] for i in range(60))
 
 
-def test_normal_tail(spark):
-    import math
+def upper_chi(x, df):
+    z = ((x / df) ** (1 / 3) - (1 - 2 / (9 * df))) / math.sqrt(2 / (9 * df))
+    return 1.0 if z <= 0 else math.erfc(z / math.sqrt(2)) / 2
+
+
+def brute_battery(token):
+    """The four p-values, symbol by symbol."""
+    t = token.rstrip("=")
+    if re.fullmatch("[0-9a-f]+|[0-9A-F]+", t):
+        name = "hex"
+    elif re.fullmatch("[A-Z2-7]+", t):
+        name = "base32"
+    elif re.fullmatch("[0-9a-z]+|[0-9A-Z]+", t):
+        name = "base36"
+    else:
+        name = "base62" if t.isalnum() else "base64"
+    alphabet, sizes = secret_scan.ENCODINGS[name]
+    t = t.lower() if name in ("hex", "base36") else t.replace("-", "+").replace("_", "/")
+    at, n, size = [alphabet.index(c) for c in t], len(t), len(alphabet)
+    m = 4
+    while 2 * m <= min(n / 4, size):
+        m *= 2
+    chi = 0.0
+    for c in range(m):
+        expected = n * len(range(c, size, m)) / size
+        chi += (sum(i % m == c for i in at) - expected) ** 2 / expected
+    got = [sum(c.islower() for c in t), sum(c.isupper() for c in t), sum(c.isdigit() for c in t)]
+    parts = [(g, sum(got) * k / sum(sizes)) for g, k in zip(got, sizes) if k]
+    p_classes = upper_chi(sum((g - e) ** 2 / e for g, e in parts), len(parts) - 1) if sum(got) else 0.0
+    half = [2 * i >= size for i in at]
+    changes = sum(a != b for a, b in zip(half, half[1:]))
+    p_runs = math.erfc(abs((changes - (n - 1) / 2) / (math.sqrt(n - 1) / 2)) / math.sqrt(2))
+    mean = sum(at) / n
+    spread = sum((i - mean) ** 2 for i in at)
+    lagged = sum((a - mean) * (b - mean) for a, b in zip(at, at[1:]))
+    p_serial = math.erfc(abs(lagged / spread * math.sqrt(n)) / math.sqrt(2)) if spread else 0.0
+    return {"encoding": name, "p_symbols": upper_chi(chi, m - 1), "p_classes": p_classes, "p_runs": p_runs, "p_serial": p_serial}
+
+
+def test_battery_against_brute_force(spark):
+    rng = random.Random(12)
+    alphabets = ["0123456789abcdef", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "abcdefghijklmnopqrstuvwxyz0123456789", secret_scan.UPPER + secret_scan.LOWER + "0123456789", secret_scan.UPPER + secret_scan.LOWER + "0123456789+/", "ab-_", "aB3"]
+    tokens = ["".join(rng.choice(a) for _ in range(rng.choice([20, 27, 40, 64, 150, 700]))) for a in alphabets for _ in range(8)]
+    tokens += ["a" * 20, "aB3" * 9, "----____++++////----", "Q7" * 15 + "=="]
+    df = spark.createDataFrame([(t,) for t in tokens], "t string").withColumn("x", secret_scan.profile(F.col("t")))
+    got = df.select("t", "x.encoding", *[v.alias(k) for k, v in secret_scan.battery(F.col("x")).items()]).collect()
+    for r in got:
+        for k, v in brute_battery(r["t"]).items():
+            assert r[k] == (v if k == "encoding" else pytest.approx(v, abs=1e-6)), (r["t"], k)
+    # Two or three symbols in the right shares are not uniform, though their classes are.
+    repeated = brute_battery("aB3aB3aB3aB" * 4)
+    assert repeated["p_symbols"] < 1e-6
+
+
+def test_step_up_against_brute_force():
+    rng = random.Random(2)
+    for _ in range(300):
+        ordinary = {(rng.randrange(4), rng.randrange(10)): rng.randrange(1, 60) for _ in range(rng.randrange(12))}
+        asked = {(rng.randrange(4), rng.randrange(10)): rng.randrange(1, 9) for _ in range(rng.randrange(8))}
+        tokens = [cb for cb, k in asked.items() for _ in range(k)]
+        mean = sum(secret_scan.LENGTHS[c] for c, _ in tokens) / max(1, len(tokens))
+
+        def q(c, b):
+            null = [x for (k, x), n in ordinary.items() if k == c for _ in range(n)]
+            return (1 + sum(x <= b for x in null)) / (1 + len(null)) * mean / secret_scan.LENGTHS[c]
+
+        values = sorted(q(*t) for t in tokens)
+        passing = [v for i, v in enumerate(values, 1) if v <= 0.2 * i / len(values)]
+        want = {t for t in tokens if passing and q(*t) <= max(passing)}
+        below = secret_scan.step_up(ordinary, asked, 0.2, bins=10)
+        assert {t for t in tokens if t[1] < below[t[0]]} == want
+
+
+def test_few_ordinary_tokens_are_reported(docs_of):
+    """Of tokens made of words and numbers, none or nearly none is called a secret, whatever stands beside them."""
+    rng = random.Random(21)
+    words = ["report", "final", "Budget", "user", "session", "March", "long", "config", "Daily", "old", "market", "visit"]
+    name = lambda: "".join(rng.choice(words) for _ in range(7)) + str(rng.randrange(1000, 9999))
+    prose = lambda: " ".join(rng.choice(words) for _ in range(40))
+    secrets = ["".join(rng.choice(secret_scan.UPPER + secret_scan.LOWER + "0123456789") for _ in range(44)) for _ in range(30)]
+    rows = [(i, f"{prose()} {secrets[i] if i < 30 else name()} {prose()}", "en", "s") for i in range(150)]
+    spans = {r["doc_id"]: r["spans"] for r in secret_scan.report(docs_of(rows)).collect()}
+    found, wrong = sum("random" in spans[i] for i in range(30)), sum("random" in spans[i] for i in range(30, 150))
+    assert found >= 27 and wrong <= 2
 
+
+def test_normal_tail(spark):
     for z in (0.0, 0.5, 1.96, 4.0, -3.0):
         got = spark.range(1).select(secret_scan.tail(F.lit(z)).alias("p")).first()["p"]
         assert got == pytest.approx(math.erfc(abs(z) / math.sqrt(2)), abs=2e-7)
