@@ -31,6 +31,7 @@ N = 3  # words an item has at least
 PAIR = 2
 THRESHOLD = 0.4
 BLOCK_CHARS = 32_000_000
+CELLS = 1 << 18  # words of regions, padding included, that are aligned at once
 
 
 def words_of(text: str | None) -> list[str]:
@@ -131,16 +132,21 @@ def places(sorted_codes: np.ndarray, codes: np.ndarray) -> np.ndarray:
     return np.flatnonzero(sorted_codes[at] == codes)
 
 
-def align(regions: list[np.ndarray], items: list[np.ndarray], part: int = 256) -> list[tuple[int, int, int]]:
+def align(regions: list[np.ndarray], items: list[np.ndarray], part: int = 256, cells: int = CELLS) -> list[tuple[int, int, int]]:
     """(score, first, last) of the best local alignment of each item within its region; last word included.
 
     Rows of the dynamic programme are whole regions; the gap along a row is a running maximum. ``first`` is carried
-    with the scores, packed below them, so no trace-back is needed.
+    with the scores, packed below them, so no trace-back is needed. At most ``part`` regions, and no more than fit into
+    ``cells`` words when padded to the widest, are aligned at once.
     """
     out: list[tuple[int, int, int]] = [(0, 0, -1)] * len(regions)
     order = sorted(range(len(regions)), key=lambda i: (len(regions[i]), len(items[i])))
-    for at in range(0, len(order), part):
+    at = 0
+    while at < len(order):
         some = order[at : at + part]
+        while len(some) > 1 and len(some) * len(regions[some[-1]]) > cells:
+            some = some[: len(some) // 2]
+        at += len(some)
         wide, long = max(len(regions[i]) for i in some), max(len(items[i]) for i in some)
         r, q = np.full((len(some), wide), -2, np.int64), np.full((len(some), long), -3, np.int64)
         for k, i in enumerate(some):
@@ -195,7 +201,7 @@ def blocks_of(benchmark: DataFrame, block_chars: int = BLOCK_CHARS) -> Iterator[
         yield [(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()]
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(doc_id, item_id, score, first_word, last_word, passage) for every text and item that it holds a copy of.
 
     ``passage`` is the aligned words, lower-cased and space-joined. Items of fewer than N words are too short to
@@ -203,7 +209,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     benchmark rows count once. Empty tables give no rows; other columns are not read.
     """
     out = None
-    for rows in blocks_of(benchmark):
+    for rows in blocks_of(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -229,10 +235,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     return out
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of docs, with all their columns, whose text holds no copy of any item."""
     at = docs.columns.index("text")
-    for rows in blocks_of(benchmark):
+    for rows in blocks_of(benchmark, block_chars):
         shared = docs.sparkSession.sparkContext.broadcast(Items.of(rows))
 
         def scan(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:

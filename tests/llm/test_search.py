@@ -169,6 +169,22 @@ def test_heavily_edited_copies_against_brute_force(spark, docs_of):
     assert {(r["doc_id"], r["item_id"]): r["score"] for r in got} == best
 
 
+def test_blocks_find_what_one_block_finds(spark, docs_of):
+    items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(20)], "item_id long, text string")
+    docs = docs_of([(i, f"before alpha{i} beta{i} gamma{i} delta{i} epsilon{i} after", "en", "s") for i in range(0, 30, 3)])
+    found = lambda **kw: sorted(tuple(r) for r in decontam.contaminated(docs, items, **kw).collect())
+    assert found(block_chars=150) == found() and len(found()) == 7
+    kept = decontam.decontaminate(docs, items, block_chars=150)
+    assert sorted(r["doc_id"] for r in kept.collect()) == [21, 24, 27]
+
+
+def test_alignment_is_bounded_in_memory():
+    rng = random.Random(5)
+    regions = [np.array([rng.randrange(6) for _ in range(n)]) for n in (5, 5000, 80, 3, 3000, 40)]
+    items = [np.array([rng.randrange(6) for _ in range(12)]) for _ in regions]
+    assert decontam.align(regions, items, cells=100) == decontam.align(regions, items)
+
+
 def test_blocks_of_items_agree(spark, docs_of):
     items = spark.createDataFrame([(i, f"alpha{i} beta{i} gamma{i} delta{i} epsilon{i}") for i in range(20)], "item_id long, text string")
     whole = [sorted(x) for x in decontam.blocks_of(items)]
