@@ -31,7 +31,13 @@ UNKNOWN = "und"
 
 
 def words_of(text: str | None) -> Counter:
-    return Counter(WORD.findall((text or "").lower()))
+    """The text's words with their counts, of letters only: number letters and fractions part words."""
+    found = Counter(WORD.findall((text or "").lower()))
+    for w in [w for w in found if not w.isalpha()]:
+        k = found.pop(w)
+        for part in "".join(c if c.isalpha() else " " for c in w).split():
+            found[part] += k
+    return found
 
 
 def grams(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -86,6 +92,12 @@ class Batch:
     like: np.ndarray  # likelihoods, scaled so that a word's largest is 1
     top: np.ndarray  # what was taken off their logarithms
 
+    def only(self, docs: np.ndarray) -> Batch:
+        """The batch of these documents (a mask)."""
+        mine = docs[self.owner]
+        size = np.bincount(self.owner, minlength=len(docs))[docs]
+        return Batch(np.cumsum(size) - size, (np.cumsum(docs) - 1)[self.owner[mine]], self.counts[mine], self.like[mine], self.top[mine])
+
     def run(self, allowed: np.ndarray, rounds: int = 8) -> tuple[np.ndarray, np.ndarray]:
         """Shares of the allowed languages in each document, and its log-likelihood under them."""
         n = np.add.reduceat(self.counts, self.starts)
@@ -98,7 +110,7 @@ class Batch:
         return share, np.add.reduceat(self.counts * (np.log(np.maximum(total, 1e-300)) + self.top), self.starts)
 
 
-def infer(model: Model, texts: list[str | None], max_languages: int = 3, penalty: float = 3.0, part: int = 256) -> list[tuple[str, float, list[tuple[str, float]]]]:
+def infer(model: Model, texts: list[str | None], penalty: float = 3.0, part: int = 256) -> list[tuple[str, float, list[tuple[str, float]]]]:
     """(language, its share, the chosen set with shares) of each text; UNKNOWN with score 0 where none has a letter."""
     out: list[tuple[str, float, list[tuple[str, float]]]] = []
     k = len(model.languages)
@@ -124,13 +136,19 @@ def infer(model: Model, texts: list[str | None], max_languages: int = 3, penalty
             best = alone.max(axis=1)
             chosen = np.zeros((len(size), k))
             chosen[np.arange(len(size)), first] = 1
-            for m in range(2, min(max_languages, k) + 1):
-                allowed = np.zeros((len(size), k))
-                np.put_along_axis(allowed, order[:, :m], 1, axis=1)
+            # A document's set grows until a further language does not raise its penalised likelihood.
+            growing = np.arange(len(size))
+            for m in range(2, k + 1):
+                if not len(growing):
+                    break
+                allowed = np.zeros((len(growing), k))
+                np.put_along_axis(allowed, order[growing, :m], 1, axis=1)
                 s, like = batch.run(allowed)
-                value = like - penalty * (m - 1) * np.log(n + 1)
-                better = value > best
-                best[better], chosen[better] = value[better], s[better]
+                value = like - penalty * (m - 1) * np.log(n[growing] + 1)
+                better = value > best[growing]
+                growing = growing[better]
+                best[growing], chosen[growing] = value[better], s[better]
+                batch = batch.only(better)
             for row, i in enumerate(out_at):
                 found = sorted(((float(chosen[row, j]), model.languages[j]) for j in np.flatnonzero(chosen[row] > 0)), key=lambda x: (-x[0], x[1]))
                 got[i] = (found[0][1], min(1.0, found[0][0]), [(name, p) for p, name in found])
@@ -144,7 +162,7 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     counts = np.full((BUCKETS, len(names)), SMOOTH)
     by: dict[str, Counter] = {name: Counter() for name in names}
     for t, name in zip(texts, languages):
-        by[name].update({w: min(k, 5) for w, k in words_of(t).items()})
+        by[name].update(words_of(t))
     for j, name in enumerate(names):
         words = list(by[name])
         if words:
@@ -153,16 +171,17 @@ def fit(texts: list[str], languages: list[str]) -> Model:
     return Model(names, np.log(counts / counts.sum(axis=0)))
 
 
-def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 400, max_languages: int = 500) -> Model:
-    """Fit on at most per_language documents of each of the max_languages most frequent languages, those first in
-    a hash order, outside the held-out fold; null languages teach nothing.
+def train(docs: DataFrame, folds: int = 5, held: int = 0, per_language: int = 400) -> Model:
+    """Fit on at most per_language documents of each language, those first in a hash order, outside the held-out
+    fold; null languages teach nothing. The model's table takes half a megabyte per language.
 
     Rows whose hash lies beyond twice the sample's expected reach are left out before they are ranked, so a
     language with most of the rows sends about as few to its task as any other.
     """
     rows = docs.select("doc_id", "lang").where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.coalesce(fold("doc_id", folds) != held, F.lit(False)))
-    frequent = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(max_languages)
-    rows = rows.withColumn("h", F.xxhash64(F.lit(5), "doc_id")).join(F.broadcast(frequent), "lang")
+    rows = rows.distinct().withColumn("h", F.xxhash64(F.lit(5), "doc_id"))
+    # One row per language: the planner broadcasts it while it is small.
+    rows = rows.join(rows.groupBy("lang").count(), "lang")
     rows = rows.where(F.col("h") / 2.0**64 + 0.5 <= 2.0 * per_language / F.col("count"))
     in_order = Window.partitionBy("lang").orderBy("h", "doc_id")
     ids = rows.withColumn("rn", F.row_number().over(in_order)).where(F.col("rn") <= per_language).select("doc_id", "lang").distinct()

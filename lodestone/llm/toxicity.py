@@ -29,7 +29,6 @@ from lodestone.llm.common import fold, labelled_sample
 ORDER = 7
 DISCOUNT = 0.75
 CLASS_DISCOUNTS = (0.0, 1.0, 1.5, 2.0)  # of n-grams that a class has 0, 1, 2, 3 or more times
-BURST = 2  # a training text counts a word so often at most
 STRONG = 2.5
 N_FEATURES = 5
 WORD = re.compile(r"[^\W_]+")
@@ -195,7 +194,7 @@ def fit(texts: list[str], y: np.ndarray, share: float | None = None, parts: int
     bags = []
     for t in texts:
         c = words_of(t)
-        bags.append((np.array([ids.setdefault(w, len(ids)) for w in c], np.int32), np.minimum(np.array(list(c.values()), np.int32), BURST)))
+        bags.append((np.array([ids.setdefault(w, len(ids)) for w in c], np.int32), np.array(list(c.values()), np.int32)))
     vocabulary = list(ids)
     del ids
 

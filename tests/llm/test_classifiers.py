@@ -68,6 +68,109 @@ def test_mixture_shares(corpus):
     assert langid.infer(model, [None, "", "12 %% 34"]) == [("und", 0.0, [])] * 3
 
 
+def brute_mixture(model, text, penalty=3.0, rounds=8):
+    """(language, share) by plain loops: the set grows from the likeliest language while the penalised likelihood rises."""
+    bag = langid.words_of(text)
+    logs = {w: [float(np.float32(v)) for v in model.logs[langid.grams([w])[0]].sum(axis=0) / len(langid.NGRAMS)] for w in bag}
+    n, k = sum(bag.values()), len(model.languages)
+
+    def em(allowed):
+        share = {j: 1 / len(allowed) for j in allowed}
+        for _ in range(rounds):
+            new = dict.fromkeys(allowed, 0.0)
+            for w, c in bag.items():
+                part = {j: share[j] * math.exp(logs[w][j] - max(logs[w])) for j in allowed}
+                for j in allowed:
+                    new[j] += c * part[j] / sum(part.values()) / n
+            share = new
+        return share, sum(c * (math.log(sum(share[j] * math.exp(logs[w][j] - max(logs[w])) for j in allowed)) + max(logs[w])) for w, c in bag.items())
+
+    alone = [sum(c * logs[w][j] for w, c in bag.items()) for j in range(k)]
+    first = max(range(k), key=lambda j: alone[j])
+    everywhere, _ = em(list(range(k)))
+    order = [first] + sorted((j for j in range(k) if j != first), key=lambda j: -everywhere[j])
+    best, chosen = alone[first], {first: 1.0}
+    for m in range(2, k + 1):
+        share, like = em(order[:m])
+        if like - penalty * (m - 1) * math.log(n + 1) <= best:
+            break
+        best, chosen = like - penalty * (m - 1) * math.log(n + 1), share
+    return max(chosen.items(), key=lambda x: x[1]), len(chosen)
+
+
+def test_mixtures_against_plain_loops():
+    rng = random.Random(13)
+    names = list(SYLLABLES)
+    model = langid.fit([prose(rng, lang, 60) for lang in names for _ in range(20)], [lang for lang in names for _ in range(20)])
+    texts = [" ".join(prose(rng, lang, rng.randrange(3, 120)) for lang in rng.sample(names, rng.randrange(1, len(names) + 1))) for _ in range(40)]
+    sizes = set()
+    for text, (lang, share, found) in zip(texts, langid.infer(model, texts, part=7)):
+        (j, p), m = brute_mixture(model, text)
+        assert (model.languages[j], len(found)) == (lang, m) and abs(p - share) < 1e-6
+        sizes.add(m)
+    assert len(sizes) >= 2 and (len(names) < 4 or max(sizes) > 3)
+
+
+def test_words_are_letters():
+    assert not langid.words_of("\u00bd \u00b2 12 _") and langid.words_of("x\u00bdy ab2 Ab") == {"x": 1, "y": 1, "ab": 2}
+
+
+def brute_kneser_ney(words, counts):
+    """prob(class, context, character) over the words of the counts, by dictionaries of strings."""
+    ends = [f"<{w}>" for w in words]
+    grams = [(w, s[max(0, t - toxicity.ORDER + 1) : t + 1]) for w, s in zip(words, ends) for t in range(1, len(s))]
+    points = {g[-1] for _, g in grams}
+    levels = [{}]
+    for m in range(1, toxicity.ORDER):
+        longer = {g[-m - 1 :] for _, g in grams if len(g) > m}
+        own = {}
+        for g in longer:
+            own[g[1:]] = own.get(g[1:], 0) + 1
+        levels.append(own)
+
+    def shared(m, g):
+        if m == 0:
+            return 1 / max(2, len(points))
+        same = {x: k for x, k in levels[m].items() if x[:-1] == g[:-1]}
+        if not same:
+            return shared(m - 1, g[1:])
+        return (max(levels[m].get(g, 0) - toxicity.DISCOUNT, 0) + toxicity.DISCOUNT * len(same) * shared(m - 1, g[1:])) / sum(same.values())
+
+    def prob(c, context, point):
+        held = {}
+        for w, g in grams:
+            if g[:-1] == context:
+                held[g] = held.get(g, 0) + counts[w][c]
+        total = sum(held.values())
+        lower = shared(len(context), (context + point)[1:])
+        if not total:
+            return lower
+        off = {g: toxicity.CLASS_DISCOUNTS[min(k, 3)] for g, k in held.items()}
+        g = context + point
+        return (held.get(g, 0) - off.get(g, 0)) / total + sum(off.values()) / total * lower
+
+    return grams, points, prob
+
+
+def test_kneser_ney_against_plain_counts():
+    words = ["abab", "abba", "abc", "cab", "bad", "dab", "abcabcabcab", "a"]
+    counts = {w: (i % 3 + (i == 0) * 3, (i * 5) % 4) for i, w in enumerate(words)}
+    model = toxicity.count_models(words, np.array([counts[w] for w in words]))
+    used = [w for w in words if any(counts[w])]
+    grams, points, prob = brute_kneser_ney(used, counts)
+    model.learn_words(used)
+    for w in used:
+        whole = f"<{w}>"
+        want = 0.0
+        for t in range(1, len(whole)):
+            context = whole[max(0, t - toxicity.ORDER + 1) : t]
+            want += math.log(prob(1, context, whole[t])) - math.log(prob(0, context, whole[t]))
+        assert model.known[w][0] == pytest.approx(want, abs=1e-9)
+    for context in {g[:-1] for _, g in grams}:
+        for c in (0, 1):
+            assert sum(prob(c, context, p) for p in points) == pytest.approx(1.0)
+
+
 def test_folds(spark):
     from zlib import crc32
 
