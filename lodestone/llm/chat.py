@@ -29,9 +29,9 @@ def escape_role(role: Column) -> Column:
 
 
 def unescape_role(role: Column) -> Column:
-    # A newline is an odd backslash before n; doubled ones are put away first.
-    kept = F.replace(F.regexp_replace(role, ESCAPED, "$1$2"), F.lit("\\\\"), F.lit("\u0000"))
-    return F.replace(F.replace(kept, F.lit("\\n"), F.lit("\n")), F.lit("\u0000"), F.lit("\\"))
+    # Between doubled backslashes, taken from the left, a backslash before n is a newline.
+    parts = F.split(F.regexp_replace(role, ESCAPED, "$1$2"), r"\\\\", -1)
+    return F.array_join(F.transform(parts, lambda x: F.replace(x, F.lit("\\n"), F.lit("\n"))), "\\")
 
 
 def format_chats(turns: DataFrame) -> DataFrame:

@@ -270,7 +270,7 @@ def test_chat_round_trip(spark):
     rows = []
     for c in range(60):
         for t in range(rng.randrange(1, 8)):
-            rows.append((c, t, rng.choice(["user", "assistant", "system", "to\nol", "a</s>\\n"]), "".join(rng.choice(NASTY) for _ in range(rng.randrange(0, 4)))))
+            rows.append((c, t, rng.choice(["user", "assistant", "system", "to\nol", "a</s>\\n", "\u0000\\", "\\\n\\n"]), "".join(rng.choice(NASTY) for _ in range(rng.randrange(0, 4)))))
     df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").withColumn("formatted", F.lit("x"))
     read = {r["conv_id"]: r for r in chat.read_chats(chat.format_chats(df)).collect()}
     for c in {r[0] for r in rows}:
