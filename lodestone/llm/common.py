@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -14,12 +15,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 _own: dict[str, str] = {}
+_written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by spark.checkpoint.dir; one of our own, per application, only where that is unset (tests)."""
+    """The folder named by spark.checkpoint.dir. Where that is unset, one of our own per application if driver and
+    executors are one process (tests, benches), and an error on a cluster, whose executors share no local folder."""
     found = spark.conf.get("spark.checkpoint.dir", "")
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = "file://" + tempfile.mkdtemp(prefix="lodestone-")
@@ -29,12 +34,37 @@ def shared_dir(spark: SparkSession) -> str:
 
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later jobs neither recompute it nor
-    depend on the executors that made it."""
+    depend on the executors that made it. The tables go when this Python process ends."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((df.sparkSession, path))
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_written() -> None:
+    """Delete all tables that cut wrote; nothing may read them any more. Without a live JVM they stay."""
+    while _written:
+        spark, path = _written.pop()
+        if spark.sparkContext._jsc is None:
+            continue
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def join_hot(rows: DataFrame, small: DataFrame, key: str, counts: DataFrame, total: int, share: int = 1000) -> DataFrame:
+    """rows joined with ``small``, which has each key once, without one task for a key that many rows share.
+
+    counts has key and n, the number of rows of it. Keys with more than 1 / share of all rows, fewer than ``share``
+    by arithmetic, are joined by broadcast; all others meet by a shuffle.
+    """
+    hot = counts.where(F.col("n") * share > total).select(key)
+    first = rows.join(F.broadcast(small.join(F.broadcast(hot), key, "left_semi")), key)
+    rest = rows.join(F.broadcast(hot), key, "left_anti").join(small, key)
+    return first.unionByName(rest)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

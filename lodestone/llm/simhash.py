@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut
+from lodestone.llm.common import cut, join_hot
 
 WIDTH = 64
 SEED = 42
@@ -100,21 +100,27 @@ def split(values: np.ndarray, vantage: np.uint64, mu: int) -> tuple[np.ndarray,
     return d <= mu, d >= mu
 
 
-def routing_tree(values: np.ndarray, depth: int, rng: np.random.Generator) -> list[tuple[int, int]]:
-    """(vantage, mu) of each node in level order, fitted on a sample of the span's values."""
+def routing_tree(values: np.ndarray, depth: int, rng: np.random.Generator, least: int = 16) -> list[tuple[int, int]]:
+    """(vantage, mu) of each node in level order, fitted on a sample of the span's values.
+
+    A branch with fewer than ``least`` of the sample is not split further: mu -1 sends all to one child. Shards split
+    on in memory.
+    """
     nodes: list[tuple[int, int]] = []
     level = [values]
     for _ in range(depth):
         below = []
         for v in level:
-            pool = v if len(v) else values
-            best = (2.0, 0, 0)
-            for vantage in rng.choice(pool, 4):
-                mu, worst = radius(np.bitwise_count(pool ^ vantage))
+            best = (2.0, 0, -1)
+            for vantage in rng.choice(v, 4) if len(v) >= least else ():
+                mu, worst = radius(np.bitwise_count(v ^ vantage))
                 best = min(best, (worst, int(vantage), mu))
             nodes.append(best[1:])
-            inner, outer = split(v, np.uint64(best[1]), best[2])
-            below += [v[inner], v[outer]]
+            if best[2] < 0:
+                below += [v[:0], v]
+            else:
+                inner, outer = split(v, np.uint64(best[1]), best[2])
+                below += [v[inner], v[outer]]
         level = below
     return nodes
 
@@ -126,7 +132,7 @@ def route(values: np.ndarray, nodes: list[tuple[int, int]], depth: int) -> tuple
     mus = np.array([n[1] for n in nodes] or [0], np.int64)
     for _ in range(depth):
         d = np.bitwise_count(values[rows] ^ vantage[at])
-        inner, outer = d <= mus[at], d >= mus[at]
+        inner, outer = d.astype(np.int64) <= mus[at], d.astype(np.int64) >= mus[at]
         rows, at = np.concatenate((rows[inner], rows[outer])), np.concatenate((2 * at[inner] + 1, 2 * at[outer] + 2))
     return rows, at - (len(nodes) if depth else 0)
 
@@ -192,10 +198,11 @@ def link_shard(fp: np.ndarray, span: tuple[int, int], max_bits: int, leaf: int =
     return np.array([forest.find(i) for i in range(len(fp))], np.int64)
 
 
-def close_forest(fps: DataFrame, max_bits: int = 4, shard_rows: int = 40_000, sample_rows: int = 20_000, seed: int = 7) -> DataFrame:
+def close_forest(fps: DataFrame, max_bits: int = 4, shard_rows: int = 40_000, sample_rows: tuple[int, int] = (20_000, 2_000_000), seed: int = 7) -> DataFrame:
     """(src, dst) links that join just those distinct fingerprints ``fp`` which chains of pairs within max_bits
-    bits join. The routing trees are fitted on at most sample_rows fingerprints; all are indexed."""
+    bits join. The routing trees are fitted on one fingerprint of 500, at least and at most sample_rows; all are indexed."""
     n = fps.count()
+    sample_rows = min(max(sample_rows[0], n // 500), sample_rows[1])
     spans = spans_of(max_bits)
     depth = max(4, int(np.ceil(np.log2(max(1, n / shard_rows)) / 0.75)))
     sample = np.array([r[0] for r in fps.orderBy(F.xxhash64(F.lit(seed), "fp"), "fp").limit(sample_rows).collect()] or [0], np.int64)
@@ -234,29 +241,45 @@ def close_forest(fps: DataFrame, max_bits: int = 4, shard_rows: int = 40_000, sa
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, root) for every node of the undirected edges (src, dst); root is the smallest node it reaches."""
 
-    def star(e: DataFrame, large: bool) -> DataFrame:
+    def star(e: DataFrame, edges: int, large: bool) -> DataFrame:
         if large:
             e = e.select("u", "v").unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         else:
             e = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = e.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        both = e.join(low, "u")
+        found = cut(e.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")), "lowest")
+        low = found.select("u", F.least("u", "m").alias("m"))
+        both = join_hot(e, low, "u", found, edges)
         if large:
             return both.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         return both.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
 
-    now, seen = cut(edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct(), "edges"), None
+    def state(e: DataFrame) -> tuple:
+        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
+
+    now = cut(edges.where("src <> dst").select(F.col("src").alias("u"), F.col("dst").alias("v")).distinct(), "edges")
+    seen = state(now)
     for _ in range(max_rounds):
-        now = cut(star(star(now, True), False), "stars")
-        state = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if state == seen:
+        if not seen[0]:
+            break
+        now = cut(star(cut(star(now, seen[0], True), "stars"), seen[0], False), "stars")
+        before, seen = seen, state(now)
+        if seen == before:
             break
-        seen = state
     else:
         raise RuntimeError("components did not settle")
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+def named_classes(entries: DataFrame, found: DataFrame, key: str) -> DataFrame:
+    """(key, component_id) of every entry (key, first_id), from the components (node, root) of those that have a link:
+    the smallest first_id of the entry's component, its own where it has no link."""
+    linked = cut(entries.select(key, "first_id").join(found.withColumnRenamed("node", key), key), "linked")
+    labels = cut(linked.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count("*").alias("n")), "labels")
+    named = join_hot(linked.select(key, "root"), labels.select("root", "component_id"), "root", labels, linked.count())
+    out = entries.select(key, "first_id").join(named.select(key, "component_id"), key, "left")
+    return out.select(key, F.coalesce("component_id", "first_id").alias("component_id"))
+
+
 def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id.
 
@@ -266,12 +289,9 @@ def near_duplicates(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataF
     class of null ids only has a null id. Repeated rows stay repeated. An empty table gives no rows.
     """
     own = cut(fingerprints(docs, words), "fingerprints")
-    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "distinct-fingerprints")
-    found = components(close_forest(fps, max_bits))
-    rooted = fps.join(found, fps["fp"] == found["node"], "left").select("fp", "first_id", F.coalesce("root", "fp").alias("root"))
-    rooted = cut(rooted, "rooted")
-    named = rooted.join(rooted.groupBy("root").agg(F.min("first_id").alias("component_id")), "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")), "distinct-fingerprints")
+    named = cut(named_classes(fps, components(close_forest(fps, max_bits)), "fp"), "named")
+    return join_hot(own, named, "fp", fps, own.count()).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame:

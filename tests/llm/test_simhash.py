@@ -82,3 +82,41 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert sorted((r["doc_id"] or 0) for r in kept.collect()) == [0, 1, 3, 5, 6]
     assert simhash.near_duplicates(odd.limit(0)).count() == 0
     assert simhash.one_of_each(odd.limit(0)).count() == 0
+
+
+def test_component_ids_against_brute_force(docs_of):
+    """Also with one text that a third of the rows share, so that its key is joined by broadcast."""
+    rng = random.Random(31)
+    rows = []
+    for i in range(60):
+        w = [f"w{rng.randrange(10_000)}" for _ in range(300)]
+        rows.append((3 * i + 1, " ".join(w)))
+        for k in range(i % 4):
+            v = list(w)
+            v[rng.randrange(300)] = f"x{k}"
+            rows.append((3000 + 10 * i - k, " ".join(v)))
+    rows += [(5000 - i, rows[0][1]) for i in range(60)] + [(None, rows[0][1]), (None, None), (9000, None), (9000, None)]
+    got = simhash.near_duplicates(docs_of([(d, t, "en", "s") for d, t in rows])).collect()
+    fps = sorted({brute_fingerprint(t) for _, t in rows})
+    label = dict(zip(fps, brute_components(fps, 4).tolist()))
+    first = {}
+    for d, t in rows:
+        if d is not None:
+            c = label[brute_fingerprint(t)]
+            first[c] = min(first.get(c, d), d)
+    want = sorted((d or 0, f"{brute_fingerprint(t):016x}", first[label[brute_fingerprint(t)]]) for d, t in rows)
+    assert sorted((r["doc_id"] or 0, r["fingerprint"], r["component_id"]) for r in got) == want
+
+
+def test_a_branch_without_sample_is_not_split():
+    rng = np.random.default_rng(1)
+    sample = rng.integers(0, 1 << 21, 100).astype(np.uint64)
+    nodes = simhash.routing_tree(sample, 8, rng)
+    values = rng.integers(0, 1 << 21, 500).astype(np.uint64)
+    rows, leaf = simhash.route(values, nodes, 8)
+    assert set(rows.tolist()) == set(range(500)) and sum(mu < 0 for _, mu in nodes) > 100
+    for i in range(0, 500, 7):  # neighbours at distance 1 share a leaf
+        for b in range(21):
+            near = np.array([values[i], values[i] ^ np.uint64(1 << b)], np.uint64)
+            r, at = simhash.route(near, nodes, 8)
+            assert set(at[r == 0].tolist()) & set(at[r == 1].tolist())
