@@ -59,7 +59,7 @@ def tokens_strict(text: pd.Series) -> pd.Series:
 def terms_ascii(text: Column) -> Column:
     """Index terms: lower-cased ASCII words without stop words, then pairs of CJK runs (a lone character stays)."""
     english = F.filter(findall(F.lower(text), "[a-z0-9]+"), lambda t: ~F.array_contains(words_in(fixed.TERM_STOP), t))
-    chinese = F.flatten(F.transform(findall(text, "[㐀-鿿]+"), lambda p: F.when(F.length(p) == 1, F.array(p)).otherwise(ngrams(p, 2))))
+    chinese = F.flatten(F.transform(findall(text, fixed.TERM_CJK), lambda p: F.when(F.length(p) == 1, F.array(p)).otherwise(ngrams(p, 2))))
     return F.concat(english, chinese)
 
 

@@ -6,8 +6,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.operators.retrieve import top_k
-
 
 def menu(units: DataFrame, budget: int) -> DataFrame:
     """(query_id, position, ref, start, omitted): offered and carried refs in turn; a unit that does not fit is
@@ -28,12 +26,20 @@ def menu(units: DataFrame, budget: int) -> DataFrame:
 
 
 def unread_directory(entries: DataFrame, most: int = 24, chars: int = 8000) -> DataFrame:
-    """Entries (query_id, rn, ref, preview) in order while number and characters last: a prefix."""
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("query_id").orderBy("rn").rowsBetween(Window.unboundedPreceding, 0)
-    kept = entries.withColumn("running", F.sum(F.length("preview")).over(w)).where(F.col("running") <= chars).drop("running")
-    return top_k(kept.withColumnRenamed("rn", "_r"), ["query_id"], [F.col("_r")], most).drop("_r")
+    """Entries (query_id, rn, ref, preview) in order, each with a line break; one that does not fit is left out and later
+    ones may still fit. ``rn`` of the result counts the entries that are listed."""
+
+    def fill(rows: pd.DataFrame) -> pd.DataFrame:
+        room, listed = chars, []
+        for i, n in enumerate(rows.sort_values("rn")["preview"].str.len().tolist()):
+            if len(listed) < most and n <= room:
+                listed.append(i)
+                room -= n + 1
+        kept = rows.sort_values("rn").iloc[listed]
+        return kept.assign(rn=range(1, len(kept) + 1))
+
+    plain = entries.select(F.col("query_id").cast("long").alias("query_id"), F.col("rn").cast("int").alias("rn"), "ref", F.coalesce("preview", F.lit("")).alias("preview"))
+    return plain.groupBy("query_id").applyInPandas(fill, plain.schema)
 
 
 def pages(cards: DataFrame, budget: int) -> DataFrame:

@@ -68,14 +68,46 @@ def _finite(value: str) -> float:
     return x
 
 
-def tool_arguments(response: dict[str, Any], name: str) -> dict[str, Any]:
-    """The arguments of the one tool call of the one choice of a finished response."""
+KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "integer": int, "number": (int, float)}
+
+
+def conforms(value: Any, schema: dict[str, Any]) -> bool:
+    """Whether a value is of a JSON schema's type, with the keys, items, choices and bounds it names."""
+    kind = schema.get("type")
+    if kind and (not isinstance(value, KINDS[kind]) or (kind in ("integer", "number") and isinstance(value, bool))):
+        return False
+    if "enum" in schema and value not in schema["enum"]:
+        return False
+    if isinstance(value, dict):
+        known = schema.get("properties", {})
+        if any(k not in value for k in schema.get("required", ())) or (schema.get("additionalProperties") is False and any(k not in known for k in value)):
+            return False
+        return all(conforms(v, known[k]) for k, v in value.items() if k in known)
+    if isinstance(value, list):
+        if schema.get("uniqueItems") and any(x in value[:i] for i, x in enumerate(value)):
+            return False
+        inside = schema.get("minItems", 0) <= len(value) <= schema.get("maxItems", len(value))
+        return inside and all(conforms(x, schema.get("items", {})) for x in value)
+    if isinstance(value, str):
+        return schema.get("minLength", 0) <= len(value) <= schema.get("maxLength", len(value))
+    if isinstance(value, (int, float)) and not isinstance(value, bool):
+        return schema.get("minimum", value) <= value <= schema.get("maximum", value)
+    return True
+
+
+def tool_arguments(response: dict[str, Any], name: str, schema: dict[str, Any] | None = None) -> dict[str, Any]:
+    """The arguments of the one tool call of the one choice of a finished response; of the schema, if one is given.
+    A call that says its type or id must be a function call with an id that is not empty."""
     choices = response.get("choices")
     if not isinstance(choices, list) or len(choices) != 1:
         raise ContractError("choices")
     calls = (choices[0].get("message") or {}).get("tool_calls")
     if choices[0].get("finish_reason") not in ("tool_calls", "stop") or not isinstance(calls, list) or len(calls) != 1:
         raise ContractError("calls")
+    if calls[0].get("type", "function") != "function":
+        raise ContractError("type")
+    if not isinstance(calls[0].get("id", "?"), str) or not calls[0].get("id", "?"):
+        raise ContractError("id")
     function = calls[0].get("function") or {}
     if function.get("name") != name:
         raise ContractError("name")
@@ -85,6 +117,8 @@ def tool_arguments(response: dict[str, Any], name: str) -> dict[str, Any]:
         raise ContractError("json") from None
     if not isinstance(value, dict):
         raise ContractError("object")
+    if schema is not None and not conforms(value, schema):
+        raise ContractError("schema")
     return value
 
 

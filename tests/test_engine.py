@@ -137,3 +137,15 @@ def test_tool_contract():
     for bad in ([0], [1, 1], [True], [3], "x"):
         with pytest.raises(ContractError):
             positions(bad, 2)
+
+
+def test_tool_schema():
+    call = lambda a, **kw: {"choices": [{"finish_reason": "stop", "message": {"tool_calls": [{"function": {"name": "f", "arguments": a}} | kw]}}]}
+    schema = {"type": "object", "required": ["positions"], "additionalProperties": False, "properties": {"positions": {"type": "array", "maxItems": 2, "uniqueItems": True, "items": {"type": "integer", "minimum": 1}}}}
+    assert tool_arguments(call('{"positions": [2, 1]}', id="c1", type="function"), "f", schema) == {"positions": [2, 1]}
+    for bad in ("{}", '{"positions": [0]}', '{"positions": [1, 1]}', '{"positions": [1, 2, 3]}', '{"positions": [true]}', '{"positions": [1], "x": 2}', '{"positions": "1"}'):
+        with pytest.raises(ContractError):
+            tool_arguments(call(bad), "f", schema)
+    for bad in ({"type": "other"}, {"id": ""}, {"id": 3}):
+        with pytest.raises(ContractError):
+            tool_arguments(call('{"positions": [1]}', **bad), "f", schema)
