@@ -33,13 +33,19 @@ def bm25(docs: DataFrame, queries: DataFrame, corpus: str, ref: str, query: str,
 
     docs: corpus, ref, terms; queries: corpus, query, terms, taken as a set. N and the average length cover the
     whole corpus, document frequencies the asked terms.
+
+    Documents are read and tokenised once: each has, besides its asked terms, one posting of the empty term, from which N
+    and the lengths follow. Statistics, frequencies and hits use every column of the postings, so that they
+    share one exchange.
     """
-    asked = queries.select(corpus, query, F.explode(F.array_distinct(terms)).alias("term"))
-    stats = docs.groupBy(corpus).agg(F.count("*").alias("n"), F.sum(F.size(terms)).alias("total"))
-    wanted = asked.select(corpus, "term").distinct()
-    flat = docs.select(corpus, ref, F.size(terms).alias("length"), F.explode(terms).alias("term")).join(wanted, [corpus, "term"], "left_semi")
+    asked = queries.select(corpus, query, F.explode(F.array_distinct(terms)).alias("term")).where(F.col("term").isNotNull())
+    wanted = asked.select(corpus, "term").unionByName(queries.select(corpus, F.lit("").alias("term"))).distinct()
+    flat = docs.select(corpus, ref, F.size(terms).alias("length"), F.explode(F.concat(F.array(F.lit("")), terms)).alias("term"))
+    flat = flat.where(F.col(corpus).isNotNull() & F.col("term").isNotNull()).join(wanted, [corpus, "term"], "left_semi")
     tf = flat.groupBy(corpus, "term", ref, "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy(corpus, "term").agg(F.count("*").alias("df"))
+    of_document = lambda x: F.sum(F.when(F.col("term") == "", x))
+    stats = tf.groupBy(corpus).agg(of_document(F.col("tf")).alias("n"), of_document(F.col("length") * F.col("tf")).alias("total"))
+    df = tf.groupBy(corpus, "term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     weighted = asked.join(df, [corpus, "term"]).join(stats, corpus)
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weighted = weighted.select(corpus, query, "term", idf.alias("idf"), F.greatest(F.col("total") / F.col("n"), F.lit(1.0)).alias("average"))
@@ -90,7 +96,10 @@ def vector_search(items: DataFrame, queries: list[tuple[int, list[float]]], ref:
                 if skip_self:
                     s[own_ids[:, None] == refs[None, :]] = -np.inf
                 s = np.round(s, 6)
-                q, j = np.nonzero(s > -np.inf)
+                least = np.full((len(s), 1), -np.inf)
+                if not group and s.shape[1] > k:  # all that reach the batch's k-th best, ties included
+                    least = -np.partition(-s, k - 1, axis=1)[:, k - 1 : k]
+                q, j = np.nonzero((s > -np.inf) & (s >= least))
                 part = pd.DataFrame({query: own_ids[q], ref: refs[j], "score": s[q, j]})
                 if group:
                     part["node"] = part[ref] % group

@@ -28,7 +28,8 @@ def ranked_docs(spark, d, k=48):
 def disclose_candidates(spark, d):
     """Each ranked document stands for itself and two documents its note links to."""
     i = F.col("doc_id")
-    targets = F.transform(F.array(i, (i + 7) % 1000, (i + 20) % 1000), lambda x: x.cast("string"))
+    n = table(spark, d, "documents").count()
+    targets = F.transform(F.array(i, (i + 7) % n, (i + 20) % n), lambda x: x.cast("string"))
     return A.disclose(ranked_docs(spark, d).select("query_id", "rn", i.cast("string").alias("entry"), targets.alias("targets")))
 
 
@@ -51,7 +52,7 @@ def source_backlinks(spark, d):
 
 @query("context_expansion", f"""WITH {_bm25_sql()},
 p AS (SELECT item_id AS query_id, doc_id AS ref, rn FROM bm WHERE rn <= 24),
-l AS (SELECT doc_id AS ref, doc_id + k AS other, 'adjacent' AS kind FROM documents, (VALUES (-1), (1)) t(k) UNION ALL SELECT doc_id, (doc_id + 20) % 1000, 'backlink' FROM documents),
+l AS (SELECT doc_id AS ref, doc_id + k AS other, 'adjacent' AS kind FROM documents, (VALUES (-1), (1)) t(k) UNION ALL SELECT doc_id, (doc_id + 20) % (SELECT count(*) FROM documents), 'backlink' FROM documents),
 cq AS (SELECT query_id, rn AS parent, other, kind, row_number() OVER (PARTITION BY query_id, p.ref ORDER BY kind, other) AS turn FROM p JOIN l USING (ref) WHERE rn <= 6),
 f AS (SELECT * FROM cq WHERE NOT EXISTS (SELECT 1 FROM p WHERE p.query_id = cq.query_id AND p.ref = cq.other) QUALIFY row_number() OVER (PARTITION BY query_id, other ORDER BY turn, parent) = 1),
 b AS (SELECT query_id, ref, rn AS place, 'matched_entry' AS reason FROM p UNION ALL SELECT query_id, other, 1000000 + turn * 1000 + parent, kind FROM f)
@@ -59,7 +60,7 @@ SELECT query_id, ref, CAST(row_number() OVER (PARTITION BY query_id ORDER BY pla
 def context_expansion(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     near = docs.select(F.col("doc_id").alias("ref"), F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("other"), F.lit("adjacent").alias("kind"))
-    back = docs.select(F.col("doc_id").alias("ref"), ((F.col("doc_id") + 20) % 1000).alias("other"), F.lit("backlink").alias("kind"))
+    back = docs.select(F.col("doc_id").alias("ref"), ((F.col("doc_id") + 20) % docs.count()).alias("other"), F.lit("backlink").alias("kind"))
     primary = ranked_docs(spark, d, fixed.CANDIDATES).select("query_id", F.col("doc_id").alias("ref"), "rn")
     return A.context_expansion(primary, near.unionByName(back))
 

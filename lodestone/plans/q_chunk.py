@@ -69,11 +69,11 @@ def headings(spark, d):
     return chunk.headings(headed(spark, d), "doc_id")
 
 
-@query("nearest_heading", f"""WITH {_HEADS}, p AS (SELECT doc_id, k * 500 AS pos FROM documents, range(4) r(k) WHERE k * 500 < length({_HEADED}))
+@query("nearest_heading", f"""WITH {_HEADS}, p AS (SELECT doc_id, unnest(range(0, length({_HEADED}), 500)) AS pos FROM documents)
 SELECT p.doc_id, CAST(p.pos AS BIGINT) AS pos, h.start AS heading_start, h.title FROM p ASOF LEFT JOIN heads h ON p.doc_id = h.doc_id AND p.pos >= h.start""")
 def nearest_heading(spark, d):
     docs = headed(spark, d)
-    at = docs.select("doc_id", F.length("text").alias("n"), F.explode(F.sequence(F.lit(0), F.lit(1500), F.lit(500))).alias("pos")).where("pos < n")
+    at = docs.where(F.length("text") > 0).select("doc_id", F.explode(F.sequence(F.lit(0), F.length("text") - 1, F.lit(500))).alias("pos"))
     both = at.select("doc_id", F.col("pos").cast("long").alias("pos"), F.lit(1).alias("k")).unionByName(chunk.headings(docs, "doc_id").select("doc_id", F.col("start").alias("pos"), F.lit(0).alias("k"), "title"), allowMissingColumns=True)
     w = Window.partitionBy("doc_id").orderBy("pos", "k").rowsBetween(Window.unboundedPreceding, 0)
     last = F.last(F.when(F.col("k") == 0, F.struct(F.col("pos").alias("s"), "title")), ignorenulls=True).over(w)
@@ -117,10 +117,10 @@ def merge_intervals(spark, d):
     return out.select("doc_id", F.col("start").cast("long").alias("start"), F.col("end").cast("long").alias("end"))
 
 
-@query("interval_union_contains", f"""WITH {_ISLANDS}, a AS (SELECT doc_id, CAST(k * 200 AS BIGINT) AS s, CAST(k * 200 + 90 AS BIGINT) AS e FROM documents, range(5) r(k))
+@query("interval_union_contains", f"""WITH {_ISLANDS}, a AS (SELECT doc_id, CAST(k * 200 AS BIGINT) AS s, CAST(k * 200 + 90 AS BIGINT) AS e FROM documents, range(7) r(k))
 SELECT a.doc_id, a.s AS "start", a.e AS "end", EXISTS (SELECT 1 FROM isl i WHERE i.doc_id = a.doc_id AND i.s <= a.s AND i.e >= a.e) AS visible FROM a""")
 def interval_union_contains(spark, d):
-    asked = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(800).cast("long"), F.lit(200).cast("long"))).alias("start"))
+    asked = table(spark, d, "documents").select("doc_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(1200).cast("long"), F.lit(200).cast("long"))).alias("start"))  # all shown ranges end below 1200
     out = interval.union_contains(shown(spark, d).select("doc_id", "start", "end"), asked.withColumn("end", F.col("start") + 90), "doc_id")
     return out.select("doc_id", "start", "end", "visible")
 

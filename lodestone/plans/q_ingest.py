@@ -111,9 +111,10 @@ def cascade_block(spark, d):
     return M.cascade_block(items, e.where("event_type = 'error'").select(i.alias("source"))).select("item_id", "blocked")
 
 
-@query("active_corpus", f"WITH {duck.SOURCES} SELECT user_id, session_id, sequence FROM src WHERE user_id = 'u3' AND length(text) >= 50")
+@query("active_corpus", f"WITH {duck.SOURCES} SELECT user_id, session_id, sequence FROM src WHERE length(text) >= 50")
 def active_corpus(spark, d):
-    return sources(spark, d).where((F.col("user_id") == "u3") & (F.length("text") >= 50)).select("user_id", "session_id", "sequence")
+    """Every user's active corpus; a source counts as active here from 50 characters on."""
+    return sources(spark, d).where(F.length("text") >= 50).select("user_id", "session_id", "sequence")
 
 
 @query("pending_items", f"WITH {duck.SOURCES}, q AS (SELECT sequence, CASE WHEN sequence % 3 = 0 THEN 'organized' ELSE 'pending' END AS state FROM src) SELECT user_id, sequence, length(text) AS n_chars FROM src JOIN q USING (sequence) WHERE state = 'pending'")

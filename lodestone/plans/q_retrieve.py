@@ -27,8 +27,8 @@ sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (
 bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sc)"""
 
 
-def bm25_scores(spark, d, tokens=T.tokens, where="true"):
-    docs = table(spark, d, "documents").where(where).select(F.lit("all").alias("corpus"), "doc_id", tokens(F.col("text")).alias("terms"))
+def bm25_scores(spark, d, tokens=T.tokens, where=None):
+    docs = table(spark, d, "documents").where(F.lit(True) if where is None else where).select(F.lit("all").alias("corpus"), "doc_id", tokens(F.col("text")).alias("terms"))
     q = table(spark, d, "benchmark").select(F.lit("all").alias("corpus"), "item_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
     return R.bm25(docs, q, "corpus", "doc_id", "item_id")
 
@@ -38,10 +38,14 @@ def bm25_topk(spark, d):
     return R.ranked(bm25_scores(spark, d), "item_id", "doc_id", 10)
 
 
-@query("bm25_before_cutoff", f"WITH {_bm25_sql(where='doc_id < 500')} SELECT item_id, doc_id, score, CAST(rn AS BIGINT) AS rn FROM bm WHERE rn <= 10")
+_CUTOFF = "doc_id <= (SELECT max(doc_id) // 2 FROM documents)"
+
+
+@query("bm25_before_cutoff", f"WITH {_bm25_sql(where=_CUTOFF)} SELECT item_id, doc_id, score, CAST(rn AS BIGINT) AS rn FROM bm WHERE rn <= 10")
 def bm25_before_cutoff(spark, d):
-    """Statistics are those of the documents before the cutoff: the filter comes before the ranking."""
-    return R.ranked(bm25_scores(spark, d, where="doc_id < 500"), "item_id", "doc_id", 10)
+    """Statistics are those of the documents before the cutoff, the middle of the table: the filter comes before the ranking."""
+    middle = table(spark, d, "documents").agg(F.floor(F.max("doc_id") / 2).alias("middle")).first()["middle"]
+    return R.ranked(bm25_scores(spark, d, where=F.col("doc_id") <= F.lit(middle)), "item_id", "doc_id", 10)
 
 
 _STUDY = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda t: NOT list_contains({duck.listed(fixed.STUDY_STOP)}, t))"

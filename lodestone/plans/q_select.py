@@ -94,11 +94,13 @@ def visible_event_counts(spark, d):
     return seen.groupBy("user_id").agg(F.count("*").alias("queries"), F.sum("visible").alias("visible"))
 
 
-@query("tasks_evidence_in_history", "SELECT item_id, item_id < 30 AS kept FROM benchmark")
+@query("tasks_evidence_in_history", """WITH h AS (SELECT DISTINCT conv_id AS evidence FROM conversations WHERE role = 'user'),
+t AS (SELECT item_id, unnest([item_id, item_id * 3]) AS evidence FROM benchmark)
+SELECT item_id, bool_and(h.evidence IS NOT NULL) AS kept FROM t LEFT JOIN h USING (evidence) GROUP BY item_id""")
 def tasks_evidence_in_history(spark, d):
-    """Tasks whose evidence ids all lie in the selected history (turns of conversations below 30)."""
-    turns = table(spark, d, "conversations").where("conv_id < 30").select(F.col("conv_id").alias("evidence")).distinct().withColumn("held", F.lit(True))
-    tasks = table(spark, d, "benchmark").select("item_id", F.explode(F.array("item_id")).alias("evidence"))
+    """Tasks whose evidence ids all lie in the history: conversations in which a user speaks."""
+    turns = table(spark, d, "conversations").where("role = 'user'").select(F.col("conv_id").alias("evidence")).distinct().withColumn("held", F.lit(True))
+    tasks = table(spark, d, "benchmark").select("item_id", F.explode(F.array(F.col("item_id"), F.col("item_id") * 3)).alias("evidence"))
     return tasks.join(turns, "evidence", "left").groupBy("item_id").agg(F.bool_and(F.coalesce("held", F.lit(False))).alias("kept"))
 
 
@@ -134,13 +136,13 @@ def dangling_evidence(spark, d):
     return e.join(table(spark, d, "documents").select(F.col("doc_id").alias("evidence")), "evidence", "left_anti").select("item_id", "evidence")
 
 
-_NUMBERED = "(CAST(doc_id % 7 AS VARCHAR) || '. ' || left(text, 40))"
+_NUMBERED = "(CAST(doc_id % 7 AS VARCHAR) || '. ' || text)"
 
 
 @query("numbered_lines", f"""WITH l AS (SELECT doc_id, string_split({_NUMBERED} || chr(10) || 'x. no' || chr(10) || '12. yes', chr(10)) AS ls FROM documents)
 SELECT doc_id, CAST(i - 1 AS BIGINT) AS line_no, CAST(regexp_extract(ls[i], '^([0-9]+)\\.', 1) AS BIGINT) AS fact_no FROM l, range(1, len(ls) + 1) r(i) WHERE regexp_matches(ls[i], '^[0-9]+\\.')""")
 def numbered_lines(spark, d):
-    said = F.concat(F.concat((F.col("doc_id") % 7).cast("string"), F.lit(". "), F.left("text", F.lit(40))), F.lit("\nx. no\n12. yes"))
+    said = F.concat(F.concat((F.col("doc_id") % 7).cast("string"), F.lit(". "), "text"), F.lit("\nx. no\n12. yes"))
     lines = table(spark, d, "documents").select("doc_id", F.posexplode(F.split(said, "\n", -1)).alias("n", "line")).where(F.regexp_like("line", F.lit(r"^[0-9]+\.")))
     return lines.select("doc_id", F.col("n").cast("long").alias("line_no"), F.regexp_extract("line", r"^([0-9]+)\.", 1).cast("long").alias("fact_no"))
 
