@@ -114,23 +114,24 @@ def signature(text: Column) -> Column:
     return F.lower(squeeze(text))
 
 
-def coverage(tokens_: Column, content: Column) -> Column:
-    """The share of the tokens that the content holds as substrings; null without tokens."""
-    low = F.lower(content)
+def coverage(tokens_: Column, content: Column, lowered: bool = False) -> Column:
+    """The share of the tokens that the content (in lower case already, if ``lowered``) holds; null without tokens."""
+    low = content if lowered else F.lower(content)
     hits = F.size(F.filter(tokens_, lambda t: F.contains(low, t)))
     return F.when(F.size(tokens_) > 0, hits / F.size(tokens_))
 
 
-def lexical_score(query: Column, content: Column, index: Column) -> Column:
+def lexical_score(query: Column, content: Column, index: Column, tokens_: Column | None = None, lowered: bool = False) -> Column:
     """0.4 + 0.45 coverage + 0.15 for the whole phrase, less a position penalty; within [0, 1]."""
-    phrase = F.when(F.contains(F.lower(content), F.lower(query)), 0.15).otherwise(0.0)
-    scored = 0.4 + 0.45 * coverage(query_tokens(query), content) + phrase - F.least(index * 0.0025, F.lit(0.15)) + 1e-9  # decimal ties go up
+    tokens_ = query_tokens(query) if tokens_ is None else tokens_
+    phrase = F.when(F.contains(content if lowered else F.lower(content), F.lower(query)), 0.15).otherwise(0.0)
+    scored = 0.4 + 0.45 * coverage(tokens_, content, lowered) + phrase - F.least(index * 0.0025, F.lit(0.15)) + 1e-9  # decimal ties go up
     no_tokens = F.greatest(F.lit(0.0), 1.0 - index * 0.01)
-    return F.when(F.size(query_tokens(query)) == 0, no_tokens).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored)), 6))
+    return F.when(F.size(tokens_) == 0, no_tokens).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored)), 6))
 
 
-def query_relevance(query: Column, content: Column) -> Column:
-    return F.round(F.coalesce(coverage(query_tokens(query), content), F.lit(0.0)), 6)
+def query_relevance(query: Column, content: Column, tokens_: Column | None = None, lowered: bool = False) -> Column:
+    return F.round(F.coalesce(coverage(query_tokens(query) if tokens_ is None else tokens_, content, lowered), F.lit(0.0)), 6)
 
 
 def matches(text: Column, pattern: str) -> Column:

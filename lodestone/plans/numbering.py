@@ -22,3 +22,10 @@ def numbered(df: DataFrame, key: str, *order: str, name: str = "sequence", width
     rn = F.row_number().over(Window.partitionBy(key).orderBy(*order))
     out = binned.withColumn("_rn", rn).join(counts, "_bin").join(per_key.drop("_bin"), F.col(key) == F.col("_key"))
     return out.withColumn(name, (F.col("_earlier") + F.col("_before") + F.col("_rn")).cast("long")).drop("_bin", "_earlier", "_key", "_before", "_rn")
+
+
+def query_blocks(items: DataFrame, key: str, size: int = 256) -> list[DataFrame]:
+    """A stated query set as blocks of at most ``size`` rows, which may be broadcast; key is integral and unique."""
+    q = numbered(items, key, key)
+    block = F.floor((F.col("sequence") - 1) / size)
+    return [q.where(block == k).drop("sequence") for k in range(max(1, -(-items.count() // size)))]

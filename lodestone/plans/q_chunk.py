@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import chunk, interval
+from lodestone.operators.retrieve import top_k
 from lodestone.plans import duck
+from lodestone.plans.numbering import query_blocks
 from lodestone.plans.registry import query, table
 from lodestone.plans.sources import sources
 
@@ -139,13 +143,22 @@ def remap_ranges(spark, d):
 @query("preview_unit", f"""
 WITH q AS (SELECT item_id, list_distinct({duck.tokens('text')}) AS toks FROM benchmark),
 u AS (SELECT conv_id, turn, text, {duck.tokens('text')} AS ts FROM conversations WHERE role <> 'system'),
-o AS (SELECT item_id, conv_id, turn, text, len(list_filter(toks, lambda t: list_contains(ts, t))) AS overlap FROM u JOIN q ON conv_id % (SELECT count(*) FROM benchmark) = item_id)
+o AS (SELECT item_id, conv_id, turn, text, len(list_filter(toks, lambda t: list_contains(ts, t))) AS overlap FROM u, q),
+b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY item_id, conv_id ORDER BY overlap DESC, turn) = 1)
 SELECT item_id, conv_id, turn AS "start", CAST(overlap AS BIGINT) AS overlap, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 299) || '…' END AS preview
-FROM o QUALIFY row_number() OVER (PARTITION BY item_id, conv_id ORDER BY overlap DESC, turn) = 1""")
+FROM b WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, conv_id) <= 5""")
 def preview_unit(spark, d):
+    """Previews of each item's five best conversations of all; items meet all units in broadcast blocks."""
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("toks"))
     u = table(spark, d, "conversations").where("role <> 'system'").select("conv_id", F.col("turn").alias("start"), F.col("text").alias("piece"))
-    return chunk.preview(u.join(q, u["conv_id"] % q.count() == q["item_id"]), "item_id", "conv_id", terms="toks")
+    words = u.select("conv_id", F.array_distinct(T.tokens(F.col("piece"))).alias("own"))
+    tops = []
+    for block in query_blocks(q, "item_id"):
+        pairs = words.crossJoin(F.broadcast(block)).select("item_id", "conv_id", F.size(F.array_intersect("own", "toks")).alias("most")).where("most > 0")
+        best = pairs.groupBy("item_id", "conv_id").agg(F.max("most").alias("most"))
+        tops.append(top_k(best, ["item_id"], [F.desc("most"), F.col("conv_id")], 5))
+    found = reduce(DataFrame.unionByName, tops).select("item_id", "conv_id")
+    return chunk.preview(found.join(q, "item_id").join(u, "conv_id"), "item_id", "conv_id", terms="toks")
 
 
 @query("request_episodes", f"""WITH {duck.SOURCES}, h AS (SELECT *, lag(session_id || role) OVER (PARTITION BY user_id, request_id ORDER BY sequence) AS earlier FROM src)

@@ -110,22 +110,12 @@ def edge_canonicalize(spark, d):
     return G.canonical(G.both_ways(e).unionByName(e.select("src", F.col("src").alias("dst"), "relation")))
 
 
-@query("connection_menu", f"""WITH {_EDGES}, n AS (SELECT event_id, user_id, day, {_KINDS.format(c='event_id')} AS kind FROM ev),
-rel AS (SELECT unnest(['about', 'contains', 'supersedes', 'contradicts', 'same_event_as']) AS relation),
-p AS (SELECT a.event_id AS src, b.event_id AS dst, relation, a.kind AS l, b.kind AS r FROM n a JOIN n b ON a.user_id = b.user_id AND a.day = b.day AND a.event_id <> b.event_id, rel)
-SELECT src, dst, relation FROM p WHERE {_ALLOWED} AND (relation NOT IN ('contradicts', 'same_event_as') OR src < dst)""")
-def connection_menu(spark, d):
-    """Allowed connections between nodes of one user and day, the menu's context; relations by their kinds."""
-    n = nodes(spark, d).select("node", "user_id", "day", kind("node").alias("k"))
-    a, b = n.toDF("src", "user_id", "day", "lk"), n.toDF("dst", "user_id", "day", "rk")
-    p = a.join(b, ["user_id", "day"]).where("src <> dst").withColumn("relation", F.explode(F.array(*[F.lit(r) for r in RELATIONS])))
-    symmetric = F.col("relation").isin(*G.SYMMETRIC)
-    return p.where(G.kinds_allowed("lk", "rk", "relation") & (~symmetric | (F.col("src") < F.col("dst")))).select("src", "dst", "relation")
+_CONTEXT = """t AS (SELECT user_id, event_id, 0 AS pri FROM ev WHERE event_id % 50 = 0 UNION ALL SELECT user_id, event_id, 1 FROM ev WHERE event_type = 'purchase'
+UNION ALL SELECT user_id, event_id, 2 FROM ev), f AS (SELECT user_id, event_id, min(pri) AS pri FROM t GROUP BY ALL),
+ctx AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) AS BIGINT) AS rn FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) <= 5)"""
 
 
-@query("maintenance_context", f"""WITH {_EDGES}, t AS (SELECT user_id, event_id, 0 AS pri FROM ev WHERE event_id % 50 = 0 UNION ALL SELECT user_id, event_id, 1 FROM ev WHERE event_type = 'purchase'
-UNION ALL SELECT user_id, event_id, 2 FROM ev), f AS (SELECT user_id, event_id, min(pri) AS pri FROM t GROUP BY ALL)
-SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) AS BIGINT) AS rn FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) <= 5""")
+@query("maintenance_context", f"WITH {_EDGES}, {_CONTEXT} SELECT * FROM ctx")
 def maintenance_context(spark, d):
     """Preferred nodes, then hits, then recent ones; first seen kept, capped per user."""
     n = nodes(spark, d)
@@ -135,6 +125,22 @@ def maintenance_context(spark, d):
     return first.withColumn("rn", rn.cast("long")).where("rn <= 5").drop("pri")
 
 
+@query("connection_menu", f"""WITH {_EDGES}, {_CONTEXT}, n AS (SELECT event_id, user_id, day, {_KINDS.format(c='event_id')} AS kind FROM ev SEMI JOIN ctx USING (event_id)),
+rel AS (SELECT unnest(['about', 'contains', 'supersedes', 'contradicts', 'same_event_as']) AS relation),
+p AS (SELECT a.event_id AS src, b.event_id AS dst, relation, a.kind AS l, b.kind AS r, a.day = b.day AS shared FROM n a JOIN n b ON a.user_id = b.user_id AND a.event_id <> b.event_id, rel)
+SELECT src, dst, relation FROM p WHERE {_ALLOWED} AND (relation NOT IN ('contradicts', 'same_event_as') OR src < dst) AND (relation <> 'contains' OR shared)""")
+def connection_menu(spark, d):
+    """Allowed connections between any two nodes of a user's maintenance context, which is capped and so bounds the
+    menu; "contains" needs a shared source, here the day."""
+    kept = maintenance_context(spark, d).select(F.col("event_id").alias("node"))
+    n = nodes(spark, d).join(kept, "node", "left_semi").select("node", "user_id", "day", kind("node").alias("k"))
+    a, b = n.toDF("src", "user_id", "lday", "lk"), n.toDF("dst", "user_id", "rday", "rk")
+    p = a.join(b, "user_id").where("src <> dst").withColumn("relation", F.explode(F.array(*[F.lit(r) for r in RELATIONS])))
+    symmetric = F.col("relation").isin(*G.SYMMETRIC)
+    shared = (F.col("relation") != "contains") | (F.col("lday") == F.col("rday"))
+    return p.where(G.kinds_allowed("lk", "rk", "relation") & (~symmetric | (F.col("src") < F.col("dst"))) & shared).select("src", "dst", "relation")
+
+
 @query("source_states", f"WITH {_EDGES}, s AS (SELECT event_id, unnest([event_id + 1, event_id + 2]) AS source, CASE event_id % 9 WHEN 0 THEN 'superseded' WHEN 1 THEN 'conflict' ELSE 'active' END AS status FROM ev) SELECT DISTINCT source, status FROM s WHERE status IN ('superseded', 'conflict')")
 def source_states(spark, d):
     n = F.col("node")

@@ -15,10 +15,10 @@ from lodestone.plans.registry import query, table
 _DISTINCT = "list_filter({t}, lambda x, i: list_position({t}, x) = i)"
 
 
-def _bm25_sql(docs: str = "documents", tok=duck.tokens, where: str = "TRUE") -> str:
+def _bm25_sql(docs: str = "documents", tok=duck.tokens, where: str = "TRUE", most: int = 1 << 30) -> str:
     return f"""d AS (SELECT doc_id, {tok('text')} AS ts FROM {docs} WHERE {where}),
 q0 AS (SELECT item_id, {tok('text')} AS ts FROM benchmark),
-q AS (SELECT item_id, unnest({_DISTINCT.format(t='ts')}) AS term FROM q0),
+q AS (SELECT item_id, unnest(({_DISTINCT.format(t='ts')})[1:{most}]) AS term FROM q0),
 st AS (SELECT count(*) AS n, greatest(sum(len(ts)) / count(*), 1.0) AS av FROM d),
 tf AS (SELECT doc_id, term, len, count(*) AS tf FROM (SELECT doc_id, len(ts) AS len, unnest(ts) AS term FROM d) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
@@ -27,9 +27,11 @@ sc AS (SELECT item_id, doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * (
 bm AS (SELECT item_id, doc_id, score, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rn FROM sc)"""
 
 
-def bm25_scores(spark, d, tokens=T.tokens, where=None):
+def bm25_scores(spark, d, tokens=T.tokens, where=None, most=None):
     docs = table(spark, d, "documents").where(F.lit(True) if where is None else where).select(F.lit("all").alias("corpus"), "doc_id", tokens(F.col("text")).alias("terms"))
     q = table(spark, d, "benchmark").select(F.lit("all").alias("corpus"), "item_id", F.array_distinct(tokens(F.col("text"))).alias("terms"))
+    if most is not None:
+        q = q.withColumn("terms", F.slice("terms", 1, most))
     return R.bm25(docs, q, "corpus", "doc_id", "item_id")
 
 

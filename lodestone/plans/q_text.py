@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions import text as T
+from lodestone.operators import retrieve as R
 from lodestone.plans import duck
+from lodestone.plans.numbering import query_blocks
 from lodestone.plans.registry import query, table
 
 # Phrases that exercise the cue functions; the driver's texts are invented words.
@@ -108,28 +113,35 @@ def content_signature_dups(spark, d):
 
 
 _SCORED = f"""
-WITH q AS (SELECT item_id, text AS question, {duck.query_tokens('text')} AS toks FROM benchmark),
-p AS (SELECT item_id, doc_id, question, toks, lower(text) AS low, doc_id % 80 AS idx,
-  len(list_filter(toks, lambda t: contains(lower(text), t))) AS hits FROM q JOIN documents ON doc_id % (SELECT count(*) FROM benchmark) = item_id)
+WITH q AS (SELECT item_id, lower(text) AS question, {duck.query_tokens('text')} AS toks FROM benchmark),
+d AS (SELECT doc_id, lower(text) AS low, doc_id % 80 AS idx FROM documents),
+p AS (SELECT item_id, doc_id, question, toks, low, idx, len(list_filter(toks, lambda t: contains(low, t))) AS hits FROM q, d),
 """
+_BEST = "SELECT item_id, doc_id, {v}, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) AS BIGINT) AS rn FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) <= 10"
 
 
-def scored(spark, d):
-    """Every document with the one benchmark item it is scored for."""
-    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"))
-    docs = table(spark, d, "documents")
-    return docs.join(q, docs["doc_id"] % q.count() == q["item_id"])
+def scored(spark, d, score, name):
+    """Each item's ten best documents of all: the items are a stated query set and meet the whole table in broadcast
+    blocks."""
+    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), T.query_tokens(F.col("text")).alias("toks"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    tops = []
+    for block in query_blocks(q, "item_id"):
+        pairs = docs.crossJoin(F.broadcast(block)).select("item_id", "doc_id", score.alias(name))
+        tops.append(R.top_k(pairs, ["item_id"], [F.desc(name), F.col("doc_id")], 10))
+    return reduce(DataFrame.unionByName, tops)
 
 
 @query("lexical_score_gen1", _SCORED + """
-SELECT item_id, doc_id, round(greatest(0.0, least(1.0, 0.4 + 0.45 * (hits / len(toks)) + CASE WHEN contains(low, lower(question)) THEN 0.15 ELSE 0.0 END - least(idx * 0.0025, 0.15) + 1e-9)), 6) AS score FROM p""")
+s AS (SELECT item_id, doc_id, round(greatest(0.0, least(1.0, 0.4 + 0.45 * (hits / len(toks)) + CASE WHEN contains(low, question) THEN 0.15 ELSE 0.0 END - least(idx * 0.0025, 0.15) + 1e-9)), 6) AS score FROM p)
+""" + _BEST.format(v="score"))
 def lexical_score_gen1(spark, d):
-    return scored(spark, d).select("item_id", "doc_id", T.lexical_score(F.col("question"), F.col("text"), F.col("doc_id") % 80).alias("score"))
+    return scored(spark, d, T.lexical_score(F.col("question"), F.col("low"), F.col("doc_id") % 80, F.col("toks"), lowered=True), "score")
 
 
-@query("query_relevance", _SCORED + "SELECT item_id, doc_id, round(hits / len(toks), 6) AS relevance FROM p")
+@query("query_relevance", _SCORED + "s AS (SELECT item_id, doc_id, round(hits / len(toks), 6) AS relevance FROM p) " + _BEST.format(v="relevance"))
 def query_relevance(spark, d):
-    return scored(spark, d).select("item_id", "doc_id", T.query_relevance(F.col("question"), F.col("text")).alias("relevance"))
+    return scored(spark, d, T.query_relevance(F.col("question"), F.col("low"), F.col("toks"), lowered=True), "relevance")
 
 
 @query("classify_intent", f"SELECT doc_id, CASE {' '.join(f'WHEN {duck.matches('q', p)} THEN {duck.text(n)}' for n, p in fixed.INTENTS)} ELSE 'general' END AS intent FROM (SELECT doc_id, {SAID} AS q FROM documents)")
