@@ -32,13 +32,19 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def fresh_folder(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, not made yet. What stands there goes when this Python process ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if not _written:
+        atexit.register(remove_written)
+    _written.append((spark, path))
+    return path
+
+
 def cut(df: DataFrame, name: str) -> DataFrame:
     """Write df once to the shared folder and read it back: later jobs neither recompute it nor
     depend on the executors that made it. The tables go when this Python process ends."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    if not _written:
-        atexit.register(remove_written)
-    _written.append((df.sparkSession, path))
+    path = fresh_folder(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

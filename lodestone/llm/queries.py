@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm import ann, chat, decontam, html_extract, langid, mixing, quality, secret_scan, simhash, toxicity
-from lodestone.llm.common import table
+from lodestone.llm import ann, chat, decontam, html_extract, langid, mixing, quality, repair, secret_scan, simhash, token_files, toxicity, whitening
+from lodestone.llm.common import fresh_folder, table
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +54,22 @@ def op10_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, langid.train(docs))
 
 
+def op11_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair(repair.damage(table(spark, sf_dir, "conversations")))
+
+
+def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    folder = fresh_folder(spark, "tokens")
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
+    return token_files.read_digests(spark, folder)
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_decontam": op2_decontam,
@@ -65,6 +81,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secrets": op8_secrets,
     "op9_chat": op9_chat,
     "op10_langid": op10_langid,
+    "op11_repair": op11_repair,
+    "op12_tokens": op12_tokens,
+    "op13_whitening": op13_whitening,
 }
 
 ORACLES: dict[str, str] = {
