@@ -88,4 +88,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 ORACLES: dict[str, str] = {
     "op9_chat": chat.ORACLE,
+    "op11_repair": repair.ORACLE,
 }

@@ -391,3 +391,43 @@ def repair(rows: DataFrame, piece_rows: int = 4096, piece_chars: int = 4_000_000
     several = cut(found.join(many, found["conv_id"].eqNullSafe(many["conv_id"]), "left_semi"), "several")
     single = found.join(many, found["conv_id"].eqNullSafe(many["conv_id"]), "left_anti").mapInArrow(from_single, RESULT)
     return single.unionByName(from_several(several))
+
+
+def _step(x: str, cost: str, letter: str) -> str:
+    return f"lpad(CAST(CAST(left({x}, 9) AS BIGINT) + {cost} AS VARCHAR), 9, '0') || substr({x}, 10) || {letter}"
+
+
+_CRC = "list_reduce([xor(c, CAST(b AS BIGINT))] || range(8), lambda x, k: xor(x >> 1, (x & 1) * 3988292384))"
+_BEFORE_ROW = f"""SELECT conv_id, i, z, s, u, least(a, {_step("u", "3", "'I'")}) AS a
+    FROM (SELECT conv_id, i, z, s, a, least(u, {", ".join(_step(x, "3", "'I'") for x in "zsa")}) AS u FROM walk) AS w1"""
+# Each state's best way is its cost in nine digits and its audit, so the smallest string is the cheapest and then least one.
+ORACLE = f"""WITH RECURSIVE
+named AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+kinds AS (SELECT conv_id, turn, role, text, xor(list_reduce([CAST(4294967295 AS BIGINT)] || list_transform(string_split(k, ''), lambda x: CAST(ord(x) AS BIGINT)), lambda c, b: {_CRC}), 4294967295) % 20 AS kind FROM named),
+rows_ AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(text, '.!?', '') ELSE text END AS text, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM kinds),
+placed AS (SELECT conv_id, turn, role, text, left(role, 1) AS ini, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM rows_),
+told AS (SELECT *, lag(ini) OVER (PARTITION BY conv_id ORDER BY i) || ini NOT IN ('su', 'ua', 'au') AS illegal,
+  CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+    WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+graph AS (SELECT conv_id, i, ini, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS more FROM told),
+walk(conv_id, i, z, s, u, a) AS (
+  SELECT DISTINCT conv_id, CAST(0 AS BIGINT), '000000000', CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR) FROM conversations
+  UNION ALL
+  SELECT w.conv_id, g.i, {_step("w.z", "4", "'D'")},
+    least({_step("w.s", "4", "'D'")}, CASE WHEN g.stays AND g.ini = 's' THEN {_step("w.z", "g.more", "'K'")} END),
+    least({_step("w.u", "4", "'D'")}, CASE WHEN g.stays AND g.ini = 'u' THEN least({", ".join(_step(f"w.{x}", "g.more", "'K'") for x in "zsa")})
+      WHEN g.stays THEN least({", ".join(_step(f"w.{x}", "g.more + 3", "'R'") for x in "zsa")}) END),
+    least({_step("w.a", "4", "'D'")}, CASE WHEN g.stays AND g.ini = 'a' THEN {_step("w.u", "g.more", "'K'")} WHEN g.stays THEN {_step("w.u", "g.more + 3", "'R'")} END)
+  FROM ({_BEFORE_ROW}) AS w JOIN graph AS g ON g.conv_id IS NOT DISTINCT FROM w.conv_id AND g.i = w.i + 1),
+best AS (SELECT conv_id, arg_max(least(z, a), i) AS b FROM ({_BEFORE_ROW}) AS w GROUP BY conv_id),
+letters AS (SELECT conv_id, p, substr(b, 9 + p, 1) AS letter FROM (SELECT conv_id, b, unnest(range(1, length(b) - 8)) AS p FROM best)),
+used AS (SELECT *, count(*) FILTER (letter <> 'I') OVER (PARTITION BY conv_id ORDER BY p) AS i FROM letters),
+made AS (SELECT l.conv_id, l.p, l.letter, t.role, t.text,
+  count(*) FILTER (NOT (l.letter = 'K' AND t.ini = 's')) OVER (PARTITION BY l.conv_id ORDER BY l.p) % 2 = 1 AS by_user
+  FROM used AS l LEFT JOIN told AS t ON t.conv_id IS NOT DISTINCT FROM l.conv_id AND t.i = l.i AND l.letter <> 'I' WHERE l.letter <> 'D'),
+texts AS (SELECT conv_id, string_agg(CASE WHEN letter = 'K' THEN role WHEN by_user THEN 'user' ELSE 'assistant' END || ':' || CASE WHEN letter = 'I' THEN '' ELSE text END, chr(10) ORDER BY p) AS repaired FROM made GROUP BY conv_id),
+counts AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+  count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (illegal) AS illegal FROM told GROUP BY conv_id)
+SELECT b.conv_id, CAST(coalesce(c.gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(c.blank, 0) AS BIGINT) AS blank, CAST(coalesce(c.duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(c.truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(c.illegal, 0) AS BIGINT) AS illegal, CAST(left(b.b, 9) AS BIGINT) AS cost, substr(b.b, 10) AS audit, sha256(coalesce(x.repaired, '')) AS repaired_sha256
+FROM best AS b LEFT JOIN counts AS c ON c.conv_id IS NOT DISTINCT FROM b.conv_id LEFT JOIN texts AS x ON x.conv_id IS NOT DISTINCT FROM b.conv_id"""
