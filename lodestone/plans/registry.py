@@ -27,5 +27,5 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-for _family in ("text", "temporal", "chunk", "retrieve", "assemble", "graph", "ingest", "evaluate", "select", "relational", "records"):
+for _family in ("text", "temporal", "chunk", "retrieve", "assemble", "graph", "ingest", "evaluate", "select", "relational", "records", "groups"):
     importlib.import_module(f"lodestone.plans.q_{_family}")
