@@ -7,7 +7,11 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import path_groups as P
-from lodestone.plans.q_graph import edges, nodes
+from lodestone.operators.explore import explore
+from lodestone.operators.forget import COMMAND_WORDS, forget_topics
+from lodestone.operators.quantiles import exact_quantiles
+from lodestone.plans import duck
+from lodestone.plans.q_graph import _EDGES, edges, nodes
 from lodestone.plans.registry import query, table
 
 
@@ -45,3 +49,56 @@ def pack_path_groups(spark, d):
     groups = P.useful(reached, n, branches, roots.where("rn = 2"), roots)
     packed = P.pack_groups(P.with_material(groups, n, fragments), top_k=2, card_chars=420, total_chars=700)
     return packed.select("query_id", "rn", "root", F.array_join("members", ",").alias("members"), "reason", "n_fragments", "n_shared", "chars", "path_closed", "n_edges", "complete", F.sha2("content", 256).alias("content_sha256"))
+
+
+# Every conversation's last user turn, unless it is the first row, asks to forget what the first row began with.
+_FORGET = f"""WITH c AS (SELECT conv_id, turn, role, text FROM conversations),
+w AS (SELECT conv_id, min(turn) AS first_turn, arg_min(text, turn) AS first_text, max(turn) FILTER (role = 'user') AS last_turn FROM c GROUP BY conv_id),
+s AS (SELECT c.conv_id, c.turn, c.role, CASE WHEN c.turn = w.last_turn AND w.last_turn > w.first_turn THEN 'Please forget ' || left(w.first_text, 40) ELSE c.text END AS text,
+  c.turn = w.last_turn AND w.last_turn > w.first_turn AS command FROM c JOIN w ON w.conv_id = c.conv_id),
+t AS (SELECT conv_id, turn, list_filter(list_distinct({duck.tokens('text')}), lambda t: NOT list_contains({duck.listed(COMMAND_WORDS)}, t)) AS topic FROM s WHERE command),
+p AS (SELECT conv_id, turn, unnest(list_transform(range(0, greatest(length(text), 1), 400), lambda a: substring(text, a + 1, 400))) AS piece FROM s WHERE NOT command),
+m AS (SELECT DISTINCT p.conv_id, p.turn FROM p JOIN t ON t.conv_id = p.conv_id AND p.turn < t.turn WHERE len(topic) > 0 AND len(list_intersect(topic, {duck.tokens('piece')})) >= ceil(len(topic) * 0.5)),
+v AS (SELECT m.conv_id, m.turn, t.turn AS by FROM m JOIN t ON t.conv_id = m.conv_id JOIN s ON s.conv_id = m.conv_id AND s.turn = m.turn WHERE len(list_intersect(topic, {duck.tokens('s.text')})) >= ceil(len(topic) * 0.75))
+SELECT s.conv_id, s.turn, CASE WHEN command THEN 'instruction' WHEN v.by IS NOT NULL THEN 'blocked' ELSE 'active' END AS state, v.by AS forgotten_by FROM s LEFT JOIN v ON v.conv_id = s.conv_id AND v.turn = s.turn"""
+
+
+def forgetful(spark, d):
+    c = table(spark, d, "conversations")
+    first = c.groupBy("conv_id").agg(F.min("turn").alias("first_turn"), F.min_by("text", "turn").alias("first_text"), F.max(F.when(F.col("role") == "user", F.col("turn"))).alias("last_turn"))
+    asks = (F.col("turn") == F.col("last_turn")) & (F.col("last_turn") > F.col("first_turn"))
+    text = F.when(asks, F.concat(F.lit("Please forget "), F.left("first_text", F.lit(40)))).otherwise(F.col("text"))
+    return c.join(first, "conv_id").select(F.col("conv_id").alias("user_id"), F.col("turn").alias("sequence"), "role", text.alias("text"))
+
+
+@query("forget_topic", _FORGET)
+def forget_topic(spark, d):
+    s = forgetful(spark, d)
+    pages = F.transform(F.sequence(F.lit(0), F.greatest(F.length("text") - 1, F.lit(0)), F.lit(400)), lambda a: F.struct(a.alias("start"), F.array_distinct(T.tokens(F.substr("text", a + 1, F.lit(400)))).alias("words")))
+    pieces = s.select("user_id", "sequence", F.explode(pages).alias("p")).select("user_id", "sequence", "p.*")
+    out = forget_topics(s, pieces)
+    return out.select(F.col("user_id").alias("conv_id"), F.col("sequence").alias("turn"), "state", "forgotten_by")
+
+
+@query("explore_paths", f"""WITH RECURSIVE {_EDGES}, we AS (SELECT src, dst, (60 - src % 7) / 80.0::DOUBLE AS weight FROM ed),
+ac AS (SELECT src, dst, 'inspect' AS action, weight FROM we UNION ALL SELECT dst, src, 'backlinks', weight FROM we),
+k AS (SELECT * FROM ac QUALIFY row_number() OVER (PARTITION BY src ORDER BY weight DESC, dst, action) <= 2),
+w AS (SELECT event_id AS seed, event_id AS node, 0 AS hop, CAST(1 AS DOUBLE) AS score, [event_id] AS path FROM ev WHERE event_type = 'error'
+  UNION ALL SELECT w.seed, k.dst, w.hop + 1, w.score * k.weight, list_append(w.path, k.dst) FROM w JOIN k ON k.src = w.node WHERE w.hop < 4),
+b AS (SELECT * FROM w QUALIFY row_number() OVER (PARTITION BY seed, node ORDER BY score DESC, hop, path) = 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY seed ORDER BY score DESC, hop, node) AS rank, count(*) OVER (PARTITION BY seed) AS found FROM b)
+SELECT seed, CAST(rank AS BIGINT) AS rank, node, CAST(hop AS BIGINT) AS hop, round(score, 6) AS score, array_to_string(path, ',') AS path, CAST(found AS BIGINT) AS found FROM r WHERE rank <= 5""")
+def explore_paths(spark, d):
+    e = edges(spark, d).withColumn("weight", (60 - F.col("src") % 7) / F.lit(80.0))
+    seeds = nodes(spark, d).where("event_type = 'error'").select("node")
+    out = explore(e, seeds, hops=4, nodes=5, fan_out=2)
+    return out.select("seed", F.col("rank").cast("long").alias("rank"), "node", F.col("hop").cast("long").alias("hop"), F.round("score", 6).alias("score"), F.array_join(F.transform("path", lambda n: n.cast("string")), ",").alias("path"), "found")
+
+
+SHARES = [0.0, 0.05, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0]
+
+
+@query("exact_quantiles", f"""WITH q AS (SELECT event_type, unnest({SHARES}) AS share, unnest(quantile_cont(CAST(value AS DOUBLE), {SHARES})) AS value FROM events GROUP BY event_type)
+SELECT event_type, CAST(share AS DOUBLE) AS share, round(value, 6) AS value FROM q""")
+def quantiles_of_values(spark, d):
+    return exact_quantiles(table(spark, d, "events"), ["event_type"], "value", SHARES).withColumn("value", F.round("value", 6))
