@@ -21,6 +21,7 @@ import re
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Any
 
 import numpy as np
@@ -31,9 +32,9 @@ from pyspark.sql import functions as F
 
 SHARD = "part int, name string, ids_type string, nulls long, docs long, ids long, low long, high long"
 MANIFEST = "part int, name string, ids_type string, nulls long, docs long, ids long, base long"
-# A text longer than this is cut into words in windows of about this many characters.
+# Texts are cut into words in windows of about this many characters.
 WINDOW = 1 << 20
-CACHED_WORDS = 400_000
+CACHED_WORDS = 600_000
 
 
 def place(uri: str) -> tuple[fs.FileSystem, str]:
@@ -60,9 +61,9 @@ def windows(text: str) -> Iterator[str]:
 class Encoder:
     """A tokenizer file's ids for whole texts, as bytes.
 
-    ``split`` is the pattern by which the tokenizer cuts a text into words before it merges within each: then every
-    distinct word goes to the library once and not at each place where it stands. Texts that hold one of the
-    tokenizer's special strings, and all texts if there is no pattern, go to it whole.
+    ``split`` is the pattern by which the tokenizer cuts a text into words before it merges within each: then a word goes
+    to the library when it is new and not at each place where it stands. Texts that hold one of the tokenizer's special
+    strings, and all texts if there is no pattern, go to it whole.
     """
 
     def __init__(self, path: str, split: str | None, end_id: int):
@@ -81,20 +82,40 @@ class Encoder:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, self.ids_type).tobytes() for x in found]
 
-    def by_words(self, text: str) -> Iterator[bytes]:
-        for piece in windows(text):
-            words = self.words(piece)
-            new = list(set(words).difference(self.known))
-            if len(self.known) + len(new) > CACHED_WORDS:
-                self.known.clear()
-                new = list(set(words))
-            self.known.update(zip(new, self.packed(new)))
-            yield b"".join(map(self.known.__getitem__, words))
-
-    def encode(self, text: str) -> bytes:
-        if self.words is None or any(s in text for s in self.special):
-            return self.packed([text])[0] + self.end
-        return b"".join([*self.by_words(text), self.end])
+    def by_words(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces between words. The first words met are kept, which frequent ones are among; beyond
+        CACHED_WORDS of them a new word is looked up for these pieces alone."""
+        cut = [self.words(p) for p in pieces]
+        new = list({w for words in cut for w in words}.difference(self.known))
+        table = dict(zip(new, self.packed(new))) if new else {}
+        if len(self.known) + len(new) <= CACHED_WORDS:
+            self.known.update(table)
+            return [b"".join(map(self.known.__getitem__, words)) for words in cut]
+        known = self.known
+        return [b"".join([known[w] if w in known else table[w] for w in words]) for words in cut]
+
+    def encode(self, texts: list[str]) -> Iterator[bytes]:
+        """The ids of each text with the end id, in order; short texts meet their words together."""
+        held: list[str] = []
+        for text in texts:
+            plain = self.words is not None and not any(s in text for s in self.special)
+            if plain and len(text) <= WINDOW:
+                held.append(text)
+                if sum(map(len, held)) < WINDOW:
+                    continue
+            if held:
+                yield from (x + self.end for x in self.by_words(held))
+                held = []
+                if plain and len(text) <= WINDOW:
+                    continue
+            yield (b"".join(self.by_words([p])[0] for p in windows(text)) if plain else self.packed([text])[0]) + self.end
+        yield from (x + self.end for x in (self.by_words(held) if held else []))
+
+
+@lru_cache(maxsize=1)
+def encoder_of(path: str, split: str | None, end_id: int) -> Encoder:
+    """One encoder for all tasks of a Python worker, so what one task has learned serves the next."""
+    return Encoder(path, split, end_id)
 
 
 def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, split: str | None = None) -> DataFrame:
@@ -117,14 +138,13 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, split:
         for b in batches:
             for at in range(0, b.num_rows, 256):
                 if encoder is None:
-                    encoder, (store_fs, path) = Encoder(tokenizer, split, end_id), place(folder)
+                    encoder, (store_fs, path) = encoder_of(tokenizer, split, end_id), place(folder)
                     name = f"{part:06d}-{uuid.uuid4().hex}"
                     store_fs.create_dir(path, recursive=True)
                     out = store_fs.open_output_stream(f"{path}/{name}.ids")
                 some = b.slice(at, 256)
                 ids.append(some.column(0))
-                for text in some.column(1):
-                    data = encoder.encode(text.as_py())
+                for data in encoder.encode(some.column(1).to_pylist()):
                     lengths.append(len(data) // len(encoder.end))
                     out.write(data)
         if encoder is None:

@@ -69,7 +69,10 @@ def test_a_long_text_is_cut_between_words(library, monkeypatch):
     encoder = token_files.Encoder(PATH, P.PATTERN, 2)
     for t in [*texts(3, 60), " ".join(texts(4, 60)), "a" * 500, "a  b " * 100, " " * 300, "x y" * 90]:
         t = t.replace("<|endoftext|>", "")
-        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(next(encoder.encode([t])), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [2]
+    many = [t * k for k, t in enumerate(texts(9, 40))]
+    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(many)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in many]
+    assert len(encoder.known) <= 20
     assert "".join(token_files.windows("a b " * 200)) == "a b " * 200
 
 
