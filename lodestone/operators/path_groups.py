@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 # Relations that change what holds: a path through one is never left out as useless.
 STATE_RELATIONS = ("supersedes", "contradicts")
 CARD_CHARS, TOTAL_CHARS = 4000, 24_000
@@ -36,7 +38,8 @@ def routes(roots: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
         near = near.select("query_id", "root", "root_rn", F.col("dst").alias("ref"), F.lit(hop).alias("hop"), F.array_append("route", F.col("edge")).alias("route"), F.array_append("walked", F.col("at").cast("long")).alias("walked"), (F.col("_chosen") | F.col("chosen")).alias("chosen"))
         near = near.join(seen.select("query_id", "root", "ref"), ["query_id", "root", "ref"], "left_anti")
         first = F.row_number().over(Window.partitionBy("query_id", "root", "ref").orderBy("walked"))
-        front = near.withColumn("_i", first).where("_i = 1").drop("_i")
+        # Each level is a table, so that no later one computes it again.
+        front = written(near.withColumn("_i", first).where("_i = 1").drop("_i"), "routes")
         seen = seen.unionByName(front)
     return seen.drop("walked")
 
