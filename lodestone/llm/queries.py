@@ -62,7 +62,7 @@ def op12_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     folder = fresh_folder(spark, "tokens")
-    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2, public_tokenizers.PATTERN)
+    token_files.write(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("byte_bpe_50k.json"), 2, token_files.SPLIT)
     return token_files.read_digests(spark, folder)
 
 

@@ -18,9 +18,11 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import uuid
 import zlib
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 from typing import Any
 
@@ -32,6 +34,9 @@ from pyspark.sql import functions as F
 
 SHARD = "part int, name string, ids_type string, nulls long, docs long, ids long, low long, high long"
 MANIFEST = "part int, name string, ids_type string, nulls long, docs long, ids long, base long"
+# How the byte-level vocabularies cut a text into words, the commonest kind first: the kinds exclude each other but for
+# contractions, which go before other signs, and white space, whose last character belongs to what follows.
+SPLIT = r" ?\p{L}+| ?\p{N}+|'(?:s|t|re|ve|m|ll|d)| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Texts are cut into words in windows of about this many characters.
 WINDOW = 1 << 20
 CACHED_WORDS = 600_000
@@ -58,6 +63,19 @@ def windows(text: str) -> Iterator[str]:
     yield text[at:]
 
 
+class Words(dict[str, bytes]):
+    """The ids of words: of the first CACHED_WORDS met, which frequent ones are among, kept; of others made each time."""
+
+    def __init__(self, packed: Callable[[str], bytes]):
+        self.packed = packed
+
+    def __missing__(self, word: str) -> bytes:
+        found = self.packed(word)
+        if len(self) < CACHED_WORDS:
+            self[word] = found
+        return found
+
+
 class Encoder:
     """A tokenizer file's ids for whole texts, as bytes.
 
@@ -76,40 +94,19 @@ class Encoder:
         self.words = regex.compile(split).findall if split else None
         self.ids_type = "<u2" if max(self.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else "<u4"
         self.end = np.array([end_id], self.ids_type).tobytes()
-        self.known: dict[str, bytes] = {}
-
-    def packed(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [np.array(x.ids, self.ids_type).tobytes() for x in found]
-
-    def by_words(self, pieces: list[str]) -> list[bytes]:
-        """The ids of pieces between words. The first words met are kept, which frequent ones are among; beyond
-        CACHED_WORDS of them a new word is looked up for these pieces alone."""
-        cut = [self.words(p) for p in pieces]
-        new = list({w for words in cut for w in words}.difference(self.known))
-        table = dict(zip(new, self.packed(new))) if new else {}
-        if len(self.known) + len(new) <= CACHED_WORDS:
-            self.known.update(table)
-            return [b"".join(map(self.known.__getitem__, words)) for words in cut]
-        known = self.known
-        return [b"".join([known[w] if w in known else table[w] for w in words]) for words in cut]
-
-    def encode(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text with the end id, in order; short texts meet their words together."""
-        held: list[str] = []
-        for text in texts:
-            plain = self.words is not None and not any(s in text for s in self.special)
-            if plain and len(text) <= WINDOW:
-                held.append(text)
-                if sum(map(len, held)) < WINDOW:
-                    continue
-            if held:
-                yield from (x + self.end for x in self.by_words(held))
-                held = []
-                if plain and len(text) <= WINDOW:
-                    continue
-            yield (b"".join(self.by_words([p])[0] for p in windows(text)) if plain else self.packed([text])[0]) + self.end
-        yield from (x + self.end for x in (self.by_words(held) if held else []))
+        self.code = next(c for c in "HIL" if array(c).itemsize == int(self.ids_type[2]))
+        self.known = Words(self.packed)
+
+    def packed(self, text: str) -> bytes:
+        found = array(self.code, self.tokenizer.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return found.tobytes()
+
+    def encode(self, text: str) -> bytes:
+        if self.words is None or any(s in text for s in self.special):
+            return self.packed(text) + self.end
+        return b"".join([b"".join(map(self.known.__getitem__, self.words(piece))) for piece in windows(text)]) + self.end
 
 
 @lru_cache(maxsize=1)
@@ -144,7 +141,7 @@ def write(docs: DataFrame, folder: str, tokenizer: str, end_id: int = 2, split:
                     out = store_fs.open_output_stream(f"{path}/{name}.ids")
                 some = b.slice(at, 256)
                 ids.append(some.column(0))
-                for data in encoder.encode(some.column(1).to_pylist()):
+                for data in map(encoder.encode, some.column(1).to_pylist()):
                     lengths.append(len(data) // len(encoder.end))
                     out.write(data)
         if encoder is None:

@@ -37,7 +37,7 @@ def texts(seed, n):
     return ["".join(rng.choice(bits) for _ in range(rng.randrange(0, 30))) for _ in range(n)]
 
 
-@pytest.mark.parametrize("split", [P.PATTERN, None])
+@pytest.mark.parametrize("split", [token_files.SPLIT, None])
 def test_files_hold_the_ids_of_the_library(spark, docs_of, library, tmp_path, split):
     rows = [(i * 7 % 400, t) for i, t in enumerate(texts(1, 300))] + [(5, "tie"), (5, "a tie"), (5, "tie"), (None, "no id"), (None, None), (3, None), (4, "")]
     docs = docs_of([(d, t, None, None) for d, t in rows]).repartition(7)
@@ -66,12 +66,12 @@ def test_no_rows(spark, docs_of, tmp_path):
 def test_a_long_text_is_cut_between_words(library, monkeypatch):
     monkeypatch.setattr(token_files, "WINDOW", 50)
     monkeypatch.setattr(token_files, "CACHED_WORDS", 20)
-    encoder = token_files.Encoder(PATH, P.PATTERN, 2)
+    encoder = token_files.Encoder(PATH, token_files.SPLIT, 2)
     for t in [*texts(3, 60), " ".join(texts(4, 60)), "a" * 500, "a  b " * 100, " " * 300, "x y" * 90]:
         t = t.replace("<|endoftext|>", "")
-        assert np.frombuffer(next(encoder.encode([t])), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [2]
+        assert np.frombuffer(encoder.encode(t), "<u2").tolist() == library.encode(t, add_special_tokens=False).ids + [2]
     many = [t * k for k, t in enumerate(texts(9, 40))]
-    assert [np.frombuffer(x, "<u2").tolist() for x in encoder.encode(many)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in many]
+    assert [np.frombuffer(x, "<u2").tolist() for x in map(encoder.encode, many)] == [library.encode(t, add_special_tokens=False).ids + [2] for t in many]
     assert len(encoder.known) <= 20
     assert "".join(token_files.windows("a b " * 200)) == "a b " * 200
 
@@ -79,7 +79,7 @@ def test_a_long_text_is_cut_between_words(library, monkeypatch):
 def test_files_of_failed_attempts_are_not_read(spark, docs_of, tmp_path):
     (tmp_path / "000000-dead.ids").write_bytes(b"\x01\x00" * 9)
     (tmp_path / "000000-dead.lengths").write_bytes(b"\x00" * 8)
-    token_files.write(docs_of([(1, "a b", None, None)]), str(tmp_path), PATH, 2, P.PATTERN)
+    token_files.write(docs_of([(1, "a b", None, None)]), str(tmp_path), PATH, 2, token_files.SPLIT)
     assert not [f for f in os.listdir(tmp_path) if "dead" in f]
     assert [(r["doc_id"], r["start"]) for r in token_files.read_digests(spark, str(tmp_path)).collect()] == [(1, 0)]
 
