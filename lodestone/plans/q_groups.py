@@ -1,4 +1,4 @@
-"""Queries of path groups, topic forgetting, exploration and exact quantiles."""
+"""Queries of path groups, topic forgetting, exploration, exact quantiles, dictionaries and budgets."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators import dictionary, usage
 from lodestone.operators import path_groups as P
 from lodestone.operators.explore import explore
 from lodestone.operators.forget import COMMAND_WORDS, forget_topics
@@ -102,3 +103,31 @@ SHARES = [0.0, 0.05, 0.25, 0.5, 0.9, 0.95, 0.99, 1.0]
 SELECT event_type, CAST(share AS DOUBLE) AS share, round(value, 6) AS value FROM q""")
 def quantiles_of_values(spark, d):
     return exact_quantiles(table(spark, d, "events"), ["event_type"], "value", SHARES).withColumn("value", F.round("value", 6))
+
+
+@query("value_dictionary", """WITH v AS (SELECT DISTINCT 'event_type' AS name, event_type AS value FROM events WHERE event_type IS NOT NULL UNION SELECT DISTINCT 'props', props FROM events WHERE props IS NOT NULL)
+SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY value) - 1 AS BIGINT) AS code, value FROM v""")
+def value_dictionary(spark, d):
+    return dictionary.dictionary(table(spark, d, "events").select("event_type", "props"), ["event_type", "props"])
+
+
+@query("encoded_events", """WITH t AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS code FROM (SELECT DISTINCT event_type FROM events WHERE event_type IS NOT NULL)),
+p AS (SELECT props, row_number() OVER (ORDER BY props) - 1 AS code FROM (SELECT DISTINCT props FROM events WHERE props IS NOT NULL))
+SELECT e.event_id, CAST(t.code AS BIGINT) AS event_type, CAST(p.code AS BIGINT) AS props FROM events e LEFT JOIN t ON t.event_type = e.event_type LEFT JOIN p ON p.props = e.props""")
+def encoded_events(spark, d):
+    _, rows = dictionary.encode(table(spark, d, "events").select("event_id", "event_type", "props"), ["event_type", "props"], "event_id")
+    return rows
+
+
+# Every turn of a conversation is a model call; long ones are refused, and a conversation has a budget.
+_CALLS = """WITH c AS (SELECT conv_id, turn, length(text) AS chars FROM conversations),
+r AS (SELECT *, sum(CASE WHEN chars > 900 THEN 0 ELSE 1 END) OVER w AS n, sum(CASE WHEN chars > 900 THEN 0 ELSE chars END) OVER w AS used FROM c WINDOW w AS (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING))
+SELECT conv_id, turn, CASE WHEN chars > 900 THEN 'model_input_budget' WHEN n > 5 OR used > 2500 THEN 'provider_run_budget' END AS refused,
+  CASE WHEN chars > 900 THEN 413 WHEN n > 5 OR used > 2500 THEN 429 END AS status, CASE WHEN chars > 900 THEN false WHEN n > 5 OR used > 2500 THEN true END AS retryable FROM r"""
+
+
+@query("call_budgets", _CALLS)
+def call_budgets(spark, d):
+    calls = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
+    out = usage.within_budget(calls, usage.Budget(calls=5, chars=2500, chars_of_a_call=900), "conv_id", order="turn")
+    return out.select("conv_id", "turn", "refused", usage.status_of(F.col("refused")).alias("status"), usage.retryable(F.col("refused")).alias("retryable"))
