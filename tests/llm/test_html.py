@@ -65,12 +65,85 @@ def test_regions_against_brute_force():
         assert H.windows(w) == [w[i] + (w[i + 1] if i + 1 < len(w) else 0) + (w[i + 2] if i + 2 < len(w) else 0) for i in range(len(w))]
 
 
-def test_the_windows_decide_on_marked_pages_too():
-    links = "<ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>"
-    page = f"<article><p>{P * 3}</p>{links}<p>Filed by staff</p></article>"
-    assert H.main_text(page) == (P * 3).strip()
-    assert H.main_text(page, surge=1) == (P * 3).strip() + "\nFiled by staff"
-    assert H.main_text(f"<article><p>{P * 3}</p>{links}<p>{P * 2}</p></article>") == (P * 3).strip() + "\n" + (P * 2).strip()
+LINKS = "<ul><li><a>x</a></li><li><a>y</a></li><li><a>z</a></li></ul>"
+
+
+def test_a_marked_article_keeps_its_ends():
+    page = f"<article><p>{P * 3}</p>{LINKS}<p>Filed by staff</p></article>"
+    assert H.main_text(page) == (P * 3).strip() + "\nFiled by staff"
+    assert H.main_text(f"<article><p>{P * 3}</p>{LINKS}<p>{P * 2}</p></article>") == (P * 3).strip() + "\n" + (P * 2).strip()
+    # Without the mark, what shares the text's container stays and what does not goes.
+    assert H.main_text(f"<div><p>{P * 3}</p>{LINKS}<p>The end.</p></div><div>{LINKS}<p>Copyright 2020</p></div>") == (P * 3).strip() + "\nThe end."
+
+
+WHOLE = f"{(P * 4).strip()}\n{(P * 4).strip()}"
+TWO = f"<p>{P * 4}</p><p>{P * 4}</p>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<div class="content has-sidebar">{TWO}</div>',
+        f'<div class="layout with-sidebar"><article>{TWO}</article></div>',
+        f'<div class="post no-comments">{TWO}</div>',
+        f'<div id="page-with-header">{TWO}</div>',
+        f'<div class="sidebar-right"><div>{TWO}</div><div class="sidebar"><p>{P}</p></div></div>',
+        f'<div class="menu"><article>{TWO}</article></div><div class="menu"><p>{P}</p></div>',
+        f'<form id="aspnetForm"><div class="nav"><a>Home</a></div>{TWO}<div class="footer">{P}</div></form>',
+        f'<div class="social history">{TWO}</div><p>Copyright 2020</p>',
+        f'<div class="research notice-board notice">{TWO}</div><p>(c) us</p>',
+        f'<div class="entry">{TWO}</div><section class="reply"><p>{P}</p><p>{P * 9}</p></section>',
+        f'<div class="entry">{TWO}</div><div class="comments">{"<article class=comment-body><p>" + P * 3 + "</p></article>"}{"<article><p>" + P * 3 + "</p></article>"}</div>',
+        f'<div class="entry">{TWO}</div><div id="commentList"><p>{P * 20}</p></div>',
+        f'<div class="site-header"><p>{P}</p></div><div class="main-content">{TWO}</div><div class="site-footer"><p>{P * 3}</p></div>',
+        f'<div class="content">{TWO}<div class="cookie-consent"><p>{P * 4}</p></div></div>',
+    ],
+)
+def test_class_words_are_weighed(page):
+    assert H.main_text(page) == WHOLE
+    assert H.main_text(f"<html><body>{page}</body></html>") == WHOLE
+
+
+def test_hints_by_plain_rules():
+    """Random trees of hinted elements: which text goes, by looking at each element's whole content."""
+    rng = random.Random(11)
+    for _ in range(400):
+        lines, hints = [], []
+
+        def grow(parent, depth):
+            for _ in range(rng.randrange(1, 4)):
+                kind = rng.choice(["", "frame", "added", "comments"]) if depth < 4 else ""
+                if not kind:
+                    lines.append(H.Line("x", rng.choice([0, 5, 40, 90, 400]), False, False, False, False, parent))
+                else:
+                    hints.append(H.Hint(kind, parent, 0, rng.random() < 0.1))
+                    grow(len(hints) - 1, depth + 1)
+
+        grow(-1, 0)
+        around = [[k for k in range(len(hints)) if k == h or h in under(hints, k)] for h in range(len(hints))]
+        for h, own in zip(hints, range(len(hints))):
+            h.text = sum(x.plain for x in lines if x.hint == own)
+        content = [sum(x.plain for x in lines if x.hint in a) for a in around]
+        marked = [any(hints[k].marked and all(hints[j].kind == "frame" for j in [k, *under(hints, k)][: [k, *under(hints, k)].index(h)]) for k in around[h]) for h in range(len(hints))]
+        free = [x.plain for x in lines if x.hint < 0]
+        surges = any(sum(free[i : i + 3]) >= H.SURGE for i in range(len(free)))
+        every = sum(x.plain for x in lines)
+        keep = []
+        for h, x in enumerate(hints):
+            most = content[h] * 2 > every
+            wrapper = marked[h] or (most and (not surges or content[h] >= 4 * sum(free)))
+            keep.append({"frame": wrapper, "added": most and not surges and content[h] > sum(free), "comments": False}[x.kind])
+        want = [not all(keep[k] for k in [h, *under(hints, h)]) for h in range(len(hints))]
+        assert H.dropped(hints, lines) == want
+
+
+def under(hints, k):
+    """The elements around one, from inner to outer."""
+    out = []
+    while hints[k].parent >= 0:
+        k = hints[k].parent
+        out.append(k)
+    return out
 
 
 @pytest.mark.parametrize(
@@ -91,7 +164,7 @@ def test_hints_and_depth(page, text):
     assert H.main_text(page) == text
 
 
-@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '", "<div><b>", "<b><i></b>", "<!-- ", "<script>", "<span class=ad>"])
+@pytest.mark.parametrize("piece", ["<a ", "<a \"", "<a '", "<div><b>", "<b><i></b>", "<!-- ", "<script>", "<span class=ad>", "<div class=menu><p>x", "<div class=ads><article>y"])
 def test_time_is_linear_in_the_page(piece):
     began = time.time()
     H.main_text(piece * (1_000_000 // len(piece)))
