@@ -6,6 +6,7 @@ import atexit
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -71,6 +72,29 @@ def join_hot(rows: DataFrame, small: DataFrame, key: str, counts: DataFrame, tot
     return first.unionByName(rest)
 
 
+def key_bits(keys: DataFrame, key: str, most: int = 1 << 28) -> np.ndarray:
+    """A bit for each hash of the keys (longs), 16 bits a key but ``most`` in all, packed to 64-bit words: a broadcast of
+    32 MB at any number of keys. A key that is there has its bit; others have it by chance, more of them the more keys
+    there are. So it spares work before an exact join and never decides."""
+    n = keys.count()
+    bits = max(64, min(most, 1 << max(1, 16 * n - 1).bit_length()))
+    at = F.pmod(F.xxhash64(F.lit(7), key), F.lit(bits))
+    words = keys.select(F.floor(at / 64).alias("w"), F.call_function("shiftleft", F.lit(1).cast("long"), (at % 64).cast("int")).alias("b")).groupBy("w").agg(F.bit_or("b").alias("b"))
+    found = np.zeros(bits // 64, np.int64)
+    rows = words.toPandas()
+    found[rows["w"].to_numpy(np.int64)] = rows["b"].to_numpy(np.int64)
+    return found
+
+
+def bit_of(key: str, words: np.ndarray) -> Column:
+    """The place of a key among the bits, for has_bit."""
+    return F.pmod(F.xxhash64(F.lit(7), key), F.lit(64 * len(words)))
+
+
+def has_bit(at: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return ((words[at >> 6] >> (at & 63)) & 1).astype(bool)
+
+
 def fold(doc_id: str | Column, n: int) -> Column:
     """crc32 of doc_id as text, modulo n; null for a null doc_id."""
     col = F.col(doc_id) if isinstance(doc_id, str) else doc_id

@@ -304,7 +304,7 @@ def dropped(hints: list[Hint], lines: list[Line]) -> list[bool]:
         if h.kind == "frame":
             wraps = h.marked or (most and (not surges or h.text >= WRAPPER * outside))
         else:
-            wraps = h.kind == "added" and most and not surges and h.text > outside and not marked
+            wraps = h.kind == "added" and most and not surges and h.text > WRAPPER * outside and not marked
         out.append(not wraps or (h.parent >= 0 and out[h.parent]))
     return out
 

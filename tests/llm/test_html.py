@@ -132,7 +132,7 @@ def test_hints_by_plain_rules():
         for h, x in enumerate(hints):
             most = content[h] * 2 > every
             wrapper = marked[h] or (most and (not surges or content[h] >= 4 * sum(free)))
-            keep.append({"frame": wrapper, "added": most and not surges and content[h] > sum(free), "comments": False}[x.kind])
+            keep.append({"frame": wrapper, "added": most and not surges and content[h] > 4 * sum(free), "comments": False}[x.kind])
         want = [not all(keep[k] for k in [h, *under(hints, h)]) for h in range(len(hints))]
         assert H.dropped(hints, lines) == want
 
