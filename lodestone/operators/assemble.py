@@ -85,6 +85,36 @@ def context_closure(units: DataFrame, selected: DataFrame, *keys: str, order: st
     return marked.where(need).select(*keys, order, F.col("_prev").alias("added"))
 
 
+def closure_across(selected: DataFrame, disclosed: DataFrame, passages: DataFrame, units: DataFrame) -> DataFrame:
+    """(query_id, ref, unit, added_ref, added_unit, scope): for each selected unit that needs context the unit before it in
+    its passage, or else the last unit of the passage before it among those disclosed to its query: the touching one of
+    the same source, or at a source's start the last of the session's source before. A unit is added once, for the first
+    selected that needs it, and not if it is selected.
+
+    selected: query_id, rn, ref, unit; disclosed: query_id, ref; passages: ref, session_id, sequence, start, end; units: ref,
+    unit (numbered from 0), text.
+    """
+    asked = selected.join(units, ["ref", "unit"]).where(T.needs_context(F.col("text"))).select("query_id", "rn", "ref", "unit")
+    # Passages that a query may look at, in the order of its sessions.
+    seen = disclosed.select("query_id", "ref").unionByName(selected.select("query_id", "ref")).distinct().join(passages, "ref")
+    w = Window.partitionBy("query_id", "session_id").orderBy("sequence", "start")
+    for c in ("ref", "sequence", "end"):
+        seen = seen.withColumn(f"_{c}", F.lag(c).over(w))
+    touches = (F.col("_sequence") == F.col("sequence")) & (F.col("_end") == F.col("start"))
+    before = F.when(touches | ((F.col("start") == 0) & (F.col("_sequence") < F.col("sequence"))), F.col("_ref"))
+    # A passage that was selected but not disclosed gives no context to others.
+    seen = seen.select("query_id", "ref", before.alias("added_ref"))
+    allowed = disclosed.select("query_id", F.col("ref").alias("added_ref")).distinct()
+    last = units.groupBy(F.col("ref").alias("added_ref")).agg(F.max("unit").alias("added_unit"))
+    within = asked.where("unit > 0").select("query_id", "rn", "ref", "unit", F.col("ref").alias("added_ref"), (F.col("unit") - 1).alias("added_unit"), F.lit("same_episode").alias("scope"))
+    across = asked.where("unit = 0").join(seen, ["query_id", "ref"]).join(allowed, ["query_id", "added_ref"], "left_semi").join(last, "added_ref")
+    found = within.unionByName(across.withColumn("scope", F.lit("adjacent_episode")))
+    known = selected.select("query_id", F.col("ref").alias("added_ref"), F.col("unit").alias("added_unit"))
+    first = F.row_number().over(Window.partitionBy("query_id", "added_ref", "added_unit").orderBy("rn", "ref", "unit"))
+    found = found.join(known, ["query_id", "added_ref", "added_unit"], "left_anti").withColumn("_i", first).where("_i = 1")
+    return found.select("query_id", "ref", "unit", "added_ref", "added_unit", "scope")
+
+
 def pack(candidates: DataFrame, top_k: int = 10, budget: int = fixed.PACK_BUDGET) -> DataFrame:
     """(query_id, ref, rn, score, n_units, cost): units grouped by ref in first-selected order, at most top_k groups
     within the budget; a unit that does not fit is skipped and later ones may still fit. Units are never cut.

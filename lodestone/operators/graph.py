@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import written
+
 RANKED_RELATIONS = ("supersedes", "contradicts", "same_event_as")
 SYMMETRIC = ("contradicts", "same_event_as")
 
@@ -100,3 +102,37 @@ def visible_edges(edges: DataFrame, hidden: DataFrame) -> DataFrame:
     touched = every.select("src", "dst", "relation", F.explode(F.concat(F.array("src", "dst"), "sources")).alias("node"))
     bad = touched.join(hidden.select("node"), "node", "left_semi").select("src", "dst", "relation").distinct()
     return every.join(bad, ["src", "dst", "relation"], "left_anti")
+
+
+def maintenance_context(nodes: DataFrame, preferred: DataFrame, hits: DataFrame, links: DataFrame, limit: int = 40, recent: int = 40, seeds: int = 20, most_links: int = 200) -> tuple[DataFrame, DataFrame]:
+    """(context, links) of each user: at most ``limit`` nodes (user_id, rn, node, channel) and the newest ``most_links`` links
+    (user_id, src, dst, relation) at the first ``seeds`` of them.
+
+    Nodes come in the order of channels, each node by its first: preferred ones, search hits, the ``recent`` newest, and
+    while there is room the other ends of those links. nodes: user_id, node, updated (those that may be shown);
+    preferred, hits: user_id, node, place; links: user_id, src, dst, relation, created.
+    """
+    own = nodes.select("user_id", "node")
+    first = lambda df, order, most: df.withColumn("place", F.row_number().over(Window.partitionBy("user_id").orderBy(*order))).where(F.col("place") <= most)
+    channels = [
+        first(preferred.join(own, ["user_id", "node"], "left_semi"), ["place", "node"], limit),
+        first(hits.join(own, ["user_id", "node"], "left_semi"), ["place", "node"], 2 * limit),
+        first(nodes, [F.desc("updated"), "node"], recent),
+    ]
+    tagged = [c.select("user_id", "node", F.lit(k).alias("channel"), "place") for k, c in enumerate(channels)]
+    union = tagged[0].unionByName(tagged[1]).unionByName(tagged[2])
+    once = union.groupBy("user_id", "node").agg(F.min(F.struct("channel", "place")).alias("p")).select("user_id", "node", "p.*")
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("channel", "place", "node"))
+    # A table: it is read for two limits, and the plan of both in one union gives wrong rows on this Spark.
+    held = written(once.withColumn("rn", place).where(F.col("rn") <= limit), "context")
+    heads = held.where(F.col("rn") <= seeds).select("user_id", "node")
+    # Each link by its ends, so that one join finds those at a head.
+    by_end = links.select("user_id", "src", "dst", "relation", "created", F.explode(F.array("src", "dst")).alias("node"))
+    touched = by_end.join(heads, ["user_id", "node"], "left_semi").drop("node").distinct()
+    newest = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("created"), "src", "dst", "relation"))
+    touched = touched.withColumn("_n", newest).where(F.col("_n") <= most_links)
+    ends = touched.select("user_id", F.posexplode(F.array("src", "dst")).alias("_e", "node"), "_n").groupBy("user_id", "node").agg(F.min(F.col("_n") * 2 + F.col("_e")).alias("place"))
+    more = ends.join(own, ["user_id", "node"], "left_semi").join(held, ["user_id", "node"], "left_anti").select("user_id", "node", F.lit(3).alias("channel"), "place")
+    every = held.drop("rn").unionByName(more).withColumn("rn", place).where(F.col("rn") <= limit)
+    names = F.element_at(F.array(*[F.lit(n) for n in ("preferred", "hit", "recent", "neighbour")]), F.col("channel") + 1)
+    return every.select("user_id", F.col("rn").cast("long").alias("rn"), "node", names.alias("channel")), touched.select("user_id", "src", "dst", "relation")

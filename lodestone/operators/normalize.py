@@ -11,6 +11,7 @@ from pyspark.sql.types import ArrayType, StringType, StructType
 
 from lodestone.functions import text as T
 from lodestone.functions.temporal import session_time
+from lodestone.sources.readers import soft_value
 
 
 def with_caption(text: Column, caption: Column) -> Column:
@@ -98,12 +99,17 @@ def scaled_chat(records: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def flatten_chat(value: object) -> list[tuple[str, str]]:
-    """(role, content) leaves of an arbitrarily nested chat value, in order."""
-    if isinstance(value, dict):
-        if "role" in value and "content" in value:
-            return [(str(value["role"]), str(value["content"]))]
-        value = list(value.values())
-    return [leaf for x in value for leaf in flatten_chat(x)] if isinstance(value, list) else []
+    """(role, content) of the messages in an arbitrarily nested chat value, in order: objects whose role is user or
+    assistant and whose content is text. What any other object holds is looked into."""
+    out: list[tuple[str, str]] = []
+    open_values = [value]
+    while open_values:
+        v = open_values.pop()
+        if isinstance(v, dict) and v.get("role") in ("user", "assistant") and isinstance(v.get("content"), str):
+            out.append((v["role"], v["content"]))
+        elif isinstance(v, (dict, list)):
+            open_values.extend(reversed(list(v.values()) if isinstance(v, dict) else v))
+    return out
 
 
 @F.pandas_udf(ArrayType(StructType().add("role", StringType()).add("content", StringType())))
@@ -111,27 +117,43 @@ def flatten_nested_chat(chat: pd.Series) -> pd.Series:
     return chat.map(lambda t: [{"role": r, "content": c} for r, c in flatten_chat(json.loads(t or "[]"))])
 
 
-def readable(value: object, depth: int = 4, rows: int = 24, chars: int = 700) -> list[tuple[str, str]]:
-    """At most ``rows`` (label, text) leaves of a nested value, no deeper than ``depth``."""
-    out: list[tuple[str, str]] = []
+def opened(value: object) -> object:
+    """A text that looks like a nested value, as that value (JSON, else a Python literal); anything else as it is."""
+    if not isinstance(value, str) or value.lstrip()[:1] not in ("{", "["):
+        return value
+    found = soft_value(value)
+    return found if isinstance(found, (dict, list)) else value
 
-    def walk(label: str, v: object, level: int) -> None:
-        if len(out) >= rows:
-            return
-        if isinstance(v, (dict, list)) and v and level < depth:
-            for k, x in v.items() if isinstance(v, dict) else enumerate(v, 1):
-                walk(f"{label}.{k}" if label else str(k), x, level + 1)
+
+def readable(value: object, depth: int = 4, rows: int = 24, chars: int = 700, visits: int = 300) -> list[tuple[str, str]]:
+    """At most ``rows`` (label, text) leaves of a nested value, no deeper than ``depth``, of at most ``visits`` + 1 values
+    looked at. Texts that hold nested values are opened; a list of plain values is one leaf, numbered."""
+    out: list[tuple[str, str]] = []
+    todo: list[tuple[list[str], object]] = [([], value)]
+    seen = 0
+    while todo and len(out) < rows and seen <= visits:
+        path, v = todo.pop()
+        seen += 1
+        v = opened(v)
+        inner: list[tuple[str, object]] | None = None
+        if len(path) < depth and isinstance(v, dict):
+            inner = [(str(k), x) for k, x in v.items()]
+        elif len(path) < depth and isinstance(v, list) and any(isinstance(x, (dict, list)) for x in v):
+            inner = [(str(i), x) for i, x in enumerate(v[:rows], 1)]
+        if inner is not None:
+            todo.extend(([*path, k], x) for k, x in reversed(inner))
+            continue
+        if isinstance(v, list) and v:
+            text = "\n".join(f"{i}. {x}" for i, x in enumerate(v, 1))
         else:
             text = v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
-            out.append((label, text if len(text) <= chars else text[: chars - 1] + "…"))
-
-    walk("", value, 0)
+        out.append((".".join(path), text if len(text) <= chars else text[:chars] + "…"))
     return out
 
 
 @F.pandas_udf(ArrayType(StructType().add("label", StringType()).add("text", StringType())))
 def readable_rows(value: pd.Series) -> pd.Series:
-    return value.map(lambda t: [{"label": a, "text": b} for a, b in readable(json.loads(t or "null"))])
+    return value.map(lambda t: [{"label": a, "text": b} for a, b in readable(soft_value(t) if t is not None else None)])
 
 
 def character_tasks(memories: DataFrame, questions: DataFrame) -> DataFrame:

@@ -75,6 +75,27 @@ def context_closure(spark, d):
     return out.withColumnRenamed("added", "added_turn")
 
 
+# A turn is a passage, its lines are units; odd turns were selected by their first and third line, system turns were not disclosed.
+@query("closure_across_episodes", f"""
+WITH u AS (SELECT conv_id, turn, role, i - 1 AS unit, string_split(text, chr(10))[i] AS line FROM conversations, range(1, 100000) r(i) WHERE i <= len(string_split(text, chr(10)))),
+l AS (SELECT conv_id, turn, max(unit) AS last FROM u GROUP BY ALL),
+s AS (SELECT * FROM u WHERE turn % 2 = 1 AND unit IN (0, 2) AND {duck.squeeze('line')} <> '' AND ({duck.matches(duck.squeeze('line'), fixed.PRONOUN)} OR {duck.matches(duck.squeeze('line'), fixed.SHORT_OPENING)})),
+v AS (SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role <> 'system' OR turn % 2 = 1),
+f AS (SELECT conv_id, turn, unit, turn AS added_turn, unit - 1 AS added_unit, 'same_episode' AS scope FROM s WHERE unit > 0
+  UNION ALL SELECT s.conv_id, s.turn, s.unit, v.before, l.last, 'adjacent_episode' FROM s JOIN v ON v.conv_id = s.conv_id AND v.turn = s.turn JOIN l ON l.conv_id = s.conv_id AND l.turn = v.before
+    JOIN conversations b ON b.conv_id = s.conv_id AND b.turn = v.before AND b.role <> 'system' WHERE s.unit = 0)
+SELECT conv_id, turn, CAST(unit AS BIGINT) AS unit, added_turn, CAST(added_unit AS BIGINT) AS added_unit, scope FROM f WHERE NOT (added_turn % 2 = 1 AND added_unit IN (0, 2))
+QUALIFY row_number() OVER (PARTITION BY conv_id, added_turn, added_unit ORDER BY turn * 10 + unit) = 1""")
+def closure_across_episodes(spark, d):
+    c = table(spark, d, "conversations").withColumn("ref", F.concat_ws("/", F.col("conv_id").cast("string"), F.col("turn").cast("string")))
+    lines = c.select("ref", "conv_id", "turn", F.posexplode(F.split("text", "\n")).alias("unit", "text"))
+    selected = lines.where("turn % 2 = 1 and unit in (0, 2)").select(F.col("conv_id").alias("query_id"), (F.col("turn") * 10 + F.col("unit")).alias("rn"), "ref", "unit")
+    passages = c.select("ref", F.col("conv_id").alias("session_id"), F.col("turn").alias("sequence"), F.lit(0).alias("start"), F.length("text").alias("end"))
+    out = A.closure_across(selected, c.where("role <> 'system'").select(F.col("conv_id").alias("query_id"), "ref"), passages, lines.select("ref", "unit", "text"))
+    turn = lambda r: F.split_part(r, F.lit("/"), F.lit(2)).cast("long")
+    return out.select(F.col("query_id").alias("conv_id"), turn(F.col("ref")).alias("turn"), F.col("unit").cast("long").alias("unit"), turn(F.col("added_ref")).alias("added_turn"), F.col("added_unit").cast("long").alias("added_unit"), "scope")
+
+
 def units(spark, d):
     """The ranked documents' first units with their cost."""
     docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))

@@ -110,19 +110,38 @@ def edge_canonicalize(spark, d):
     return G.canonical(G.both_ways(e).unionByName(e.select("src", F.col("src").alias("dst"), "relation")))
 
 
-_CONTEXT = """t AS (SELECT user_id, event_id, 0 AS pri FROM ev WHERE event_id % 50 = 0 UNION ALL SELECT user_id, event_id, 1 FROM ev WHERE event_type = 'purchase'
-UNION ALL SELECT user_id, event_id, 2 FROM ev), f AS (SELECT user_id, event_id, min(pri) AS pri FROM t GROUP BY ALL),
-ctx AS (SELECT user_id, event_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) AS BIGINT) AS rn FROM f QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY pri, event_id DESC) <= 5)"""
+_CONTEXT = """own AS (SELECT user_id, event_id AS node, event_id AS updated FROM ev WHERE event_type <> 'error'),
+pre AS (SELECT user_id, node, 0 AS channel, row_number() OVER (PARTITION BY user_id ORDER BY node) AS place FROM own WHERE node % 50 = 0 QUALIFY place <= 40),
+hit AS (SELECT user_id, node, 1 AS channel, row_number() OVER (PARTITION BY user_id ORDER BY value DESC, node) AS place FROM own JOIN (SELECT event_id, value FROM ev WHERE event_type = 'purchase') ON event_id = node QUALIFY place <= 80),
+rec AS (SELECT user_id, node, 2 AS channel, row_number() OVER (PARTITION BY user_id ORDER BY updated DESC, node) AS place FROM own QUALIFY place <= 40),
+onc AS (SELECT user_id, node, min({'c': channel, 'p': place}) AS m FROM (SELECT * FROM pre UNION ALL SELECT * FROM hit UNION ALL SELECT * FROM rec) GROUP BY ALL),
+hld AS (SELECT user_id, node, m.c AS channel, m.p AS place, row_number() OVER (PARTITION BY user_id ORDER BY m.c, m.p, node) AS rn FROM onc QUALIFY rn <= 40),
+lnk AS (SELECT v.user_id, e.src, e.dst, e.relation FROM ed e JOIN ev v ON v.event_id = e.src),
+tch AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY src DESC, src, dst, relation) AS n FROM (SELECT DISTINCT l.* FROM lnk l JOIN hld h ON h.user_id = l.user_id AND h.rn <= 20 AND (h.node = l.src OR h.node = l.dst)) QUALIFY n <= 200),
+nbr AS (SELECT user_id, node, 3 AS channel, min(place) AS place FROM (SELECT user_id, src AS node, n * 2 AS place FROM tch UNION ALL SELECT user_id, dst, n * 2 + 1 FROM tch) t WHERE EXISTS (SELECT 1 FROM own o WHERE o.user_id = t.user_id AND o.node = t.node)
+  AND NOT EXISTS (SELECT 1 FROM hld h WHERE h.user_id = t.user_id AND h.node = t.node) GROUP BY user_id, node),
+ctx AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY channel, place, node) AS BIGINT) AS rn, node AS event_id, CASE channel WHEN 0 THEN 'preferred' WHEN 1 THEN 'hit' WHEN 2 THEN 'recent' ELSE 'neighbour' END AS channel
+  FROM (SELECT user_id, node, channel, place FROM hld UNION ALL SELECT user_id, node, channel, place FROM nbr) QUALIFY rn <= 40)"""
+
+
+def user_context(spark, d):
+    """Each user's context and its links: preferred nodes, then hits by value, then recent ones, then link neighbours."""
+    n = nodes(spark, d)
+    own = n.where("event_type <> 'error'").select("user_id", "node", F.col("node").alias("updated"), "value", "event_type")
+    preferred = own.where("node % 50 = 0").select("user_id", "node", F.col("node").alias("place"))
+    hits = own.where("event_type = 'purchase'").select("user_id", "node", (-F.col("value")).alias("place"))
+    links = edges(spark, d).join(n.select(F.col("node").alias("src"), "user_id"), "src").withColumn("created", F.col("src"))
+    return G.maintenance_context(own.select("user_id", "node", "updated"), preferred, hits, links)
 
 
 @query("maintenance_context", f"WITH {_EDGES}, {_CONTEXT} SELECT * FROM ctx")
 def maintenance_context(spark, d):
-    """Preferred nodes, then hits, then recent ones; first seen kept, capped per user."""
-    n = nodes(spark, d)
-    tagged = n.where("node % 50 = 0").withColumn("pri", F.lit(0)).unionByName(n.where("event_type = 'purchase'").withColumn("pri", F.lit(1))).unionByName(n.withColumn("pri", F.lit(2)))
-    first = tagged.groupBy("user_id", F.col("node").alias("event_id")).agg(F.min("pri").alias("pri"))
-    rn = F.row_number().over(Window.partitionBy("user_id").orderBy("pri", F.desc("event_id")))
-    return first.withColumn("rn", rn.cast("long")).where("rn <= 5").drop("pri")
+    return user_context(spark, d)[0].withColumnRenamed("node", "event_id")
+
+
+@query("maintenance_links", f"WITH {_EDGES}, {_CONTEXT} SELECT user_id, src, dst, relation FROM tch")
+def maintenance_links(spark, d):
+    return user_context(spark, d)[1]
 
 
 @query("connection_menu", f"""WITH {_EDGES}, {_CONTEXT}, n AS (SELECT event_id, user_id, day, {_KINDS.format(c='event_id')} AS kind FROM ev SEMI JOIN ctx USING (event_id)),

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import dictionary, usage
+from lodestone.operators import dictionary, overview, proposals, usage
 from lodestone.operators import path_groups as P
 from lodestone.operators.explore import explore
 from lodestone.operators.forget import COMMAND_WORDS, forget_topics
@@ -14,6 +14,7 @@ from lodestone.operators.quantiles import exact_quantiles
 from lodestone.plans import duck
 from lodestone.plans.q_graph import _EDGES, edges, nodes
 from lodestone.plans.registry import query, table
+from lodestone.plans.sources import sources
 
 
 def event_paths(spark, d):
@@ -131,3 +132,35 @@ def call_budgets(spark, d):
     calls = table(spark, d, "conversations").select("conv_id", "turn", F.length("text").cast("long").alias("chars"))
     out = usage.within_budget(calls, usage.Budget(calls=5, chars=2500, chars_of_a_call=900), "conv_id", order="turn")
     return out.select("conv_id", "turn", "refused", usage.status_of(F.col("refused")).alias("status"), usage.retryable(F.col("refused")).alias("retryable"))
+
+
+# Every document proposes a fact of what it begins with.
+_FACTS = r"""WITH p AS (SELECT doc_id, regexp_replace(left(text, 200), '^\s+|\s+$', '', 'g') AS title, regexp_replace(text, '^\s+|\s+$', '', 'g') AS content,
+  CASE WHEN doc_id % 3 = 0 THEN regexp_replace(regexp_replace(lang || '  ' || source, '^\s+|\s+$', '', 'g'), '\s+', ' ', 'g') END AS canonical_key,
+  [doc_id % 7 - 1, doc_id % 5, doc_id % 5] AS given, CASE WHEN doc_id % 4 > 0 THEN doc_id % 11 / 9.0::DOUBLE END AS asked FROM documents),
+q AS (SELECT doc_id, title, content, canonical_key, list_sort(list_distinct(given)) AS ordinals, coalesce(asked, 0.8) AS confidence FROM p)
+SELECT doc_id, CAST(length(title) AS BIGINT) AS title_chars, canonical_key, array_to_string(ordinals, ',') AS ordinals, round(confidence, 6) AS confidence,
+  array_to_string(list_filter([CASE WHEN title = '' THEN 'title_missing' END, CASE WHEN content = '' THEN 'content_missing' END, CASE WHEN length(title) > 160 THEN 'title_too_long' END,
+    CASE WHEN length(content) > 4000 THEN 'content_too_long' END, CASE WHEN list_contains(ordinals, -1) THEN 'source_ordinal_negative' END, CASE WHEN confidence > 1 THEN 'confidence_out_of_range' END], lambda x: x IS NOT NULL), ',') AS rejected FROM q"""
+
+
+@query("fact_proposals", _FACTS)
+def fact_proposals(spark, d):
+    i = F.col("doc_id")
+    none = F.lit(None).cast("string")
+    rows = table(spark, d, "documents").select(
+        "doc_id", F.left("text", F.lit(200)).alias("title"), F.col("text").alias("content"), F.when(i % 3 == 0, F.concat("lang", F.lit("  "), "source")).alias("canonical_key"), none.alias("time_expression"),
+        F.array(i % 7 - 1, i % 5, i % 5).cast("array<int>").alias("source_ordinals"), F.lit(None).cast("array<string>").alias("entities"), F.array("source").alias("concepts"), none.alias("event_time"), none.alias("valid_from"), none.alias("valid_to"),
+        F.when(i % 4 > 0, i % 11 / F.lit(9.0)).alias("confidence"), F.lit(None).cast("array<string>").alias("supersedes_memory_ids"),
+    )
+    out = proposals.facts(rows)
+    return out.select("doc_id", F.length("title").cast("long").alias("title_chars"), "canonical_key", F.array_join(F.transform(F.array_sort("source_ordinals"), lambda x: x.cast("string")), ",").alias("ordinals"), F.round("confidence", 6).alias("confidence"), F.array_join("rejected", ",").alias("rejected"))
+
+
+@query("pending_overview")
+def pending_overview(spark, d):
+    """Each user's messages as an overview of 4000 characters; messages beyond the 400th are for planning only."""
+    s = sources(spark, d)
+    rows = s.select("user_id", F.col("sequence").alias("ordinal"), "session_id", "request_id", "role", "text", F.lit(400).cast("long").alias("watermark"))
+    out = overview.overview(rows, 4000)
+    return out.select("user_id", "message_count", "through", "group_count", "omitted_groups", F.sha2(F.array_join("groups", "\n"), 256).alias("groups_sha256"))

@@ -114,7 +114,23 @@ def test_adapters(spark):
     assert [(r["id"], r["role"], r["content"]) for r in got] == [("D2:1", "assistant", "hi"), ("D10:1", "user", "look\n[Image: a cat]")]
     assert got[0]["timestamp"] == 1683554160000 and got[1]["timestamp"] is None
     assert [r["excluded"] for r in tasks.orderBy("task_no").collect()] == [False, True]
-    assert normalize.flatten_chat([[{"role": "u", "content": "a"}], {"k": [{"role": "b", "content": "c"}]}]) == [("u", "a"), ("b", "c")]
+    nested = [[{"role": "user", "content": "a"}], {"k": [{"role": "assistant", "content": "c"}, {"role": "system", "content": "no"}, {"role": "user", "content": ["no"], "in": {"role": "user", "content": "d"}}]}]
+    assert normalize.flatten_chat(nested) == [("user", "a"), ("assistant", "c"), ("user", "d")]
+    deep = "x"
+    for _ in range(5000):
+        deep = [deep]
+    assert normalize.flatten_chat(deep) == []
+
+
+def test_readable_rows():
+    value = {"a": '{"b": [1, 2]}', "c": "[1, {'d': None}]", "e": "{plain", "f": [], "g": {"h": {"i": {"j": {"k": 1}}}}}
+    assert normalize.readable(value) == [("a.b", "1. 1\n2. 2"), ("c.1", "1"), ("c.2.d", "null"), ("e", "{plain"), ("f", "[]"), ("g.h.i.j", '{"k": 1}')]
+    assert normalize.readable("x" * 800) == [("", "x" * 700 + "…")]
+    assert len(normalize.readable({str(i): i for i in range(99)})) == 24
+    # A value of many branches without leaves ends after so many looks.
+    assert normalize.readable([[[[]] * 0 for _ in range(24)] + [{}] for _ in range(24)], rows=1000, visits=50) != []
+    wide = {str(i): {str(k): {} for k in range(40)} for i in range(40)}
+    assert normalize.readable(wide) == []
 
 
 def test_readers(spark, tmp_path):
