@@ -77,7 +77,7 @@ def context_closure(spark, d):
 
 # A turn is a passage, its lines are units; odd turns were selected by their first and third line, system turns were not disclosed.
 @query("closure_across_episodes", f"""
-WITH u AS (SELECT conv_id, turn, role, i - 1 AS unit, string_split(text, chr(10))[i] AS line FROM conversations, range(1, 100000) r(i) WHERE i <= len(string_split(text, chr(10)))),
+WITH u AS (SELECT conv_id, turn, role, i - 1 AS unit, string_split(text, chr(10))[i] AS line FROM conversations, range(1, (SELECT max(length(text)) FROM conversations) + 2) r(i) WHERE i <= len(string_split(text, chr(10)))),
 l AS (SELECT conv_id, turn, max(unit) AS last FROM u GROUP BY ALL),
 s AS (SELECT * FROM u WHERE turn % 2 = 1 AND unit IN (0, 2) AND {duck.squeeze('line')} <> '' AND ({duck.matches(duck.squeeze('line'), fixed.PRONOUN)} OR {duck.matches(duck.squeeze('line'), fixed.SHORT_OPENING)})),
 v AS (SELECT conv_id, turn, role, lag(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS before FROM conversations WHERE role <> 'system' OR turn % 2 = 1),

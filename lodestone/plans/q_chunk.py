@@ -84,23 +84,26 @@ def nearest_heading(spark, d):
     return both.withColumn("h", last).where("k = 1").select("doc_id", "pos", F.col("h.s").alias("heading_start"), F.col("h.title").alias("title"))
 
 
-@query("range_complement", f"""WITH {_ISLANDS}, b AS (SELECT doc_id, s, e FROM isl UNION ALL SELECT doc_id, 1200, 1200 FROM documents),
+@query("range_complement", f"""WITH {_ISLANDS}, t AS (SELECT doc_id, length(text) AS n FROM documents), k AS (SELECT i.doc_id, i.s, least(i.e, n) AS e, n FROM isl i JOIN t ON t.doc_id = i.doc_id AND i.s < n),
+b AS (SELECT doc_id, s, e FROM k UNION ALL SELECT doc_id, n, n FROM t),
 c AS (SELECT doc_id, s, greatest(0, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, e ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS f FROM b)
 SELECT doc_id, CAST(f AS BIGINT) AS "start", CAST(s AS BIGINT) AS "end" FROM c WHERE f < s""")
 def range_complement(spark, d):
-    lengths = table(spark, d, "documents").select("doc_id", F.lit(1200).cast("long").alias("length"))
-    return interval.complement(shown(spark, d), lengths, "doc_id")
+    """What the shown ranges leave of each whole text; they end with it."""
+    lengths = table(spark, d, "documents").select("doc_id", F.length("text").cast("long").alias("length"))
+    within = shown(spark, d).join(lengths, "doc_id").where(F.col("start") < F.col("length"))
+    return interval.complement(within.withColumn("end", F.least("end", "length")), lengths, "doc_id")
 
 
 @query("fixed_overlap_chunks", """
 SELECT doc_id, CAST(k AS BIGINT) AS part, CAST(k * 2200 AS BIGINT) AS "start", CAST(length(substring(text, k * 2200 + 1, 2400)) AS BIGINT) AS n_chars
-FROM documents, range(1000) r(k) WHERE k <= greatest(0, ceil((length(text) - 200) / 2200.0) - 1)""")
+FROM documents, range((SELECT max(length(text)) FROM documents) // 2200 + 2) r(k) WHERE k <= greatest(0, ceil((length(text) - 200) / 2200.0) - 1)""")
 def fixed_overlap_chunks(spark, d):
     out = chunk.fixed_windows(table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("part").cast("long").alias("part"), F.col("start").cast("long").alias("start"), F.length("piece").cast("long").alias("n_chars"))
 
 
-@query("fixed_pages", "SELECT doc_id, CAST(k AS BIGINT) AS page, sha256(substring(text, k * 700 + 1, 700)) AS page_sha FROM documents, range(5000) r(k) WHERE k * 700 < length(text)")
+@query("fixed_pages", "SELECT doc_id, CAST(k AS BIGINT) AS page, sha256(substring(text, k * 700 + 1, 700)) AS page_sha FROM documents, range((SELECT max(length(text)) FROM documents) // 700 + 1) r(k) WHERE k * 700 < length(text)")
 def fixed_pages(spark, d):
     out = chunk.pages(table(spark, d, "documents").select("doc_id", "text"), 700)
     return out.select("doc_id", F.col("part").cast("long").alias("page"), F.sha2("piece", 256).alias("page_sha"))

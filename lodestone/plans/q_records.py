@@ -52,7 +52,7 @@ def lexical_rank_scores(spark, d):
     return top.select("item_id", "doc_id", F.round(1 / (fixed.RRF_K + F.col("rn")), 9).alias("score"))
 
 
-@query("unread_pages", f"""WITH {_ISLANDS}, pg AS (SELECT doc_id, k * 300 AS s, least(k * 300 + 300, length(text)) AS e FROM documents, range(10000) r(k) WHERE k * 300 < length(text))
+@query("unread_pages", f"""WITH {_ISLANDS}, pg AS (SELECT doc_id, k * 300 AS s, least(k * 300 + 300, length(text)) AS e FROM documents, range((SELECT max(length(text)) FROM documents) // 300 + 1) r(k) WHERE k * 300 < length(text))
 SELECT doc_id, CAST(s AS BIGINT) AS "start", CAST(e AS BIGINT) AS "end" FROM pg
 WHERE NOT (doc_id % 2 = 0 AND e <= 1400 AND EXISTS (SELECT 1 FROM isl i WHERE i.doc_id = pg.doc_id AND i.s <= pg.s AND i.e >= pg.e))""")
 def unread_pages(spark, d):
