@@ -14,6 +14,7 @@ from lodestone import schemas
 from lodestone.functions import fixed
 from lodestone.functions import text as T
 from lodestone.operators import assemble, chunk, forget, ingest, retrieve
+from lodestone.plans.numbering import query_blocks
 from lodestone.providers import Embedder, HashEmbedder
 from lodestone.sources.delta import BUCKETS, DeltaTables, Overlay, bucket_of
 
@@ -95,9 +96,7 @@ class MemoryEngine:
         items = self.tables.read("passages", schemas.PASSAGE).where("status = 'active'")
         asked = queries.withColumn("terms", T.tokens_strict("query")).withColumn("qv", self.embedder.embed(F.col("query")))
         lexical = retrieve.bm25(items.select("user_id", "ref", "terms"), asked.select("user_id", "query_id", "terms"), "user_id", "ref", "query_id")
-        near = asked.select("user_id", "query_id", "qv").join(items.select("user_id", "ref", "vector"), "user_id")
-        dot = F.aggregate(F.zip_with("qv", "vector", lambda a, b: (a * b).cast("double")), F.lit(0.0), lambda s, x: s + x)
-        semantic = near.select("query_id", "ref", dot.alias("score"))
+        semantic = retrieve.vector_search_within(items, query_blocks(asked, "query_id", 1024), "user_id", "ref", "vector", fixed.CHANNEL_DEPTH)
         fused = retrieve.rrf([retrieve.ranked(c, "query_id", "ref", fixed.CHANNEL_DEPTH) for c in (lexical, semantic)], "query_id", "ref")
         top = retrieve.ranked(fused, "query_id", "ref", fixed.CANDIDATES)
         rows = top.join(items.select("ref", "start", "text", "role", "time"), "ref")

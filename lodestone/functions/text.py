@@ -125,9 +125,14 @@ def lexical_score(query: Column, content: Column, index: Column, tokens_: Column
     """0.4 + 0.45 coverage + 0.15 for the whole phrase, less a position penalty; within [0, 1]."""
     tokens_ = query_tokens(query) if tokens_ is None else tokens_
     phrase = F.when(F.contains(content if lowered else F.lower(content), F.lower(query)), 0.15).otherwise(0.0)
-    scored = 0.4 + 0.45 * coverage(tokens_, content, lowered) + phrase - F.least(index * 0.0025, F.lit(0.15)) + 1e-9  # decimal ties go up
     no_tokens = F.greatest(F.lit(0.0), 1.0 - index * 0.01)
-    return F.when(F.size(tokens_) == 0, no_tokens).otherwise(F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), scored)), 6))
+    return F.when(F.size(tokens_) == 0, no_tokens).otherwise(scored(coverage(tokens_, content, lowered), phrase, index))
+
+
+def scored(share: Column, phrase: Column, index: Column) -> Column:
+    """The lexical score of a share of tokens, the phrase's bonus and a place in the ranking."""
+    raw = 0.4 + 0.45 * share + phrase - F.least(index * 0.0025, F.lit(0.15)) + 1e-9  # decimal ties go up
+    return F.round(F.greatest(F.lit(0.0), F.least(F.lit(1.0), raw)), 6)
 
 
 def query_relevance(query: Column, content: Column, tokens_: Column | None = None, lowered: bool = False) -> Column:

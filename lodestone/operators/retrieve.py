@@ -114,6 +114,39 @@ def vector_search(items: DataFrame, queries: list[tuple[int, list[float]]], ref:
     return top_k(out, keys, [F.desc("score"), F.col(ref)], k)
 
 
+def vector_search_within(items: DataFrame, blocks: list[DataFrame], group: str, ref: str, vector: str, k: int, query: str = "query_id") -> DataFrame:
+    """(query, ref, score) of the k nearest by inner product, exact, among the items of each query's own group.
+
+    blocks: the queries (query, group, qv) in blocks of bounded size, each broadcast by itself. Items stay where they lie and
+    keep each partition's k best of a query, so a group that holds most items is as many tasks as it has partitions.
+    """
+    out = None
+    for block in blocks:
+        rows = block.select(query, group, "qv").where("qv is not null").collect()  # at most a block
+        asked: dict = {}
+        for r in rows:
+            asked.setdefault(r[group], []).append((r[query], r["qv"]))
+        sets = {g: (np.array([q for q, _ in own], np.int64), np.array([v for _, v in own], np.float64)) for g, own in asked.items()}
+        shared = items.sparkSession.sparkContext.broadcast(sets)
+
+        def scan(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
+            kept = pd.DataFrame({query: pd.Series([], dtype="int64"), ref: pd.Series([], dtype="object"), "score": pd.Series([], dtype="float64")})
+            for b in batches:
+                found = [kept]
+                for g, own in b.groupby(group):
+                    if g in shared.value:
+                        ids, m = shared.value[g]
+                        s = m @ np.stack(own[vector].to_numpy()).astype(np.float64).T
+                        found.append(pd.DataFrame({query: np.repeat(ids, s.shape[1]), ref: np.tile(own[ref].to_numpy(), len(ids)), "score": s.ravel()}))
+                if len(found) > 1:
+                    kept = pd.concat(found).sort_values([query, "score", ref], ascending=[True, False, True]).groupby(query).head(k)
+            yield kept
+
+        part = items.select(group, ref, vector).where(F.col(vector).isNotNull()).mapInPandas(scan, f"{query} long, {ref} string, score double")
+        out = part if out is None else out.unionByName(part)
+    return top_k(out, [query], [F.desc("score"), F.col(ref)], k).select(query, ref, "score")
+
+
 def rrf(channels: list[DataFrame], query: str, ref: str, depth: int = fixed.CHANNEL_DEPTH, k: int = fixed.RRF_K) -> DataFrame:
     """(query, ref, score): summed reciprocal ranks over channels of (query, ref, rn), each cut at depth."""
     parts = [c.where(F.col("rn") <= depth).select(query, ref, (1 / (k + F.col("rn"))).alias("part")) for c in channels]

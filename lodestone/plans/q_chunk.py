@@ -2,16 +2,13 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
 from lodestone.operators import chunk, interval
 from lodestone.operators.retrieve import top_k
 from lodestone.plans import duck
-from lodestone.plans.numbering import query_blocks
 from lodestone.plans.registry import query, table
 from lodestone.plans.sources import sources
 
@@ -151,16 +148,14 @@ b AS (SELECT * FROM o QUALIFY row_number() OVER (PARTITION BY item_id, conv_id O
 SELECT item_id, conv_id, turn AS "start", CAST(overlap AS BIGINT) AS overlap, CASE WHEN length(text) <= 300 THEN text ELSE left(text, 299) || '…' END AS preview
 FROM b WHERE overlap > 0 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY overlap DESC, conv_id) <= 5""")
 def preview_unit(spark, d):
-    """Previews of each item's five best conversations of all; items meet all units in broadcast blocks."""
+    """Previews of each item's five best conversations of all; items and units meet on the tokens they share."""
     q = table(spark, d, "benchmark").select("item_id", F.array_distinct(T.tokens(F.col("text"))).alias("toks"))
     u = table(spark, d, "conversations").where("role <> 'system'").select("conv_id", F.col("turn").alias("start"), F.col("text").alias("piece"))
-    words = u.select("conv_id", F.array_distinct(T.tokens(F.col("piece"))).alias("own"))
-    tops = []
-    for block in query_blocks(q, "item_id"):
-        pairs = words.crossJoin(F.broadcast(block)).select("item_id", "conv_id", F.size(F.array_intersect("own", "toks")).alias("most")).where("most > 0")
-        best = pairs.groupBy("item_id", "conv_id").agg(F.max("most").alias("most"))
-        tops.append(top_k(best, ["item_id"], [F.desc("most"), F.col("conv_id")], 5))
-    found = reduce(DataFrame.unionByName, tops).select("item_id", "conv_id")
+    asked = q.select("item_id", F.explode("toks").alias("word"))
+    held = u.select("conv_id", "start", F.explode(F.array_distinct(T.tokens(F.col("piece")))).alias("word")).join(asked.select("word").distinct(), "word", "left_semi")
+    overlap = held.join(asked, "word").groupBy("item_id", "conv_id", "start").agg(F.count("*").alias("most"))
+    best = overlap.groupBy("item_id", "conv_id").agg(F.max("most").alias("most"))
+    found = top_k(best, ["item_id"], [F.desc("most"), F.col("conv_id")], 5).select("item_id", "conv_id")
     return chunk.preview(found.join(q, "item_id").join(u, "conv_id"), "item_id", "conv_id", terms="toks")
 
 

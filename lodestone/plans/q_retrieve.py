@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions import text as T
+from lodestone.operators import containment
 from lodestone.operators import retrieve as R
 from lodestone.plans import duck
 from lodestone.plans.registry import query, table
@@ -238,10 +239,8 @@ QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY doc_id DESC) <= 20""")
 def like_fallback_search(spark, d):
     """Newest documents that hold any of the first five query tokens as a substring."""
     q = table(spark, d, "benchmark").select("item_id", F.slice(T.query_tokens(F.col("text")), 1, 5).alias("toks"))
-    asked = F.array(*[F.struct(F.lit(r["item_id"]).alias("i"), T.words_in(r["toks"]).alias("t")) for r in q.where(F.size("toks") > 0).collect()])  # the query set
-    held = F.transform(F.filter(asked, lambda a: F.exists(a["t"], lambda t: F.contains(F.col("low"), t))), lambda a: a["i"])
-    hits = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low")).select("doc_id", F.explode(held).alias("item_id"))
-    return R.top_k(hits, ["item_id"], [F.desc("doc_id")], 20).withColumn("item_id", F.col("item_id").cast("long"))
+    docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
+    return R.top_k(containment.counted(docs, q, "item_id", "doc_id").drop("hits"), ["item_id"], [F.desc("doc_id")], 20)
 
 
 @query("lexical_search_gen1", f"""WITH {_bm25_sql()},

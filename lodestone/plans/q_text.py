@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions import text as T
-from lodestone.operators import retrieve as R
+from lodestone.operators import containment as X
 from lodestone.plans import duck
-from lodestone.plans.numbering import query_blocks
 from lodestone.plans.registry import query, table
 
 # Phrases that exercise the cue functions; the driver's texts are invented words.
@@ -120,28 +116,33 @@ p AS (SELECT item_id, doc_id, question, toks, low, idx, len(list_filter(toks, la
 _BEST = "SELECT item_id, doc_id, {v}, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) AS BIGINT) AS rn FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) <= 10"
 
 
-def scored(spark, d, score, name):
-    """Each item's ten best documents of all: the items are a stated query set and meet the whole table in broadcast
-    blocks."""
-    q = table(spark, d, "benchmark").select("item_id", F.col("text").alias("question"), T.query_tokens(F.col("text")).alias("toks"))
+def covered(spark, d):
+    """(questions, documents, what each document holds of each question's tokens), the last with the share of the tokens."""
+    q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("question"), T.query_tokens(F.col("text")).alias("toks"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    tops = []
-    for block in query_blocks(q, "item_id"):
-        pairs = docs.crossJoin(F.broadcast(block)).select("item_id", "doc_id", score.alias(name))
-        tops.append(R.top_k(pairs, ["item_id"], [F.desc(name), F.col("doc_id")], 10))
-    return reduce(DataFrame.unionByName, tops)
+    found = X.counted(docs, q, "item_id", "doc_id").join(q, "item_id")
+    return q, docs, found.withColumn("share", F.col("hits") / F.size("toks"))
 
 
 @query("lexical_score_gen1", _SCORED + """
 s AS (SELECT item_id, doc_id, round(greatest(0.0, least(1.0, 0.4 + 0.45 * (hits / len(toks)) + CASE WHEN contains(low, question) THEN 0.15 ELSE 0.0 END - least(idx * 0.0025, 0.15) + 1e-9)), 6) AS score FROM p)
 """ + _BEST.format(v="score"))
 def lexical_score_gen1(spark, d):
-    return scored(spark, d, T.lexical_score(F.col("question"), F.col("low"), F.col("doc_id") % 80, F.col("toks"), lowered=True), "score")
+    """Only a document with all tokens of a question can hold it as a phrase; one without any scores by its place alone."""
+    q, docs, found = covered(spark, d)
+    full = found.where(F.col("hits") == F.size("toks")).join(docs, "doc_id").where(F.contains("low", F.col("question"))).select("item_id", "doc_id", F.lit(0.15).alias("phrase"))
+    found = found.join(full, ["item_id", "doc_id"], "left")
+    place = F.col("doc_id") % 80
+    score = found.select("item_id", "doc_id", T.scored(F.col("share"), F.coalesce("phrase", F.lit(0.0)), place).alias("score"))
+    rest = docs.select("doc_id", T.scored(F.lit(0.0), F.lit(0.0), place).alias("score"))
+    return X.best_with_rest(score, q, rest, "item_id", "doc_id", "score", 10)
 
 
 @query("query_relevance", _SCORED + "s AS (SELECT item_id, doc_id, round(hits / len(toks), 6) AS relevance FROM p) " + _BEST.format(v="relevance"))
 def query_relevance(spark, d):
-    return scored(spark, d, T.query_relevance(F.col("question"), F.col("low"), F.col("toks"), lowered=True), "relevance")
+    q, docs, found = covered(spark, d)
+    rest = docs.select("doc_id", F.lit(0.0).alias("relevance"))
+    return X.best_with_rest(found.select("item_id", "doc_id", F.round("share", 6).alias("relevance")), q, rest, "item_id", "doc_id", "relevance", 10)
 
 
 @query("classify_intent", f"SELECT doc_id, CASE {' '.join(f'WHEN {duck.matches('q', p)} THEN {duck.text(n)}' for n, p in fixed.INTENTS)} ELSE 'general' END AS intent FROM (SELECT doc_id, {SAID} AS q FROM documents)")
