@@ -216,3 +216,68 @@ def test_rejects_go(corpus):
     kept = quality.keep_good(docs, model)
     scored = {r["doc_id"] for r in quality.score(docs, model).where("predicted = 1").collect()}
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == scored
+
+
+def plain_buckets(word):
+    """A word's own bucket, then those of its n-grams, one character at a time."""
+    mask = (1 << 64) - 1
+    found, code = [quality.bucket("\x01" + word)], [ord(c) for c in f"<{word}>"]
+    for n in quality.NGRAMS:
+        for i in range(len(code) - n + 1):
+            h = 0
+            for c in code[i : i + n]:
+                h = (h * 0x100000001B3 + c) & mask
+            found.append((((h ^ (h >> 29)) * (0xBF58476D1CE4E5B9 + 2 * n)) & mask) >> 40)
+    return [b % quality.BUCKETS for b in found]
+
+
+def plain_row(text):
+    """Feature weights of one document: the mean over all its word features, and the mean over its document features."""
+    words = text.split()
+    flat = [b for w in words for b in plain_buckets(w)]
+    flat += [b for a, c in zip(words, words[1:]) if a == c for b in plain_buckets(quality.REPEAT)]
+    shape = [quality.bucket(s) for s in quality.document_words(text)[1]]
+    return [(b, 1 / len(flat)) for b in flat] + [(b, 1 / len(shape)) for b in shape]
+
+
+def test_quality_against_plain_gradient_descent():
+    rng = random.Random(21)
+    say = lambda some: " ".join(rng.choice(some) for _ in range(rng.randrange(1, 9)))
+    texts = [say(["good", "fine", "words", "à"]) if i % 2 else say(["BAD", "xx", "xx", "good"]) for i in range(11)]
+    y = np.array([i % 2 for i in range(11)])
+    dim, epochs, rate, batch = 4, 3, 0.5, 4
+    own = np.random.default_rng(3)
+    start = (own.normal(size=(quality.BUCKETS, dim)) / dim).astype(np.float32)
+    rows = [plain_row(t) for t in texts]
+    used = sorted({b for r in rows for b, _ in r})
+    vector = {b: [float(v) for v in start[b]] for b in used}
+    out = [[0.0, 0.0] for _ in range(dim)]
+    steps, step = epochs * (len(rows) // batch + 1), 0
+    for _ in range(epochs):
+        order = own.permutation(len(rows))
+        for at in range(0, len(order), batch):
+            lr = rate * (1 - step / steps)
+            step += 1
+            some = order[at : at + batch]
+            change, grad = [[0.0, 0.0] for _ in range(dim)], {}
+            for i in some:
+                hidden = [sum(w * vector[b][k] for b, w in rows[i]) for k in range(dim)]
+                z = [sum(hidden[k] * out[k][c] for k in range(dim)) for c in (0, 1)]
+                e = [math.exp(v - max(z)) for v in z]
+                p = [v / sum(e) - (c == y[i]) for c, v in enumerate(e)]
+                for k in range(dim):
+                    back = sum(p[c] * out[k][c] for c in (0, 1))
+                    for c in (0, 1):
+                        change[k][c] += lr * hidden[k] * p[c] / len(some)
+                    for b, w in rows[i]:
+                        grad.setdefault(b, [0.0] * dim)[k] += back * w
+            out = [[out[k][c] - change[k][c] for c in (0, 1)] for k in range(dim)]
+            for b, g in grad.items():
+                vector[b] = [v - lr * 4 * d for v, d in zip(vector[b], g)]
+    weight = {b: sum(v[k] * (out[k][1] - out[k][0]) for k in range(dim)) for b, v in vector.items()}
+    model = quality.fit(texts, y, prior=0.3, dim=dim, epochs=epochs, rate=rate, batch=batch)
+    assert np.allclose([model.words[b] for b in used], [weight[b] for b in used], atol=1e-4)
+    share = float(np.mean(y))
+    bias = math.log(0.3 / 0.7) - math.log(share / (1 - share))
+    want = [1 / (1 + math.exp(-bias - sum(w * weight[b] for b, w in r))) for r in rows]
+    assert np.allclose(model.scores(texts), want, atol=1e-4)
