@@ -168,7 +168,7 @@ def search(
     ids = named.select("h1", "h2", "vec_id").distinct().withColumn("rn", F.row_number().over(by_vector)).where(F.col("rn") <= k + 1)
     ids = cut(ids.select("h1", "h2", "vec_id"), "ids")
     # One row per distinct vector; it is a query if any of its rows is.
-    distinct = cut(named.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max("is_query").alias("is_query")), "vectors")
+    distinct = cut(named.groupBy("h1", "h2").agg(F.first("v").alias("v"), F.max("is_query").alias("is_query"), F.min("vec_id").alias("least")), "vectors")
     n, asked_rows = distinct.agg(F.count("*"), F.count_if("is_query")).first()
     sample = np.array([r["v"] for r in distinct.orderBy("h1", "h2").limit(sample_rows).select("v").collect()], np.float64)
     index = fit(sample, k, curves, dims, recall)
@@ -179,7 +179,7 @@ def search(
     shared = spark.sparkContext.broadcast((index, parts, query_parts, bins))
     vector = named.schema["v"].dataType.simpleString()
 
-    columns = ["curve", "bin", "salt", "part", "block", "h1", "h2", "v"]
+    columns = ["curve", "bin", "salt", "part", "block", "h1", "h2", "least", "v"]
 
     def dealt(b: pd.DataFrame, c: int, block: np.ndarray, own: np.ndarray, other: np.ndarray, own_name: str, other_name: str) -> pd.DataFrame:
         """Rows b in their blocks: in one part of their own kind, and in every part of the other kind."""
@@ -187,7 +187,7 @@ def search(
         mine = (b["h2"].to_numpy().view(np.uint64) % own[block].astype(np.uint64)).astype(np.int32)
         at = np.repeat(np.arange(len(b)), other[block])
         every = np.concatenate([np.arange(x) for x in other[block]]).astype(np.int32)
-        some = b[["h1", "h2", "v"]].iloc[at].reset_index(drop=True)
+        some = b[["h1", "h2", "least", "v"]].iloc[at].reset_index(drop=True)
         return some.assign(**{"curve": np.int32(c), "bin": shared.value[3][c][block[at]], "block": block[at].astype(np.int32), own_name: mine[at], other_name: every})[columns]
 
     def deal_entries(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -208,14 +208,14 @@ def search(
                     for step in range(min(3, index.blocks)):
                         yield dealt(b, c, first + step, query_parts[c], parts[c], "part", "salt")
 
-    cells = f"curve int, bin int, salt int, part int, block int, h1 long, h2 long, v {vector}"
-    entries = distinct.select("h1", "h2", "v").mapInPandas(deal_entries, cells)
-    queries = distinct.where("is_query").select("h1", "h2", "v").mapInPandas(deal_queries, cells)
+    cells = f"curve int, bin int, salt int, part int, block int, h1 long, h2 long, least long, v {vector}"
+    entries = distinct.select("h1", "h2", "least", "v").mapInPandas(deal_entries, cells)
+    queries = distinct.where("is_query").select("h1", "h2", "least", "v").mapInPandas(deal_queries, cells)
 
     def rerank(qs: pd.DataFrame, es: pd.DataFrame) -> pd.DataFrame:
         out = {c: [np.zeros(0, np.float64 if c == "score" else np.int64)] for c in ("q1", "q2", "h1", "h2", "score")}
         es = es.sort_values("block", kind="stable")
-        e_block, e1, e2 = es["block"].to_numpy(), es["h1"].to_numpy(), es["h2"].to_numpy()
+        e_block, e1, e2, ids = es["block"].to_numpy(), es["h1"].to_numpy(), es["h2"].to_numpy(), es["least"].to_numpy()
         for block, own in qs.groupby("block", sort=False):
             low, high = np.searchsorted(e_block, [block, block + 1])
             if low == high:
@@ -227,14 +227,20 @@ def search(
                 q = np.stack(some["v"].to_numpy()).astype(np.float64)
                 s = q @ e.T
                 top = np.argpartition(-s, take - 1, axis=1)[:, :take]
-                # Ties at the edge stay: everything that reaches the take-th best score comes along.
                 edge = np.take_along_axis(s, top, axis=1).min(axis=1)
-                i, j = np.nonzero(s >= edge[:, None] - 1e-9)
-                out["q1"].append(some["h1"].to_numpy()[i])
-                out["q2"].append(some["h2"].to_numpy()[i])
-                out["h1"].append(e1[low + j])
-                out["h2"].append(e2[low + j])
-                out["score"].append((q[i] * e[j]).sum(axis=1))
+                for r in range(len(q)):
+                    # What ties with the take-th best score is cut by smallest ids: each entry stands for ids of which
+                    # its least is one, so beyond the take-th of these none can be among the k nearest.
+                    j = np.flatnonzero(s[r] >= edge[r] - 1e-9)
+                    exact = (e[j] * q[r]).sum(axis=1)
+                    if len(j) > take:
+                        best = np.lexsort((ids[low + j], -exact))[:take]
+                        j, exact = j[best], exact[best]
+                    out["q1"].append(np.full(len(j), some["h1"].iloc[r]))
+                    out["q2"].append(np.full(len(j), some["h2"].iloc[r]))
+                    out["h1"].append(e1[low + j])
+                    out["h2"].append(e2[low + j])
+                    out["score"].append(exact)
         return pd.DataFrame({c: np.concatenate(v) for c, v in out.items()})
 
     key = ["curve", "bin", "salt", "part"]

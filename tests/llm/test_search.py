@@ -198,3 +198,19 @@ def test_odd_rows_and_empty_tables(spark, odd):
     assert [(r["doc_id"], r["item_id"], r["score"]) for r in out] == [(3, 1, 1.0)] * 2
     assert decontam.contaminated(odd, items.limit(0)).count() == 0
     assert decontam.decontaminate(odd.limit(0), items).count() == 0
+
+
+def test_ties_are_cut_by_id(spark, monkeypatch):
+    """Binary vectors, of which most tie: with the whole order in each window the result is that of brute force, and no task
+    reports more than k + 1 entries for a query, curve and block."""
+    rng = np.random.default_rng(8)
+    x = (rng.random((900, 10)) < 0.3).astype(float)
+    x = x[x.any(axis=1)]
+    ids = list(range(len(x)))
+    monkeypatch.setattr(ann, "WINDOWS", (1.0,))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+    out = ann.search(df, F.col("vec_id") % 20 == 0, k=7, curves=2).toPandas()
+    want = brute(ids, x, [i for i in ids if i % 20 == 0], 7)
+    assert {q: g.sort_values("rank").vec_id.tolist() for q, g in out.groupby("query_id")} == want
+    narrow = ann.search(df, F.col("vec_id") % 20 == 0, k=7, curves=2, part_rows=50).toPandas()
+    assert narrow.sort_values(["query_id", "rank"]).vec_id.tolist() == out.sort_values(["query_id", "rank"]).vec_id.tolist()
