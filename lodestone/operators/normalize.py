@@ -161,3 +161,23 @@ def character_tasks(memories: DataFrame, questions: DataFrame) -> DataFrame:
     ids = memories.groupBy("name").agg(F.collect_set("memory_id").alias("_ids"))
     both = questions.join(ids, "name", "left")
     return both.withColumn("dangling", F.array_except("evidence", F.coalesce("_ids", F.array().cast("array<string>")))).drop("_ids")
+
+
+def diagnostic_excerpts(turns: DataFrame, gold: DataFrame, radius: int = 0, dated: str | None = None) -> DataFrame:
+    """The turns (record_id, session_id, position, ...) that evidence points to, and those within ``radius`` positions of them in
+    their session. Gold decides which turns are kept and nothing else: no column of it is in the result. With ``dated``, a
+    column of milliseconds, content begins with the conversation's date. A gold turn that is not there is an error.
+
+    gold: record_id, session_id, position.
+    """
+    keys = ["record_id", "session_id", "position"]
+    marked = gold.select(*keys).distinct().withColumn("_gold", F.lit(True))
+    both = turns.join(marked, keys, "full_outer")
+    missing = F.col("_gold") & F.col("content").isNull()
+    both = both.withColumn("content", F.when(missing, F.raise_error(F.concat_ws("/", F.lit("no such turn:"), *[F.col(k).cast("string") for k in keys]))).otherwise(F.col("content")))
+    near = Window.partitionBy("record_id", "session_id").orderBy("position").rangeBetween(-radius, radius)
+    kept = both.withColumn("_near", F.max(F.coalesce("_gold", F.lit(False))).over(near)).where("_near").drop("_near", "_gold")
+    if dated is None:
+        return kept.select(*turns.columns)
+    date = F.date_format(F.timestamp_millis(F.col(dated)), "yyyy-MM-dd")
+    return kept.withColumn("content", F.when(F.col(dated).isNull(), F.col("content")).otherwise(F.concat(F.lit("[Conversation date: "), date, F.lit("]\n"), "content"))).select(*turns.columns)

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import dictionary, overview, proposals, usage
+from lodestone.operators import dictionary, normalize, overview, proposals, usage
 from lodestone.operators import path_groups as P
 from lodestone.operators.explore import explore
 from lodestone.operators.forget import COMMAND_WORDS, forget_topics
@@ -164,3 +164,14 @@ def pending_overview(spark, d):
     rows = s.select("user_id", F.col("sequence").alias("ordinal"), "session_id", "request_id", "role", "text", F.lit(400).cast("long").alias("watermark"))
     out = overview.overview(rows, 4000)
     return out.select("user_id", "message_count", "through", "group_count", "omitted_groups", F.sha2(F.array_join("groups", "\n"), 256).alias("groups_sha256"))
+
+
+@query("diagnostic_excerpts", """WITH g AS (SELECT conv_id, turn FROM conversations WHERE role = 'assistant' QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) DESC, turn) = 1)
+SELECT c.conv_id, c.turn, sha256(c.text) AS text_sha FROM conversations c WHERE EXISTS (SELECT 1 FROM g WHERE g.conv_id = c.conv_id AND abs(g.turn - c.turn) <= 1)""")
+def diagnostic_excerpts(spark, d):
+    """The longest answer of each conversation is its evidence; the turns around it are its excerpt."""
+    c = table(spark, d, "conversations").select(F.col("conv_id").alias("record_id"), F.lit("s").alias("session_id"), F.col("turn").alias("position"), "role", F.col("text").alias("content"))
+    longest = F.row_number().over(Window.partitionBy("record_id").orderBy(F.desc(F.length("content")), "position"))
+    gold = c.where("role = 'assistant'").withColumn("_r", longest).where("_r = 1")
+    out = normalize.diagnostic_excerpts(c, gold, radius=1)
+    return out.select(F.col("record_id").alias("conv_id"), F.col("position").alias("turn"), F.sha2("content", 256).alias("text_sha"))
