@@ -42,7 +42,7 @@ def query_with_options(spark, d):
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) <= 30""")
 def fulltext_match(spark, d):
     """Any-term matches by rank, then by recency; three times the answer of ten."""
-    return R.top_k(bm25_scores(spark, d), ["item_id"], [F.desc("score"), F.desc("doc_id")], 30).select("item_id", "doc_id", "rn")
+    return R.top_k(bm25_scores(spark, d).withColumn("score", F.round("score", 6)), ["item_id"], [F.desc("score"), F.desc("doc_id")], 30).select("item_id", "doc_id", "rn")
 
 
 @query("lexical_rank_scores", f"""WITH {_bm25_sql(tok=_TERMS, most=64)} SELECT item_id, doc_id, round(1.0 / (60 + rn), 9) AS score FROM bm WHERE rn <= 48""")
