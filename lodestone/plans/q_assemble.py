@@ -9,7 +9,7 @@ from lodestone.functions import text as T
 from lodestone.operators import assemble as A
 from lodestone.operators import retrieve as R
 from lodestone.plans import duck
-from lodestone.plans.q_retrieve import _bm25_sql, bm25_scores
+from lodestone.plans.q_retrieve import _bm25_sql, bm25_best
 from lodestone.plans.registry import query, table
 
 
@@ -21,7 +21,7 @@ def turns(spark, d):
 
 
 def ranked_docs(spark, d, k=48):
-    return R.ranked(bm25_scores(spark, d), "item_id", "doc_id", k).withColumnRenamed("item_id", "query_id")
+    return bm25_best(spark, d, k).withColumnRenamed("item_id", "query_id")
 
 
 @query("disclose_candidates")

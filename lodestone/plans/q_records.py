@@ -12,7 +12,7 @@ from lodestone.operators import records as X
 from lodestone.operators import retrieve as R
 from lodestone.plans import duck
 from lodestone.plans.q_chunk import _ISLANDS, shown
-from lodestone.plans.q_retrieve import _bm25_sql, bm25_scores
+from lodestone.plans.q_retrieve import _bm25_sql, bm25_best
 from lodestone.plans.q_temporal import _ANCHOR, _P, DATED, _rules
 from lodestone.plans.registry import query, table
 
@@ -42,13 +42,13 @@ def query_with_options(spark, d):
 QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id DESC) <= 30""")
 def fulltext_match(spark, d):
     """Any-term matches by rank, then by recency; three times the answer of ten."""
-    return R.top_k(bm25_scores(spark, d).withColumn("score", F.round("score", 6)), ["item_id"], [F.desc("score"), F.desc("doc_id")], 30).select("item_id", "doc_id", "rn")
+    return bm25_best(spark, d, 30, newest=True).select("item_id", "doc_id", "rn")
 
 
 @query("lexical_rank_scores", f"""WITH {_bm25_sql(tok=_TERMS, most=64)} SELECT item_id, doc_id, round(1.0 / (60 + rn), 9) AS score FROM bm WHERE rn <= 48""")
 def lexical_rank_scores(spark, d):
     """Matches of the query's first 64 distinct terms, scored by rank alone."""
-    top = R.ranked(bm25_scores(spark, d, tokens=T.terms_ascii, most=64), "item_id", "doc_id", fixed.CHANNEL_DEPTH)
+    top = bm25_best(spark, d, fixed.CHANNEL_DEPTH, tokens=T.terms_ascii, most=64)
     return top.select("item_id", "doc_id", F.round(1 / (fixed.RRF_K + F.col("rn")), 9).alias("score"))
 
 
