@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from lodestone.functions import fixed
 from lodestone.functions import text as T
 from lodestone.operators import containment as X
+from lodestone.operators.retrieve import six_digits
 from lodestone.plans import duck
 from lodestone.plans.registry import query, table
 
@@ -116,12 +118,14 @@ p AS (SELECT item_id, doc_id, question, toks, low, idx, len(list_filter(toks, la
 _BEST = "SELECT item_id, doc_id, {v}, CAST(row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) AS BIGINT) AS rn FROM s QUALIFY row_number() OVER (PARTITION BY item_id ORDER BY {v} DESC, doc_id) <= 10"
 
 
-def covered(spark, d):
-    """(questions, documents, what each document holds of each question's tokens), the last with the share of the tokens."""
-    q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("question"), T.query_tokens(F.col("text")).alias("toks"))
+def best_of_all(spark, d, score):
+    q = table(spark, d, "benchmark").select("item_id", F.lower("text").alias("asked"), T.query_tokens(F.col("text")).alias("toks"))
     docs = table(spark, d, "documents").select("doc_id", F.lower("text").alias("low"))
-    found = X.counted(docs, q, "item_id", "doc_id").join(q, "item_id")
-    return q, docs, found.withColumn("share", F.col("hits") / F.size("toks"))
+    return X.best_by_tokens(docs, q, "item_id", "doc_id", 10, score)
+
+
+def share(hits, sizes):
+    return hits / np.maximum(sizes, 1)
 
 
 @query("lexical_score_gen1", _SCORED + """
@@ -129,20 +133,18 @@ s AS (SELECT item_id, doc_id, round(greatest(0.0, least(1.0, 0.4 + 0.45 * (hits
 """ + _BEST.format(v="score"))
 def lexical_score_gen1(spark, d):
     """Only a document with all tokens of a question can hold it as a phrase; one without any scores by its place alone."""
-    q, docs, found = covered(spark, d)
-    full = found.where(F.col("hits") == F.size("toks")).join(docs, "doc_id").where(F.contains("low", F.col("question"))).select("item_id", "doc_id", F.lit(0.15).alias("phrase"))
-    found = found.join(full, ["item_id", "doc_id"], "left")
-    place = F.col("doc_id") % 80
-    score = found.select("item_id", "doc_id", T.scored(F.col("share"), F.coalesce("phrase", F.lit(0.0)), place).alias("score"))
-    rest = docs.select("doc_id", T.scored(F.lit(0.0), F.lit(0.0), place).alias("score"))
-    return X.best_with_rest(score, q, rest, "item_id", "doc_id", "score", 10)
+
+    def score(hits, sizes, phrase, refs):
+        raw = 0.4 + 0.45 * share(hits, sizes) + np.where(phrase, 0.15, 0.0) - np.minimum(np.fmod(refs, 80) * 0.0025, 0.15)[:, None] + 1e-9
+        return six_digits(np.clip(raw, 0.0, 1.0))
+
+    return best_of_all(spark, d, score)
 
 
 @query("query_relevance", _SCORED + "s AS (SELECT item_id, doc_id, round(hits / len(toks), 6) AS relevance FROM p) " + _BEST.format(v="relevance"))
 def query_relevance(spark, d):
-    q, docs, found = covered(spark, d)
-    rest = docs.select("doc_id", F.lit(0.0).alias("relevance"))
-    return X.best_with_rest(found.select("item_id", "doc_id", F.round("share", 6).alias("relevance")), q, rest, "item_id", "doc_id", "relevance", 10)
+    out = best_of_all(spark, d, lambda hits, sizes, phrase, refs: six_digits(share(hits, sizes)))
+    return out.withColumnRenamed("score", "relevance")
 
 
 @query("classify_intent", f"SELECT doc_id, CASE {' '.join(f'WHEN {duck.matches('q', p)} THEN {duck.text(n)}' for n, p in fixed.INTENTS)} ELSE 'general' END AS intent FROM (SELECT doc_id, {SAID} AS q FROM documents)")
