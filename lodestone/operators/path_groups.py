@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -220,14 +220,14 @@ def pack_groups(material: DataFrame, top_k: int = 10, card_chars: int = CARD_CHA
     material: the rows of ``with_material``. A query's rows are its roots, which the ranking leaves a few dozen of.
     """
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+    def pack(query_id: int, rows: list[dict]) -> Iterator[dict]:
         groups = []
-        for r in rows.sort_values(["root_rn", "root"]).itertuples(index=False):
-            pieces = [Fragment(f["origin"], bool(f["cited"]), int(f["start"]), int(f["end"]), int(f["length"]), f["text"]) for f in r.fragments]
-            edges = [(e["src"], e["dst"], e["relation"], tuple(e["sources"] if e["sources"] is not None else ())) for e in r.edges]
-            groups.append(Group(r.root, list(r.members), [(c["ref"], c["kind"], c["status"]) for c in r.cards], edges, list(r.sources), pieces))
+        for r in sorted(rows, key=lambda r: (r["root_rn"], r["root"])):
+            pieces = [Fragment(f["origin"], bool(f["cited"]), f["start"], f["end"], f["length"], f["text"]) for f in r["fragments"]]
+            edges = [(e["src"], e["dst"], e["relation"], tuple(e["sources"] or ())) for e in r["edges"]]
+            groups.append(Group(r["root"], r["members"], [(c["ref"], c["kind"], c["status"]) for c in r["cards"]], edges, r["sources"], pieces))
         groups = list(distinct_groups(groups))
-        chosen, earlier, out = fill(groups, top_k, card_chars, total_chars), {}, []
+        chosen, earlier = fill(groups, top_k, card_chars, total_chars), {}
         number = {id(g): i for i, g in enumerate(chosen, 1)}
         for g in groups:
             packed = id(g) in number
@@ -236,11 +236,21 @@ def pack_groups(material: DataFrame, top_k: int = 10, card_chars: int = CARD_CHA
                 earlier.setdefault((f.origin, f.start, f.end), g.root)
             complete = packed and bool(g.sources) and all(map(g.whole, g.sources))
             shown = [f"{f.origin} {f.start}:{f.end}" for f in g.taken]
-            out.append((key[0], number.get(id(g)), g.root, g.members, g.reason, len(g.taken), shared, len(content), packed and g.closed, len(g.edges) if packed and g.closed else 0, complete, shown, content))
-        names = [c.split()[0] for c in PACKED.split(", ")]
-        return pd.DataFrame(out, columns=names).astype({"rn": "Int32"})
-
-    return material.groupBy("query_id").applyInPandas(run, PACKED)
+            row = (query_id, number.get(id(g)), g.root, g.members, g.reason, len(g.taken), shared, len(content), packed and g.closed, len(g.edges) if packed and g.closed else 0, complete, shown, content)
+            yield dict(zip(names, row))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256).to_pylist()
+                yield pa.RecordBatch.from_pylist([row for q in part for row in pack(q["query_id"], q["rows"])], schema=schema)
+
+    names = [c.split()[0] for c in PACKED.split(", ")]
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
+    schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
+    # A query is one row, so that a batch holds many queries: a Python group for each would cost more than its packing.
+    whole = material.groupBy("query_id").agg(F.collect_list(F.struct("root_rn", "root", "members", "edges", "cards", "sources", "fragments")).alias("rows"))
+    return whole.mapInArrow(run, PACKED)
 
 
 def paged(origin: Column, text: Column, raw: Column, page: int = 800) -> Column:
