@@ -19,7 +19,8 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near copies (5-word Jaccard similarity of 0.8 or more) the smallest doc_id stays."""
+    """Of each class of near copies the smallest doc_id stays: close SimHash fingerprints over vantage-point trees, compared
+    exactly (5-word Jaccard similarity of 0.8 or more), then the similar texts whose fingerprints lie farther apart."""
     return shingles.one_of_each(docs)
 
 

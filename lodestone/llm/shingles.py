@@ -13,10 +13,13 @@ hardly anything but near copies. Sets with too many empty parts meet in groups o
 Shingles that a sample of the texts shows to be common are left out of parts, come last in the order, and always count as
 shared; the sample decides on the work, never on the result.
 
-Groups with the same members are searched once. Each set first meets a part of its largest group and the group's few
-smallest keys; groups that these links have joined are done, the others are searched whole, those above ``group_rows``
-in pair-wise cells. There parity sketches, a thirtieth of a set in size, go first: they differ in no more bits than
-the sets in shingles, so only sets with a possible partner follow, and few times to a second group of the two. Each search returns a spanning forest of its links.
+Groups with the same members are searched once. The sets that may have a partner go by op3's method first: the forest of
+their SimHash fingerprints within ``max_bits`` bits, found over vantage-point trees, and in its components an exact comparison
+of the sets. Fingerprints of similar sets may differ in more bits, so the groups complete this: those whose members are
+joined are done; of the others each set meets a part of its largest group and the group's few smallest keys, and what is still
+not joined is searched whole, above ``group_rows`` in pair-wise cells. There parity sketches, a thirtieth of a set in size, go
+first: they differ in no more bits than the sets in shingles, so only sets with a possible partner follow, and few times
+to a second group of the two. Each search returns a spanning forest of its links.
 """
 
 from __future__ import annotations
@@ -31,10 +34,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import bit_of, cut, has_bit, join_hot, key_bits
-from lodestone.llm.simhash import Forest, components, keep_first, named_classes, shingle_hashes
+from lodestone.llm.simhash import Forest, close_forest, components, fingerprint_of, keep_first, named_classes, shingle_hashes
 
 WORDS = 5
 SIMILARITY = 0.8
+MAX_BITS = 8
 
 
 def shingle_set(text: str | None, words: int = WORDS) -> np.ndarray:
@@ -227,7 +231,7 @@ def in_groups(df: DataFrame, by: list[str], work: Callable[[pd.DataFrame], pd.Da
     return df.repartition(*by).sortWithinPartitions(*by).mapInPandas(run, schema)
 
 
-def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, group_rows: int = 400, sample_rows: int = 5000, hubs: int = 8, known_parts: int = 16) -> DataFrame:
+def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILARITY, group_rows: int = 400, sample_rows: int = 5000, hubs: int = 8, known_parts: int = 16, max_bits: int = MAX_BITS) -> DataFrame:
     """(doc_id, component_id) of every row of docs: documents of at least this similarity are linked, and
     component_id is the smallest doc_id of the links' connected component (null if it has none)."""
     spark = docs.sparkSession
@@ -267,9 +271,11 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
             some = b.filter(pa.array(has_bit(b.column(2).to_numpy(), bits.value)))
             for at in range(0, some.num_rows, 256):
                 few = some.slice(at, 256)
-                sets = [shingle_set(t.as_py(), words) for t in few.column(1)]
+                hashes = [shingle_hashes(t.as_py(), words) for t in few.column(1)]
+                sets = [np.unique(h).view(np.int64) for h in hashes]
                 size, sketches = pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())
-                yield pa.RecordBatch.from_arrays([few.column(0), size, sketches, pa.array(sets, pa.list_(pa.int64()))], names=["rid", "size", "sketch", "own"])
+                fp = pa.array([fingerprint_of(h) for h in hashes], pa.int64())
+                yield pa.RecordBatch.from_arrays([few.column(0), fp, size, sketches, pa.array(sets, pa.list_(pa.int64()))], names=["rid", "fp", "size", "sketch", "own"])
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -278,8 +284,8 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(np.concatenate(found))], names=["key", "part"])
 
     asked = rows.select("rid", "text", bit_of("rid", bits.value).alias("at"))
-    sets = asked.mapInArrow(again, "rid long, size int, sketch binary, own array<long>").join(near, "rid").select("key", "size", "sketch", "own")
-    sets = cut(sets.dropDuplicates(["key"]), "own-sets")
+    sets = asked.mapInArrow(again, "rid long, fp long, size int, sketch binary, own array<long>").join(near, "rid")
+    sets = cut(sets.dropDuplicates(["rid"]).select("key", "fp", "size", "sketch", "own"), "own-sets")
     at = cut(sets.select("key", "own").mapInArrow(sign, "key long, part long"), "parts")
     groups = at.groupBy("part").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who")).where("n > 1")
     groups = cut(groups.groupBy("n", "who").agg(F.min("part").alias("part")).select("part", "n"), "groups")
@@ -300,29 +306,52 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
         has = np.flatnonzero(root != np.arange(len(key)))
         return pd.DataFrame({"src": key[has], "dst": key[root[has]]})
 
+    def asked_sets(some: DataFrame, *columns: str) -> DataFrame:
+        """Columns of the sets that ``some`` names, and of few others: the rest is not shuffled for the join."""
+        held = spark.sparkContext.broadcast(key_bits(some.select("key").distinct(), "key"))
+
+        def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield b.filter(pa.array(has_bit(b.column(b.num_columns - 1).to_numpy(), held.value))).select(["key", *columns])
+
+        rows = sets.select("key", *columns)
+        return rows.withColumn("at", bit_of("key", held.value)).mapInArrow(kept, rows.schema)
+
     def links_of(some: DataFrame) -> DataFrame:
-        dealt = some.join(sets.select("key", "own"), "key").select("key", "own", "part", "i", "j")
+        dealt = some.join(asked_sets(some, "own"), "key").select("key", "own", "part", "i", "j")
         return cut(dealt.groupBy("part", "i", "j").applyInPandas(link, "src long, dst long").distinct(), "links")
 
+    def sliced(some: DataFrame) -> DataFrame:
+        """Of classes (key, part, n) the slices of at most about group_rows; a class's smallest keys are in all of its slices."""
+        some = cut(some.select("key", "part", F.ceil(F.col("n") / group_rows).cast("int").alias("slices")), "classes")
+        order = Window.partitionBy("part").orderBy("key")
+        hub = some.where("slices > 1").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= hubs)
+        hub = hub.select("key", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"))
+        some = some.select("key", "part", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("i")).unionByName(hub).distinct()
+        return some.withColumn("j", F.lit(0))
+
+    def state(links: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members with their root as far as these links go, and the groups that have several."""
+        joined = members.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
+        joined = cut(joined.select("key", "part", "n", "root"), "joined")
+        parted = joined.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where("low <> high")
+        return joined, cut(parted.select("part", "n"), "parted")
+
     def chosen(g: pd.DataFrame) -> pd.DataFrame:
         below = smaller_parts(g["parts"].tolist(), int(g["part"].iloc[0]))
         keep = hopeful(g["sketch"].tolist(), g["size"].to_numpy(np.int64), g["root"].to_numpy(np.int64), similarity, below)
         return g.loc[keep, ["key", "part", "i", "j"]]
 
-    # Each set first meets one slice of its largest group. The group's smallest keys are in all slices, which so
-    # joins nearly all of a family; a group whose members are joined can add nothing.
+    # The sets of each class of close fingerprints are compared first.
+    close = components(close_forest(sets.select("fp").distinct(), max_bits)).withColumnRenamed("node", "fp")
+    close = cut(sets.select("key", "fp").join(close, "fp", "left").select("key", F.coalesce("root", "fp").alias("part")), "close")
+    links = links_of(sliced(close.join(close.groupBy("part").agg(F.count("*").alias("n")).where("n > 1"), "part")))
+    joined, parted = state(links)
+    # A group whose members are joined can add nothing. A set of others meets one slice of the largest of these.
     largest = Window.partitionBy("key").orderBy(F.desc("n"), "part")
-    slices = F.ceil(F.col("n") / group_rows).cast("int")
-    some = members.withColumn("_r", F.row_number().over(largest)).where("_r = 1").withColumn("slices", slices)
-    some = cut(some.select("key", "part", "slices"), "largest")
-    order = Window.partitionBy("part").orderBy("key")
-    hub = some.where("slices > 1").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= hubs)
-    hub = hub.select("key", "part", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("i"))
-    some = some.select("key", "part", F.pmod(F.xxhash64("key"), F.col("slices")).cast("int").alias("i")).unionByName(hub).distinct()
-    links = links_of(some.withColumn("j", F.lit(0)))
-    joined = members.join(components(links).withColumnRenamed("node", "key"), "key", "left").withColumn("root", F.coalesce("root", "key"))
-    joined = cut(joined.select("key", "part", "n", "root"), "joined")
-    parted = joined.groupBy("part").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.first("n").alias("n")).where("low <> high")
+    some = joined.join(parted.select("part"), "part", "left_semi").withColumn("_r", F.row_number().over(largest)).where("_r = 1")
+    links = links.unionByName(links_of(sliced(some)))
+    joined, parted = state(links)
     salts = F.when(F.col("n") > group_rows, F.ceil(F.col("n") * 2 / group_rows)).otherwise(1).cast("int")
     cell = F.pmod(F.xxhash64("key", "part"), F.col("salts")).cast("int")
     rest = joined.join(parted.select("part", salts.alias("salts")), "part").withColumn("cell", cell)
@@ -330,7 +359,7 @@ def near_copies(docs: DataFrame, words: int = WORDS, similarity: float = SIMILAR
     rest = rest.select("key", "root", "part", F.least("cell", "other").alias("i"), F.greatest("cell", "other").alias("j"))
     # A set brings its smallest parts along: two that share one of these below a group's need not be searched there.
     left = joined.join(parted.select("part"), "part", "left_semi").groupBy("key").agg(F.slice(F.array_sort(F.collect_list("part")), 1, known_parts).alias("parts"))
-    rest = rest.join(sets.select("key", "size", "sketch"), "key").join(left, "key")
+    rest = rest.join(asked_sets(rest, "size", "sketch"), "key").join(left, "key")
     rest = cut(in_groups(rest, ["part", "i", "j"], chosen, "key long, part long, i int, j int"), "hopeful")
     # Sets that share many parts are left in many groups with the same members; one of these is searched.
     alike = rest.groupBy("part", "i", "j").agg(F.count("*").alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("who"))

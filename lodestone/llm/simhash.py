@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import cut, join_hot
+from lodestone.llm.common import bit_of, cut, has_bit, join_hot, key_bits
 
 WIDTH = 64
 SEED = 42
@@ -51,7 +51,11 @@ def shingle_hashes(text: str | None, words: int = 4) -> np.ndarray:
 
 def text_fingerprint(text: str | None, words: int = 4) -> int:
     """Signed 64-bit SimHash of one whole text (0 for a text without words)."""
-    h = shingle_hashes(text, words)
+    return fingerprint_of(shingle_hashes(text, words))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The bits that over half of these hashes have set, as a signed 64-bit value; 0 without hashes."""
     n = len(h)
     if not n:
         return 0
@@ -302,8 +306,20 @@ def one_of_each(docs: DataFrame, words: int = 4, max_bits: int = 4) -> DataFrame
 
 def keep_first(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is its class's component_id, one per doc_id, and all rows without doc_id."""
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    kept = docs.join(gone, "doc_id", "left_anti")
+    gone = cut(classes.where("doc_id <> component_id").select("doc_id").distinct(), "gone")
+    held = docs.sparkSession.sparkContext.broadcast(key_bits(gone, "doc_id"))
+    marked, names = docs.withColumn("_at", bit_of(F.col("doc_id").cast("long"), held.value)), docs.columns
+
+    def rows(may_go: bool) -> DataFrame:
+        def some(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                at = has_bit(b.column(b.num_columns - 1).to_numpy(), held.value)
+                yield b.filter(pa.array(at == may_go)).select(names)
+
+        return marked.mapInArrow(some, docs.schema)
+
+    # Texts are not shuffled but for those whose doc_id may be among the gone.
+    kept = rows(False).unionByName(rows(True).join(gone, "doc_id", "left_anti"))
     named = classes.where("doc_id is not null")
     if named.groupBy("doc_id").count().where("count > 1").limit(1).count():
         kept = kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))

@@ -3,7 +3,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from lodestone.llm import shingles
+from lodestone.llm import shingles, simhash
 
 
 def brute_classes(texts):
@@ -137,3 +137,37 @@ def test_key_bits_never_miss(spark):
         others = has_bit(at(spark.range(5000, 10_000).selectExpr("xxhash64(id) as k")), words).mean()
         assert others < 0.12 or most == 256
     assert not has_bit(np.arange(64), key_bits(keys.limit(0), "k")).any()
+
+
+def test_stage_goes_by_trees_of_fingerprints_and_loses_nothing_beside_them(spark, docs_of, monkeypatch):
+    """The forest of close fingerprints is asked, its sets are compared, and an empty forest gives the same classes."""
+    rng = random.Random(31)
+    rows = {}
+    for i in range(30):
+        words = [f"w{rng.randrange(900)}" for _ in range(120)]
+        rows[2 * i] = " ".join(words)
+        words[rng.randrange(120)] = "other"
+        rows[2 * i + 1] = " ".join(words)
+    docs, asked, forest = docs_of([(d, t, "en", "s") for d, t in rows.items()]), [], shingles.close_forest
+
+    def seen(fps, max_bits):
+        links = forest(fps, max_bits)
+        asked.append((fps.count(), links.count()))
+        return links
+
+    monkeypatch.setattr(shingles, "close_forest", seen)
+    got = {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs).collect()}
+    assert got == {d: d - d % 2 for d in rows}
+    (fps, links), = asked
+    assert fps == 60 and links > 25
+    monkeypatch.setattr(shingles, "close_forest", lambda fps, max_bits: spark.createDataFrame([], "src long, dst long"))
+    assert {r["doc_id"]: r["component_id"] for r in shingles.near_copies(docs).collect()} == got
+
+
+def test_kept_texts_are_not_shuffled(spark, docs_of):
+    docs = docs_of([(d, "t" * 20_000, "en", "s") for d in range(400)] + [(None, "x", "en", "s")])
+    classes = spark.createDataFrame([(d, d - d % 100) for d in range(400) if d % 100 < 2], "doc_id long, component_id long")
+    plan = simhash.keep_first(docs, classes)
+    assert sorted(r["doc_id"] or 0 for r in plan.collect()) == sorted([0] + [d for d in range(400) if d % 100 != 1])
+    parts = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert parts.index("Union") < parts.index("Join LeftAnti") and parts.count("MapInArrow") == 2
