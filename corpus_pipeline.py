@@ -10,22 +10,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm import decontam, mixing, quality, secret_scan, shingles
-from lodestone.llm.common import cut, table
+from lodestone.llm.common import cut, small_batches, table
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, trained on the labelled rows of docs, rejects go."""
+    small_batches(spark)
     return quality.keep_good(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near copies the smallest doc_id stays: close SimHash fingerprints over vantage-point trees, compared
     exactly (5-word Jaccard similarity of 0.8 or more), then the similar texts whose fingerprints lie farther apart."""
+    small_batches(spark)
     return shingles.one_of_each(docs)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold an exact or edited copy of a benchmark item go."""
+    small_batches(spark)
     return decontam.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 

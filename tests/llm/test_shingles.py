@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
 import corpus_pipeline
 from lodestone.llm import shingles, simhash
@@ -171,3 +172,25 @@ def test_kept_texts_are_not_shuffled(spark, docs_of):
     assert sorted(r["doc_id"] or 0 for r in plan.collect()) == sorted([0] + [d for d in range(400) if d % 100 != 1])
     parts = plan._jdf.queryExecution().optimizedPlan().toString()
     assert parts.index("Union") < parts.index("Join LeftAnti") and parts.count("MapInArrow") == 2
+
+
+def test_pipeline_stages_bound_the_batches_of_texts(spark, docs_of):
+    """Texts go to Python in batches of a few MB, not by 10,000 rows; a session that states a limit keeps it."""
+    from lodestone.llm.common import BATCH_BYTES
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], names=["n"])
+
+    docs = docs_of([(d, "t" * 20_000, "en", "s") for d in range(400)]).coalesce(1)
+    largest = lambda: max(r["n"] for r in docs.select("text").mapInArrow(sizes, "n long").collect())
+    before = spark.conf.getAll.get(BATCH_BYTES)
+    try:
+        spark.conf.unset(BATCH_BYTES)
+        corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert largest() < 3_000_000
+        spark.conf.set(BATCH_BYTES, "500k")
+        corpus_pipeline.drop_near_copies(spark, docs, "")
+        assert largest() < 600_000
+    finally:
+        spark.conf.set(BATCH_BYTES, before) if before else spark.conf.unset(BATCH_BYTES)
