@@ -11,6 +11,7 @@ from lodestone.plans.q_assemble import ranked_docs
 from lodestone.plans.q_graph import _SPANS, spans
 from lodestone.plans.q_retrieve import _bm25_sql
 from lodestone.plans.registry import query, table
+from lodestone.sources.shared import written
 
 _EXPECTED = """ex AS (SELECT item_id, CAST(i - 1 AS BIGINT) AS target_index, ls[i] AS line FROM (SELECT item_id, string_split(text, chr(10)) AS ls FROM benchmark) t, range(1, len(ls) + 1) r(i) WHERE length(ls[i]) > 20)"""
 _RANKS = f"""{_bm25_sql()}, {_EXPECTED},
@@ -26,7 +27,7 @@ def expected(spark, d):
 
 def results(spark, d, k=10):
     docs = table(spark, d, "documents").select("doc_id", F.col("text").alias("content"))
-    top = ranked_docs(spark, d, k).withColumnRenamed("query_id", "item_id")
+    top = written(ranked_docs(spark, d, k).withColumnRenamed("query_id", "item_id"), "found")
     return top.join(docs, "doc_id").select("item_id", F.col("rn").alias("rank"), F.col("doc_id").alias("id"), "content")
 
 
