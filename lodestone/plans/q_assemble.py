@@ -11,6 +11,7 @@ from lodestone.operators import retrieve as R
 from lodestone.plans import duck
 from lodestone.plans.q_retrieve import _bm25_sql, bm25_best
 from lodestone.plans.registry import query, table
+from lodestone.sources.shared import written
 
 
 def turns(spark, d):
@@ -61,7 +62,7 @@ def context_expansion(spark, d):
     docs = table(spark, d, "documents").select("doc_id")
     near = docs.select(F.col("doc_id").alias("ref"), F.explode(F.array(F.col("doc_id") - 1, F.col("doc_id") + 1)).alias("other"), F.lit("adjacent").alias("kind"))
     back = docs.select(F.col("doc_id").alias("ref"), ((F.col("doc_id") + 20) % docs.count()).alias("other"), F.lit("backlink").alias("kind"))
-    primary = ranked_docs(spark, d, fixed.CANDIDATES).select("query_id", F.col("doc_id").alias("ref"), "rn")
+    primary = written(ranked_docs(spark, d, fixed.CANDIDATES).select("query_id", F.col("doc_id").alias("ref"), "rn"), "found")
     return A.context_expansion(primary, near.unionByName(back))
 
 
