@@ -100,7 +100,7 @@ def closure_across_episodes(spark, d):
 def units(spark, d):
     """The ranked documents' first units with their cost."""
     docs = table(spark, d, "documents").select("doc_id", F.length("text").alias("n"))
-    top = ranked_docs(spark, d, 30).join(docs, "doc_id")
+    top = written(ranked_docs(spark, d, 30), "found").join(docs, "doc_id")
     return top.select("query_id", "rn", F.col("doc_id").cast("string").alias("ref"), F.lit(0).alias("start"), F.col("n").cast("long").alias("cost"))
 
 
