@@ -7,6 +7,7 @@ its few groups, each with its fragments.
 
 from __future__ import annotations
 
+from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,27 +29,32 @@ def routes(roots: DataFrame, paths: DataFrame, max_hops: int) -> DataFrame:
 
     roots: query_id, rn, ref. paths: query_id, at (order of walking), src, dst, relation, sources, chosen.
     """
-    step = paths.select("query_id", "src", "dst", "at", F.struct("src", "dst", "relation", "sources").cast(EDGE).alias("edge"), "chosen")
-    front = roots.select(
-        "query_id", F.col("ref").alias("root"), F.col("rn").alias("root_rn"), "ref", F.lit(0).alias("hop"), F.array().cast(f"array<{EDGE}>").alias("route"), F.array().cast("array<long>").alias("walked"), F.lit(False).alias("chosen")
-    )
-    seen = front
-    for hop in range(1, max_hops + 1):
-        near = front.withColumnRenamed("chosen", "_chosen").withColumnRenamed("ref", "src").join(step, ["query_id", "src"])
-        near = near.select("query_id", "root", "root_rn", F.col("dst").alias("ref"), F.lit(hop).alias("hop"), F.array_append("route", F.col("edge")).alias("route"), F.array_append("walked", F.col("at").cast("long")).alias("walked"), (F.col("_chosen") | F.col("chosen")).alias("chosen"))
-        near = near.join(seen.select("query_id", "root", "ref"), ["query_id", "root", "ref"], "left_anti")
-        first = F.row_number().over(Window.partitionBy("query_id", "root", "ref").orderBy("walked"))
-        # Each level is a table, so that no later one computes it again.
-        front = written(near.withColumn("_i", first).where("_i = 1").drop("_i"), "routes")
-        seen = seen.unionByName(front)
-    return seen.drop("walked")
+    step = F.struct("src", "dst", F.col("at").cast("long").alias("at"), F.struct("src", "dst", "relation", "sources").cast(EDGE).alias("edge"), "chosen")
+    steps = paths.groupBy("query_id").agg(F.collect_list(step).alias("_steps"))
+    start = F.struct(F.col("ref"), F.array().cast("array<long>").alias("walked"), F.lit(0).alias("hop"), F.array().cast(f"array<{EDGE}>").alias("route"), F.lit(False).alias("chosen"))
+    # A query's walk is few steps, so all rounds are taken where its rows lie; joins on the query alone leave them there.
+    r = roots.join(steps, "query_id", "left").select("query_id", F.col("ref").alias("root"), F.col("rn").alias("root_rn"), "_steps", F.array(start).alias("_seen"), F.array(start).alias("_front"))
+    for at_hop in [F.lit(hop).alias("hop") for hop in range(1, max_hops + 1)]:
+
+        def onward(f: Column) -> Column:
+            new = F.filter("_steps", lambda s: (s["src"] == f["ref"]) & ~F.exists("_seen", lambda x: x["ref"] == s["dst"]))
+            far = lambda s: F.struct(s["dst"].alias("ref"), F.array_append(f["walked"], s["at"]).alias("walked"), at_hop, F.array_append(f["route"], s["edge"]).alias("route"), (f["chosen"] | s["chosen"]).alias("chosen"))
+            return F.transform(new, far)
+
+        r = r.withColumn("_near", F.array_sort(F.flatten(F.transform("_front", onward))))
+        r = r.withColumn("_front", F.coalesce(F.filter("_near", lambda x, i: (i == 0) | (F.get("_near", i - 1)["ref"] != x["ref"])), F.expr("slice(_front, 1, 0)")))
+        r = r.withColumn("_seen", F.concat("_seen", "_front"))
+    return r.select("query_id", "root", "root_rn", F.explode("_seen").alias("s")).select("query_id", "root", "root_rn", "s.ref", "s.hop", "s.route", "s.chosen")
 
 
 def branch_hits(reached: DataFrame, nodes: DataFrame, branches: DataFrame) -> DataFrame:
     """(query_id, ref, hits): which of the query's branches share a term with the node. branches: query_id, branch, terms."""
     asked = branches.select("query_id", "branch", F.explode("terms").alias("term")).distinct()
     refs = reached.select("query_id", "ref").distinct()
-    held = refs.join(nodes.select("ref", F.explode(F.array_distinct("terms")).alias("term")), "ref")
+    # Written, so that its size is known: few terms are broadcast, and only nodes' terms that some branch asks for are moved.
+    wanted = written(asked.select("term").distinct(), "terms")
+    terms = nodes.select("ref", F.explode(F.array_distinct("terms")).alias("term")).join(wanted, "term", "left_semi")
+    held = refs.join(terms, "ref")
     return held.join(asked, ["query_id", "term"]).groupBy("query_id", "ref").agg(F.collect_set("branch").alias("hits"))
 
 
@@ -59,12 +65,14 @@ def useful(reached: DataFrame, nodes: DataFrame, branches: DataFrame, seen: Data
     answers a branch of the question that the root does not. Changes come first, then seen nodes, then by branches
     gained, hops, rank and name. Members are all ends of the ways to useful nodes, so each way is whole.
     """
-    hits = branch_hits(reached, nodes, branches)
+    by_query = lambda df, value: df.groupBy("query_id").agg(F.collect_list(F.struct("ref", value)).alias("_list"))
+    hits = by_query(branch_hits(reached, nodes, branches), "hits").select("query_id", F.map_from_entries("_list").alias("_hits"))
+    ranks = by_query(roots.where("ref is not null").groupBy("query_id", "ref").agg(F.min("rn").alias("rn")), "rn").select("query_id", F.map_from_entries("_list").alias("_ranks"))
+    bodies = seen.groupBy("query_id").agg(F.collect_set("ref").alias("_bodies"))
     none = F.array().cast("array<string>")
-    r = reached.join(hits, ["query_id", "ref"], "left").join(hits.withColumnsRenamed({"ref": "root", "hits": "_own"}), ["query_id", "root"], "left")
-    r = r.join(seen.select("query_id", "ref").distinct().withColumn("_seen", F.lit(True)), ["query_id", "ref"], "left")
-    r = r.join(roots.select("query_id", "ref", F.col("rn").alias("_rn")), ["query_id", "ref"], "left")
-    gain = F.size(F.array_except(F.coalesce("hits", none), F.coalesce("_own", none)))
+    r = reached.join(hits, "query_id", "left").join(bodies, "query_id", "left").join(ranks, "query_id", "left")
+    r = r.withColumn("_rn", F.try_element_at("_ranks", F.col("ref"))).withColumn("_seen", F.array_contains("_bodies", F.col("ref")))
+    gain = F.size(F.array_except(F.coalesce(F.try_element_at("_hits", F.col("ref")), none), F.coalesce(F.try_element_at("_hits", F.col("root")), none)))
     change = F.exists("route", lambda e: e["relation"].isin(*STATE_RELATIONS))
     was_seen = F.coalesce("_seen", F.lit(False))
     r = r.where((F.col("hop") == 0) | was_seen | F.col("chosen") | change | (gain > 0))
@@ -75,24 +83,28 @@ def useful(reached: DataFrame, nodes: DataFrame, branches: DataFrame, seen: Data
     return grouped.withColumn("edges", edges).select("query_id", "root", "root_rn", F.array_distinct(F.concat(F.array("root"), ends)).alias("members"), "edges")
 
 
-def with_material(groups: DataFrame, nodes: DataFrame, fragments: DataFrame) -> DataFrame:
-    """groups with ``cards`` (their nodes in order), ``sources`` and ``fragments``: members' own bodies first, then the
-    sources that members and edges cite. nodes: ref, kind, status, sources. fragments: origin, raw, start, end, length,
-    text; ``length`` is that of the whole origin."""
-    key = ["query_id", "root"]
-    flat = groups.select(*key, F.posexplode("members").alias("p", "ref"))
-    cards = flat.join(nodes.select("ref", "kind", "status", "sources"), "ref", "left")
-    known = F.struct("p", "ref", F.coalesce("kind", F.lit("unknown")).alias("kind"), F.coalesce("status", F.lit("active")).alias("status"), F.coalesce("sources", F.array().cast("array<string>")).alias("sources"))
-    cards = cards.groupBy(*key).agg(F.array_sort(F.collect_list(known)).alias("cards"))
-    cited = F.array_distinct(F.concat(F.flatten(F.transform("cards", lambda c: c["sources"])), F.flatten(F.transform("edges", lambda e: e["sources"]))))
-    g = groups.join(cards, key).withColumn("sources", cited)
-    bodies = g.select(*key, F.posexplode("members").alias("p", "origin")).withColumn("cited", F.lit(False))
-    cites = g.select(*key, F.posexplode("sources").alias("p", "origin")).withColumn("cited", F.lit(True))
-    found = bodies.unionByName(cites).join(fragments, "origin").where(F.col("raw") == F.col("cited"))
-    piece = F.struct("cited", "p", "start", "end", "origin", "length", "text")
-    material = found.groupBy(*key).agg(F.array_sort(F.collect_list(piece)).alias("fragments"))
-    nothing = F.expr("cast(array() as array<struct<cited:boolean,p:int,start:bigint,end:bigint,origin:string,length:bigint,text:string>>)")
-    return g.join(material, key, "left").withColumn("fragments", F.coalesce("fragments", nothing))
+def with_material(groups: DataFrame, nodes: DataFrame, fragments: DataFrame, page: int | None = None) -> DataFrame:
+    """(query_id, groups, cards, fragments): one row a query, with its groups, the nodes they name, and each text that a member
+    has or that a node or an edge cites, once for all groups. nodes: ref, kind, status, sources. fragments: origin, raw, start,
+    end, length, text; ``length`` is that of the whole origin. With ``page``, fragments are whole texts (origin, raw, text), which
+    each query cuts into pages where it shows them, so that pages are not moved."""
+    g = groups.groupBy("query_id").agg(F.collect_list(F.struct("root_rn", "root", "members", "edges")).alias("groups"))
+    refs = g.select("query_id", F.explode(F.array_distinct(F.flatten(F.col("groups.members")))).alias("ref"))
+    known = F.struct("ref", "kind", "status", "sources")
+    cards = refs.join(nodes.select("ref", "kind", "status", "sources"), "ref").groupBy("query_id").agg(F.collect_list(known).alias("cards"))
+    g = g.join(cards, "query_id", "left")
+    cited = F.concat(F.coalesce(F.flatten(F.col("cards.sources")), F.array().cast("array<string>")), F.flatten(F.flatten(F.transform("groups", lambda x: x["edges"]["sources"]))))
+    named = lambda c, raw: F.transform(F.array_distinct(c), lambda o: F.struct(o.alias("origin"), F.lit(raw).alias("raw")))
+    origins = g.select("query_id", F.explode(F.concat(named(F.flatten(F.col("groups.members")), False), named(cited, True))).alias("o")).select("query_id", "o.*")
+    if page is None:
+        piece = F.struct("start", "end", "length", "text")
+        own = fragments.groupBy("origin", "raw").agg(F.collect_list(piece).alias("body"))
+        cut = lambda t: F.transform(t["body"], lambda f: F.struct(t["origin"].alias("origin"), t["raw"].alias("raw"), f["start"].alias("start"), f["end"].alias("end"), f["length"].alias("length"), f["text"].alias("text")))
+    else:
+        own = fragments.select("origin", "raw", F.col("text").alias("body"))
+        cut = lambda t: paged(t["origin"], t["body"], t["raw"], page)
+    found = origins.join(own, ["origin", "raw"]).groupBy("query_id").agg(F.collect_list(F.struct("origin", "raw", "body")).alias("_texts"))
+    return g.join(found, "query_id", "left").select("query_id", "groups", "cards", F.flatten(F.transform("_texts", cut)).alias("fragments"))
 
 
 @dataclass
@@ -217,15 +229,21 @@ def pack_groups(material: DataFrame, top_k: int = 10, card_chars: int = CARD_CHA
     """One row for each group of each query: its place among the cards (null if it is none, ``reason`` says why), what it
     shows, and whether its edges are closed, and its sources complete.
 
-    material: the rows of ``with_material``. A query's rows are its roots, which the ranking leaves a few dozen of.
+    material: the rows of ``with_material``. A query's groups are those of its roots, which the ranking leaves a few dozen of.
     """
 
-    def pack(query_id: int, rows: list[dict]) -> Iterator[dict]:
-        groups = []
-        for r in sorted(rows, key=lambda r: (r["root_rn"], r["root"])):
-            pieces = [Fragment(f["origin"], bool(f["cited"]), f["start"], f["end"], f["length"], f["text"]) for f in r["fragments"]]
+    def pack(q: dict) -> Iterator[dict]:
+        query_id, groups, pieces = q["query_id"], [], defaultdict(list)
+        known = {c["ref"]: c for c in q["cards"] or ()}
+        for f in sorted(q["fragments"] or (), key=lambda f: (f["start"], f["end"])):
+            pieces[f["origin"], bool(f["raw"])].append(Fragment(f["origin"], bool(f["raw"]), f["start"], f["end"], f["length"], f["text"]))
+        for r in sorted(q["groups"], key=lambda r: (r["root_rn"], r["root"])):
             edges = [(e["src"], e["dst"], e["relation"], tuple(e["sources"] or ())) for e in r["edges"]]
-            groups.append(Group(r["root"], r["members"], [(c["ref"], c["kind"], c["status"]) for c in r["cards"]], edges, r["sources"], pieces))
+            nodes = [known.get(ref, {}) for ref in r["members"]]
+            cards = [(ref, n.get("kind") or "unknown", n.get("status") or "active") for ref, n in zip(r["members"], nodes)]
+            sources = list(dict.fromkeys([s for n in nodes for s in n.get("sources") or ()] + [s for e in edges for s in e[3]]))
+            own = [f for ref in r["members"] for f in pieces[ref, False]] + [f for s in sources for f in pieces[s, True]]
+            groups.append(Group(r["root"], r["members"], cards, edges, sources, own))
         groups = list(distinct_groups(groups))
         chosen, earlier = fill(groups, top_k, card_chars, total_chars), {}
         number = {id(g): i for i, g in enumerate(chosen, 1)}
@@ -243,14 +261,13 @@ def pack_groups(material: DataFrame, top_k: int = 10, card_chars: int = CARD_CHA
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256).to_pylist()
-                yield pa.RecordBatch.from_pylist([row for q in part for row in pack(q["query_id"], q["rows"])], schema=schema)
+                yield pa.RecordBatch.from_pylist([row for q in part for row in pack(q)], schema=schema)
 
     names = [c.split()[0] for c in PACKED.split(", ")]
     kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "array<string>": pa.list_(pa.string())}
     schema = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in PACKED.split(", ")])
     # A query is one row, so that a batch holds many queries: a Python group for each would cost more than its packing.
-    whole = material.groupBy("query_id").agg(F.collect_list(F.struct("root_rn", "root", "members", "edges", "cards", "sources", "fragments")).alias("rows"))
-    return whole.mapInArrow(run, PACKED)
+    return material.mapInArrow(run, PACKED)
 
 
 def paged(origin: Column, text: Column, raw: Column, page: int = 800) -> Column:

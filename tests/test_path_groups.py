@@ -155,3 +155,18 @@ def test_what_does_not_fit_is_partial_and_open(spark):
     per_query = {0: ([(1, "a")], [(0, "a", "b", "contradicts", ["raw:2"], False)], [("x", ["x"])], set("x"))}
     row = run(spark, nodes, fragments, per_query, top_k=1, card_chars=500, total_chars=500).collect()[0]
     assert row["chars"] <= 500 and not row["complete"] and not row["path_closed"] and "-contradicts->" not in row["content"]
+
+
+def test_a_query_is_one_row_and_cuts_whole_texts_itself(spark):
+    nodes, fragments, per_query = case(1)
+    whole = {}
+    for origin, raw, _, _, _, text in sorted(fragments):
+        whole[origin, raw] = whole.get((origin, raw), "") + text
+    texts = spark.createDataFrame([(*k, v) for k, v in whole.items()], "origin string, raw boolean, text string")
+    n = spark.createDataFrame([(r, *v) for r, v in nodes.items()], NODES)
+    edge = [("n0", "n1", "about", ["raw:2"])]
+    groups = spark.createDataFrame([(q, f"n{i}", i, [f"n{i}", "n1", "n9"], edge) for q in range(3) for i in range(2)], f"query_id long, root string, root_rn int, members array<string>, edges array<{P.EDGE}>")
+    material = P.with_material(groups, n, texts, page=30)
+    assert [(r["query_id"], len(r["groups"])) for r in material.sort("query_id").collect()] == [(0, 2), (1, 2), (2, 2)]
+    want = P.pack_groups(P.with_material(groups, n, spark.createDataFrame(fragments, FRAGMENTS)), 2, 400, 700).collect()
+    assert want and sorted(map(str, P.pack_groups(material, 2, 400, 700).collect())) == sorted(map(str, want))
